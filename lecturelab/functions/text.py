@@ -10,6 +10,11 @@ WORD_CHAR = r"[\p{L}\p{N}_]"
 SENTENCE_END = r"[.!?…]['\"»)\]]?\s*$"
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, also where `body` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     """Whitespace separated words; empty for null or blank text."""
     parts = F.split(F.coalesce(text, F.lit("")), r"\s+")
@@ -49,29 +54,30 @@ def word_tokens(text: Column, min_chars: int = 1) -> Column:
 
 def uni_and_bigrams(text: Column) -> Column:
     """Tokens of two or more characters, then pairs of neighbouring tokens, repeats kept."""
-    tokens = word_tokens(text, 2)
-    nexts = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    firsts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    pairs = F.zip_with(firsts, nexts, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(tokens, pairs)
+    def grams(tokens):
+        pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
+        firsts, nexts = F.slice(tokens, F.lit(1), pairs), F.slice(tokens, F.lit(2), pairs)
+        return F.concat(tokens, F.zip_with(firsts, nexts, lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return let(word_tokens(text, 2), grams)
 
 
 def looks_degenerate(text: Column, min_words: int = 6, ratio: float = 0.6) -> Column:
     """True when one word makes up at least `ratio` of at least `min_words` words.
 
-    A majority word at ratio > 0.5 must hold the middle of the sorted tokens, so only
-    that one candidate is counted; lower ratios count every distinct word.
+    A word with more than half of all tokens must hold the middle of the sorted tokens, so
+    only that one candidate is counted; lower ratios count every distinct word.
     """
-    tokens = F.array_sort(word_tokens(text))
-    total = F.size(tokens)
-    if ratio > 0.5:
-        middle = F.get(tokens, F.floor(total / 2).cast("int"))
-        most = F.size(F.filter(tokens, lambda x: x == middle))
-    else:
-        most = F.array_max(
-            F.transform(F.array_distinct(tokens), lambda x: F.size(F.filter(tokens, lambda y: y == x)))
-        )
-    return (total >= min_words) & (most / total >= ratio)
+    def check(tokens):
+        total = F.size(tokens)
+        if ratio > 0.5:
+            most = let(F.get(tokens, F.floor(total / 2).cast("int")), lambda mid: F.size(F.filter(tokens, lambda x: x == mid)))
+        else:
+            most = F.array_max(
+                F.transform(F.array_distinct(tokens), lambda x: F.size(F.filter(tokens, lambda y: y == x))))
+        return (total >= min_words) & (most / total >= ratio)
+
+    return let(F.sort_array(word_tokens(text)), check)
 
 
 def short_title(title: Column, limit: int = 26) -> Column:
@@ -90,3 +96,13 @@ def stable_key(*parts: Column) -> Column:
     """12 hex characters identifying the values of `parts`."""
     packed = F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"})
     return F.substring(F.sha2(packed, 256), 1, 12)
+
+
+def latex_escape(text: Column) -> Column:
+    """The ten special characters of LaTeX, escaped. Pieces between backslashes are escaped apart."""
+    def piece(x):
+        marked = F.regexp_replace(x, r"([&%$#_{}])", r"\\$1")
+        return F.replace(
+            F.replace(marked, F.lit("~"), F.lit("\\textasciitilde{}")), F.lit("^"), F.lit("\\textasciicircum{}"))
+
+    return F.array_join(F.transform(F.split(text, r"\\"), piece), "\\textbackslash{}")

@@ -121,8 +121,8 @@ def match_marks(truth: DataFrame, predicted: DataFrame, tolerance: float, keys:
         predicted.select(*keys, F.col("t"), F.lit(1).alias("kind")))
     clusters = _clusters(both, keys, tolerance)
     lists = clusters.groupBy(*keys, "_cluster").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.col("t")))).alias("truths"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.col("t")))).alias("preds"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == 0, F.col("t")))).alias("truths"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == 1, F.col("t")))).alias("preds"),
     )
     free0 = F.struct(F.lit(0).alias("hits"), F.col("preds").alias("free"))
 
@@ -155,32 +155,13 @@ def with_prf(df: DataFrame, hits: str, n_pred: str, n_true: str) -> DataFrame:
 def _clusters(marks: DataFrame, keys: list[str], tolerance: float, hour: float = 3600.0) -> DataFrame:
     """`_cluster`: the first time of the run of marks that are at most `tolerance` apart."""
     block = F.floor(F.col("t") / hour).cast("long")
-    # time of the previous mark: the running maximum before this row, so ties count as no gap
     rows = marks.groupBy(*keys, "t").agg(F.collect_list("kind").alias("kinds"))
-    rows = rows.withColumn("_block", block)
-    seen = _previous(rows, keys, block)
-    starts = running(
-        seen.withColumn("_s", F.when(F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > tolerance), F.col("t"))),
-        keys, ["t"], block, {"_cluster": ("last", F.col("_s"))})
+    seen = running(rows, keys, ["t"], block, {"_prev": ("prev", F.col("t"))})
+    first = F.when(F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > tolerance), F.col("t"))
+    starts = running(seen, keys, ["t"], block, {"_cluster": ("last", first)})
     return starts.select(*keys, "t", "_cluster", F.explode("kinds").alias("kind"))
 
 
-def _previous(rows: DataFrame, keys: list[str], block: Column) -> DataFrame:
-    """`_prev`: the value of `t` in the row before, across block edges."""
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy("t")
-    last = rows.groupBy(*keys, "_block").agg(F.max("t").alias("_last"))
-    carried = last.select(
-        *keys, "_block",
-        F.max("_last").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    return (
-        rows.withColumn("_in", F.lag("t").over(inside)).join(carried, [*keys, "_block"], "left")
-        .withColumn("_prev", F.coalesce("_in", "_carry")).drop("_in", "_carry", "_block")
-    )
-
-
 def missed_marks(truth: DataFrame, predicted: DataFrame, tolerance: float) -> DataFrame:
     """True marks without any prediction within `tolerance`: an anti join on time buckets."""
     width = max(tolerance, 1.0)

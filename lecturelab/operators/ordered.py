@@ -60,7 +60,8 @@ def running(
     """Running values along `order` in each key: `{new_column: (kind, expression)}`.
 
     Kinds: `sum` up to and including the row, `last` non-null value up to and including
-    the row, `next` non-null value from the row on, `max` up to and including the row.
+    the row, `next` non-null value from the row on, `max` up to and including the row,
+    `prev` non-null value of the row before (for orders that are not dense).
     """
     keys, order = list(keys), list(order)
     df = df.withColumn("_block", block)
@@ -97,6 +98,11 @@ def running(
             totals.append(F.min_by(expr, marked).alias(total))
             carried[carry] = F.first(total, ignorenulls=True).over(after)
             combined[name] = F.coalesce(F.col(here), F.col(carry))
+        elif kind == "prev":
+            inside[here] = F.lag(expr).over(ordered)
+            totals.append(F.max_by(expr, marked).alias(total))
+            carried[carry] = F.last(total, ignorenulls=True).over(before)
+            combined[name] = F.coalesce(F.col(here), F.col(carry))
         else:
             raise ValueError(f"unknown running kind: {kind}")
 
@@ -137,5 +143,5 @@ def top_n(
 def joined_text(order: Sequence[str], text: Column | str, sep: str) -> Column:
     """Aggregate: texts of a bounded group in order, joined by `sep` (nulls skipped)."""
     text = F.col(text) if isinstance(text, str) else text
-    items = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(*order, text.alias("_t")))))
+    items = F.sort_array(F.collect_list(F.when(text.isNotNull(), F.struct(*order, text.alias("_t")))))
     return F.array_join(F.transform(items, lambda x: x["_t"]), sep)

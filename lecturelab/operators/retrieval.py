@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lecturelab.functions.text import strip, uni_and_bigrams
+from lecturelab.functions.text import let, strip, uni_and_bigrams
 from lecturelab.functions.timecode import to_timecode
 from lecturelab.operators.intervals import neighbour_chunks
 from lecturelab.operators.ordered import BLOCK_ROWS, block_of, dense_index, joined_text, running, top_n
@@ -27,6 +27,10 @@ def chunk_windows(words: Column, target: int, overlap: int) -> Column:
     Utterances are added until `target` words; then whole utterances worth `overlap` words are
     carried over. What is left at the end is one more chunk, even if it only repeats.
     """
+    return let(words, lambda w: _fold_windows(w, target, overlap))
+
+
+def _fold_windows(words: Column, target: int, overlap: int) -> Column:
     state = F.struct(
         F.lit(0).alias("lo"), F.lit(0).alias("words"), F.lit(0).alias("at"),
         F.array().cast("array<struct<lo:int,hi:int>>").alias("done"),
@@ -68,7 +72,7 @@ def build_chunks(
     ids = segments.select("lecture_id", "sid", F.posexplode("utterance_ids").alias("pos", "uid"))
     said = ids.join(utterances.select("lecture_id", "uid", "start_s", "text", "words"), ["lecture_id", "uid"])
     members = said.groupBy("lecture_id", "sid").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "words", "start_s", "text"))).alias("m"))
+        F.sort_array(F.collect_list(F.struct("pos", "words", "start_s", "text"))).alias("m"))
     windows = members.withColumn("_w", F.transform("m", lambda x: x["words"])).select(
         "lecture_id", "sid", "m", F.posexplode(chunk_windows(F.col("_w"), p.chunk_words, p.chunk_overlap)).alias("local", "win"))
     inside = F.slice("m", F.col("win.lo") + 1, F.col("win.hi") - F.col("win.lo") + 1)

@@ -138,7 +138,7 @@ def segments_with_boards(spark, sf):
     segs = T.segments(spark, sf)
     found = boards_in(T.boards(spark, sf).select("lecture_id", "bid", "key_ts"),
                       segs.select("lecture_id", "sid", F.col("start_s").alias("span_start"), F.col("end_s").alias("span_end")))
-    ids = found.groupBy("lecture_id", "sid").agg(F.array_sort(F.collect_list("bid")).alias("board_ids"))
+    ids = found.groupBy("lecture_id", "sid").agg(F.sort_array(F.collect_list("bid")).alias("board_ids"))
     return segs.join(ids, ["lecture_id", "sid"], "left").withColumn(
         "board_ids", F.coalesce("board_ids", F.array().cast("array<int>")))
 

@@ -6,13 +6,14 @@ numbered block by block (see `operators.ordered`), so one huge source is no hot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lecturelab.functions.text import strip, word_count, words_of
-from lecturelab.operators.ordered import BLOCK_ROWS, block_of, dense_index, running
+from lecturelab.functions.text import strip, word_count
+from lecturelab.operators.ordered import block_of, dense_index, running
 
 WORD_MS, PAUSE_MS = 400, 300
+ID_BLOCK = 4096  # unique ids: a block never holds more rows than this
 BOARD_SECONDS = 60
 SENTENCE = r"[^.!?\n]+[.!?]*"
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -71,7 +72,7 @@ def talks(spark: SparkSession, sf: str) -> DataFrame:
 def library(spark: SparkSession, sf: str) -> DataFrame:
     """One very long recording per source, one utterance per whole document, 20 s grid."""
     docs = table(spark, sf, "documents").select(F.col("source").alias("lecture_id"), "doc_id", "text", "lang")
-    docs = dense_index(docs, ["lecture_id"], ["doc_id"], block_of(F.col("doc_id")), "uid")
+    docs = dense_index(docs, ["lecture_id"], ["doc_id"], block_of(F.col("doc_id"), ID_BLOCK), "uid")
     return docs.select(
         "lecture_id", "uid",
         (F.col("uid") * 20.0).alias("start_s"), (F.col("uid") * 20.0 + 18.0).alias("end_s"),
@@ -101,7 +102,7 @@ def asr_segments(spark: SparkSession, sf: str) -> DataFrame:
         (-F.col("value") / 100).alias("avg_logprob"),
         (F.get_json_object("props", "$.k").cast("double") / 100).alias("no_speech_prob"),
     )
-    return dense_index(rows, ["lecture_id"], ["event_id"], block_of(F.col("event_id")), "seq").drop("event_id")
+    return dense_index(rows, ["lecture_id"], ["event_id"], block_of(F.col("event_id"), ID_BLOCK), "seq").drop("event_id")
 
 
 def boards(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +134,7 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
     rows = speech(spark, sf).withColumn("sid", F.floor(F.col("uid") / SEGMENT_UTTERANCES).cast("int"))
     agg = rows.groupBy("lecture_id", "sid").agg(
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"),
-        F.array_sort(F.collect_list("uid")).alias("utterance_ids"),
+        F.sort_array(F.collect_list("uid")).alias("utterance_ids"),
     )
     return agg.select(
         "lecture_id", "sid", "start_s", "end_s",
@@ -198,7 +199,7 @@ MASK_SIDE = 8
 def _frames(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings").select(
         F.concat(F.lit("l"), F.col("label").cast("string")).alias("lecture_id"), "vec_id", "embedding")
-    return dense_index(emb, ["lecture_id"], ["vec_id"], block_of(F.col("vec_id")), "frame_idx")
+    return dense_index(emb, ["lecture_id"], ["vec_id"], block_of(F.col("vec_id"), ID_BLOCK), "frame_idx")
 
 
 def mask_px(spark: SparkSession, sf: str) -> DataFrame:
