@@ -10,8 +10,13 @@ from lecturelab.operators.ordered import top_n
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """`lecture_id, row_id, term, tf` from `lecture_id, row_id, text`."""
-    terms = rows.select("lecture_id", "row_id", F.explode(uni_and_bigrams(F.col("text"))).alias("term"))
+    """`lecture_id, row_id, term, tf` from `lecture_id, row_id, text`.
+
+    Texts are spread by row before they are taken apart, so the counts of a row are
+    complete where they arise and the far larger token rows are not shuffled for them.
+    """
+    spread = rows.select("lecture_id", "row_id", "text").repartition("lecture_id", "row_id")
+    terms = spread.select("lecture_id", "row_id", F.explode(uni_and_bigrams(F.col("text"))).alias("term"))
     return terms.groupBy("lecture_id", "row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -21,25 +26,36 @@ def vocabulary(rows: DataFrame, counts: DataFrame, max_features: int | None = No
     The counts are aggregated before the cap, and the cap is taken slice by slice, so a
     recording with a huge vocabulary does not end in one task.
     """
-    # df is written over tf so that this and the later join read the same columns of `counts`
-    # and share one shuffle of the tokens
-    terms = counts.groupBy("lecture_id", "term").agg(
-        F.sum(F.least("tf", F.lit(1))).alias("df"), F.sum("tf").alias("total"))
+    terms = counts.groupBy("lecture_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if max_features is not None:
-        terms = top_n(
-            terms, ["lecture_id"], [F.desc("total"), F.asc("term")], max_features, "_rank", spread=["term"]).drop("_rank")
+        terms = most_frequent(terms, max_features)
     sizes = rows.groupBy("lecture_id").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(sizes, "lecture_id").select(
         "lecture_id", "term", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
-    """L2-normalised `(1 + ln tf) * idf` per row (`keys` + term)."""
-    raw = counts.join(vocab.select("lecture_id", "term", "idf"), ["lecture_id", "term"]).withColumn(
+def most_frequent(terms: DataFrame, limit: int) -> DataFrame:
+    """The `limit` terms of each recording with the largest `total`, ties in term order.
+
+    A histogram of the totals tells which totals are in, which are out, and which one is cut;
+    only the terms at the cut are ranked. A recording within the limit is never sorted.
+    """
+    falling = Window.partitionBy("lecture_id").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, 0)
+    hist = terms.groupBy("lecture_id", "total").agg(F.count(F.lit(1)).alias("_same"))
+    room = hist.withColumn("_room", limit - F.sum("_same").over(falling) + F.col("_same")).where("_room > 0")
+    seen = terms.join(room, ["lecture_id", "total"])
+    whole = seen.where(F.col("_same") <= F.col("_room"))
+    cut = top_n(seen.where(F.col("_same") > F.col("_room")), ["lecture_id"], [F.asc("term")], limit, "_rank", spread=["term"])
+    return whole.drop("_same", "_room").unionByName(cut.where(F.col("_rank") <= F.col("_room")).drop("_same", "_room", "_rank"))
+
+
+def weigh(counts: DataFrame, vocab: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """L2-normalised `(1 + ln tf) * idf` per row (`keys`, `term`, `w`) and the `keep` columns of the vocabulary."""
+    raw = counts.join(vocab.select("lecture_id", "term", "idf", *keep), ["lecture_id", "term"]).withColumn(
         "raw", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
     # the terms of one text: a bounded window
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
-    return raw.select(*keys, "term", (F.col("raw") / norm).alias("w"))
+    return raw.select(*keys, "term", (F.col("raw") / norm).alias("w"), *keep)
 
 
 def tfidf(rows: DataFrame, max_features: int | None = 40_000) -> DataFrame:

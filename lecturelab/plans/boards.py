@@ -13,11 +13,11 @@ from lecturelab.sources import tables as T
 SIDE, AREA = T.MASK_SIDE, T.MASK_SIDE**2
 
 CUR = dict(
-    both="""select lecture_id, frame_idx, y, x, max(c) as cur, max(o) as old from (select lecture_id, frame_idx, y, x, 1 as c, 0 as o from px
+    both_="""select lecture_id, frame_idx, y, x, max(c) as cur, max(o) as old from (select lecture_id, frame_idx, y, x, 1 as c, 0 as o from px
  union all select lecture_id, frame_idx+1, y, x, 0, 1 from px) group by 1,2,3,4""",
     delta="""select f.lecture_id, f.frame_idx, coalesce(sum(case when old=0 then 1 else 0 end),0)/64 as added,
  coalesce(sum(case when cur=0 then 1 else 0 end),0)/64 as removed, coalesce(sum(cur),0)/64 as coverage
- from frames f left join both using (lecture_id, frame_idx) where f.frame_idx>0 group by 1,2""",
+ from frames f left join both_ using (lecture_id, frame_idx) where f.frame_idx>0 group by 1,2""",
     cov="select f.lecture_id, f.frame_idx, count(p.y)/64 as coverage from frames f left join px p using (lecture_id, frame_idx) group by 1,2",
     wide="""select distinct lecture_id, frame_idx, y+dy as y, x+dx as x from px, range(-1,2) a(dy), range(-1,2) b(dx) where y+dy between 0 and 7 and x+dx between 0 and 7""",
     wboth="""select lecture_id, frame_idx, y, x, max(c) as cur, max(o) as old from (select lecture_id, frame_idx, y, x, 1 as c, 0 as o from wide
@@ -85,7 +85,7 @@ def _wdelta(spark, sf):
 
 VOL = dict(
     CUR,
-    vol="""select b.lecture_id, y*8+x as pixel, count(*) as changes, count(*)/max(n.n-1) as v from both b join
+    vol="""select b.lecture_id, y*8+x as pixel, count(*) as changes, count(*)/max(n.n-1) as v from both_ b join
  (select lecture_id, count(*) as n from frames group by 1) n on n.lecture_id=b.lecture_id where cur<>old and frame_idx between 1 and n.n-1 group by 1,2""",
     allv="select g.lecture_id, g.pixel, coalesce(v.v,0) as v from (select distinct f.lecture_id, r.pixel from frames f, range(0,64) r(pixel)) g left join vol v using (lecture_id, pixel)",
     noisy="select a.lecture_id, a.pixel from allv a join (select lecture_id, greatest(quantile_cont(v, 0.9), 1e-6) as q from allv group by 1) using (lecture_id) where v>q",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lecturelab.functions.timecode import to_timecode
 from lecturelab.operators import retrieval as R
 from lecturelab.operators.intervals import neighbour_chunks
-from lecturelab.operators.termvectors import tfidf
+from lecturelab.operators.termvectors import most_frequent, term_counts, tfidf
 from lecturelab.plans.oracle import sql, tc
 from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
@@ -47,7 +47,6 @@ def _hits(spark, sf):
  select lecture_id, row_id, unnest(t) as term from fit_tokens union all
  select lecture_id, row_id, unnest(list_transform(range(1,len(t)), lambda i: t[i]||' '||t[i+1])) from fit_tokens) group by all"""))
 def _tokens(spark, sf):
-    from lecturelab.operators.termvectors import term_counts
     return term_counts(T.talks(spark, sf).withColumnRenamed("uid", "row_id"))
 
 
@@ -65,11 +64,9 @@ CAP = 200
  (select lecture_id, term, count(*) as df, cast(sum(tf) as bigint) as total from fit_terms group by 1,2)) where r<={CAP}""",
     fit_rows="select lecture_id, uid as row_id, text from talks"))
 def _cap(spark, sf):
-    from lecturelab.operators.ordered import top_n
-    from lecturelab.operators.termvectors import term_counts
     counts = term_counts(T.talks(spark, sf).withColumnRenamed("uid", "row_id"))
     terms = counts.groupBy("lecture_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    return top_n(terms, ["lecture_id"], [F.desc("total"), F.asc("term")], CAP, spread=["term"]).drop("rank")
+    return most_frequent(terms, CAP)
 
 
 @query("sparse_scores", sql(NEED, "select lecture_id, query_id, cid, round(score,6) as score from scores", fit_rows=PASSAGES, **SCORES))
