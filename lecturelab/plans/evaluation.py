@@ -10,26 +10,32 @@ from lecturelab.plans.oracle import sql
 from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
 
-# notes made of the documents: every utterance as a formula, on both sides with differences
-GEN = r"select doc_id, '\['||replace(text,'the','\mathbb{t}')||'\]' as text from sent_rows where words%3<>0"
-REF = r"select doc_id, '\['||replace(text,'the','\mathbf {t}')||'\]' as text from sent_rows where words%2=0"
+# notes made of the documents: every sentence is a formula, spelled differently on the two sides;
+# dollar signs are taken out, as the SQL dialect has no look-behind to tell `$` from `$$`
+CLEAN = "replace(text,'$','')"
+GEN = rf"select doc_id, '\['||replace(replace({CLEAN},'the','\mathbb{{t}}'),'tion','sion')||'\]' as text from sent_rows"
+REF = rf"select doc_id, '\['||replace({CLEAN},'the','\mathbf {{t}}')||'\]' as text from sent_rows"
+
+
+def _spoken(spark, sf):
+    rows = T.speech(spark, sf)
+    return rows.select(F.substring("lecture_id", 2, 30).cast("long").alias("doc_id"), F.replace("text", F.lit("$"), F.lit("")).alias("text"))
 
 
 def _notes(spark, sf):
-    rows = T.speech(spark, sf).select(F.substring("lecture_id", 2, 30).cast("long").alias("doc_id"), "text", "words")
-    wrap = lambda t: F.concat(F.lit("\\["), t, F.lit("\\]"))
-    put = lambda new: wrap(F.replace("text", F.lit("the"), F.lit(new)))
-    return (rows.where(F.col("words") % 3 != 0).select("doc_id", put("\\mathbb{t}").alias("text")),
-            rows.where(F.col("words") % 2 == 0).select("doc_id", put("\\mathbf {t}").alias("text")))
+    rows = _spoken(spark, sf)
+    wrap = lambda t: F.concat(F.lit("\\["), t, F.lit("\\]")).alias("text")
+    put = lambda new: F.replace("text", F.lit("the"), F.lit(new))
+    return (rows.select("doc_id", wrap(F.replace(put("\\mathbb{t}"), F.lit("tion"), F.lit("sion")))),
+            rows.select("doc_id", wrap(put("\\mathbf {t}"))))
 
 
 NORM = r"regexp_replace(regexp_replace(replace(replace(replace(f,'\mathbb','\mathbf'),'\hat','\widehat'),'\tilde','\widetilde'),'\\(?:label|tag|text|mathrm)\{([^}]*)\}','\1','g'),'[{}\s]+','','g')"
-# single `$...$` pairs cannot be told from `$$` without look-behind, so a side with a dollar is left to the unit tests
 FORM = lambda name: f"select distinct doc_id, {NORM} as formula from (select doc_id, unnest(regexp_extract_all(text,'(?s)\\\\\\[(.+?)\\\\\\]',1)) as f from {name}) where length({NORM})>=3"
 TERM = r"[А-Яа-яЁёA-Za-z][А-Яа-яЁёA-Za-z\-]{4,}"
 STOPS = ",".join(f"'{w}'" for w in STOP_WORDS)
 TERMS = lambda src, n: f"select doc_id, term, count(*) as n from (select doc_id, lower(unnest(regexp_extract_all(text,'{TERM}'))) as term from {src}) where term not in ({STOPS}) group by 1,2 having count(*)>={n}"
-SETS = dict(gen=GEN.replace("where", "where not contains(text,'$') and"), ref_=REF.replace("where", "where not contains(text,'$') and"))
+SETS = dict(gen=GEN, ref_=REF)
 PRF = dict(
     SETS, gf=FORM("gen"), rf=FORM("ref_"),
     sides="""select coalesce(g.doc_id,r.doc_id) as doc_id, count(*) filter (g.formula is not null and r.formula is not null) as matched, count(g.formula) as n_gen, count(r.formula) as n_ref
@@ -39,12 +45,6 @@ PRF = dict(
 COV = dict(SETS, gt=TERMS("gen", 1), rt=TERMS("ref_", 2))
 
 
-def _plain(spark, sf):
-    """The same notes without the utterances that contain a dollar sign (see FORM)."""
-    g, r = _notes(spark, sf)
-    return g.where(~F.col("text").contains("$")), r.where(~F.col("text").contains("$"))
-
-
 @query("extract_math")
 def _math(spark, sf):
     docs = T.table(spark, sf, "documents")
@@ -65,7 +65,7 @@ def _terms(spark, sf):
 @query("formula_prf", sql("sent_rows", """select doc_id, matched, n_gen, n_ref, round(p,6) as precision, round(r,6) as recall,
  round(case when p+r>0 then 2*p*r/(p+r) else 0 end,6) as f1 from pr""", **PRF))
 def _prf(spark, sf):
-    out = E.formula_prf(*_plain(spark, sf))
+    out = E.formula_prf(*_notes(spark, sf))
     return out.select("doc_id", "matched", "n_gen", "n_ref", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -73,22 +73,21 @@ def _prf(spark, sf):
  round(case when count(r.term)>0 then count(*) filter (g.term is not null and r.term is not null)/count(r.term) else 0 end,6) as coverage
  from gt g full join rt r on g.doc_id=r.doc_id and g.term=r.term group by 1""", **COV))
 def _coverage(spark, sf):
-    return E.term_coverage(*_plain(spark, sf)).withColumn("coverage", F.round("coverage", 6))
+    return E.term_coverage(*_notes(spark, sf)).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("missing_terms", sql("sent_rows", """select doc_id, term, cast(row_number() over (partition by doc_id order by term) as int) as pos from rt
  where not exists (select 1 from gt where gt.doc_id=rt.doc_id and gt.term=rt.term) qualify pos<=25""", **COV))
 def _missing(spark, sf):
-    return E.missing_terms(*_plain(spark, sf))
+    return E.missing_terms(*_notes(spark, sf))
 
 
 @query("ablation_delta", sql("sent_rows", """select doc_id, round(p,6) as pipeline, round(t,6) as transcript, round(p-t,6) as delta from (
- select coalesce(r.doc_id, g.doc_id) as doc_id, coalesce(a.r,0) as p, 0 as t from (select distinct doc_id from rf) r full join (select distinct doc_id from gf) g on r.doc_id=g.doc_id
+ select coalesce(r.doc_id, g.doc_id) as doc_id, coalesce(a.r,0)::double as p, 0::double as t from (select distinct doc_id from rf) r full join (select distinct doc_id from gf) g on r.doc_id=g.doc_id
  left join pr a on a.doc_id=coalesce(r.doc_id,g.doc_id))""", **PRF))
 def _ablation(spark, sf):
-    gen, ref = _plain(spark, sf)
-    spoken = T.speech(spark, sf).where(~F.col("text").contains("$")).select(F.substring("lecture_id", 2, 30).cast("long").alias("doc_id"), "text")
-    out = E.ablation_delta(gen, spoken, ref)
+    gen, ref = _notes(spark, sf)
+    out = E.ablation_delta(gen, _spoken(spark, sf), ref)
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("pipeline", "transcript", "delta")])
 
 
