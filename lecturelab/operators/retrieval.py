@@ -9,7 +9,7 @@ from lecturelab.functions.text import let, strip, uni_and_bigrams
 from lecturelab.functions.timecode import to_timecode
 from lecturelab.operators.intervals import neighbour_chunks
 from lecturelab.operators.ordered import BLOCK_ROWS, block_of, dense_index, joined_text, running, top_n
-from lecturelab.operators.termvectors import term_counts, vocabulary, weigh
+from lecturelab.operators.termvectors import fit, weigh
 from lecturelab.params import RetrievalParams
 
 
@@ -98,15 +98,14 @@ def searchable(chunks: DataFrame) -> DataFrame:
     return chunks.select("lecture_id", F.col("cid").alias("row_id"), F.concat_ws("\n", *parts).alias("text"))
 
 
-def sparse_scores(rows: DataFrame, questions: DataFrame, max_features: int | None = 60_000) -> DataFrame:
+def sparse_scores(rows: DataFrame, questions: DataFrame, max_features: int | None = 60_000, stored: bool = True) -> DataFrame:
     """`lecture_id, query_id, cid, score` of passages that share a term with the question.
 
     All questions are answered in one pass: the postings meet the vocabulary and the asked
     terms on `(lecture_id, term)`, then one aggregate per passage yields its norm together
     with its matched weights.
     """
-    counts = term_counts(rows)
-    vocab = vocabulary(rows, counts, max_features)
+    counts, vocab = fit(rows, max_features, stored)
     asked = questions.select("lecture_id", "query_id", F.explode(uni_and_bigrams(F.col("question"))).alias("term"))
     asked = asked.groupBy("lecture_id", "query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     wanted = weigh(asked, vocab, ["lecture_id", "query_id"]).groupBy("lecture_id", "term").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lecturelab.functions.text import uni_and_bigrams
 from lecturelab.operators.ordered import top_n
+from lecturelab.session import materialise
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -43,10 +44,11 @@ def most_frequent(terms: DataFrame, limit: int) -> DataFrame:
     falling = Window.partitionBy("lecture_id").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, 0)
     hist = terms.groupBy("lecture_id", "total").agg(F.count(F.lit(1)).alias("_same"))
     room = hist.withColumn("_room", limit - F.sum("_same").over(falling) + F.col("_same")).where("_room > 0")
-    seen = terms.join(room, ["lecture_id", "total"])
-    whole = seen.where(F.col("_same") <= F.col("_room"))
-    cut = top_n(seen.where(F.col("_same") > F.col("_room")), ["lecture_id"], [F.asc("term")], limit, "_rank", spread=["term"])
-    return whole.drop("_same", "_room").unionByName(cut.where(F.col("_rank") <= F.col("_room")).drop("_same", "_room", "_rank"))
+    fits = F.col("_same") <= F.col("_room")
+    whole = terms.join(room.where(fits).select("lecture_id", "total"), ["lecture_id", "total"])
+    # usually nothing is cut; the empty side then ends this branch at run time
+    cut = top_n(terms.join(room.where(~fits), ["lecture_id", "total"]), ["lecture_id"], [F.asc("term")], limit, "_rank", spread=["term"])
+    return whole.unionByName(cut.where(F.col("_rank") <= F.col("_room")).drop("_same", "_room", "_rank"))
 
 
 def weigh(counts: DataFrame, vocab: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -58,6 +60,17 @@ def weigh(counts: DataFrame, vocab: DataFrame, keys: list[str], keep: tuple[str,
     return raw.select(*keys, "term", (F.col("raw") / norm).alias("w"), *keep)
 
 
-def tfidf(rows: DataFrame, max_features: int | None = 40_000) -> DataFrame:
+def fit(rows: DataFrame, max_features: int | None = 40_000, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(term counts, vocabulary) of `rows`. `stored` writes the counts to the shared folder first.
+
+    Counts are read by the vocabulary and again by whatever weighs them, so anything that
+    goes on from here should store them: the texts are then taken apart once.
+    """
     counts = term_counts(rows)
-    return weigh(counts, vocabulary(rows, counts, max_features), ["lecture_id", "row_id"])
+    if stored:
+        counts = materialise(counts, "term-counts")
+    return counts, vocabulary(rows, counts, max_features)
+
+
+def tfidf(rows: DataFrame, max_features: int | None = 40_000, stored: bool = False) -> DataFrame:
+    return weigh(*fit(rows, max_features, stored), ["lecture_id", "row_id"])

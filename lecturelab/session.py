@@ -18,6 +18,7 @@ def local_session(app: str = "lecturelab", cpus: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "256MB")
         .getOrCreate()
     )
 

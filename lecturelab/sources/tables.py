@@ -23,6 +23,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The document texts, spread over all cores when a file or two hold them all.
+
+    Taking texts apart is the costly step, and a table of few splits would do it in few
+    tasks. A table with splits for every core is left as it lies: no shuffle.
+    """
+    docs = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < 2 * cores else docs
+
+
 def _lecture_of_document() -> F.Column:
     return F.concat(F.lit("d"), F.col("doc_id").cast("string"))
 
@@ -34,7 +45,7 @@ def _sentences() -> F.Column:
 
 def speech(spark: SparkSession, sf: str) -> DataFrame:
     """One recording per document, one utterance per sentence; narrow, no shuffle."""
-    docs = table(spark, sf, "documents").select(_lecture_of_document().alias("lecture_id"), _sentences().alias("s"))
+    docs = documents(spark, sf).select(_lecture_of_document().alias("lecture_id"), _sentences().alias("s"))
     docs = docs.withColumn("w", F.transform("s", word_count))
     before = lambda i: F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda a, x: a + x).cast("long")
     timed = F.transform(
@@ -71,7 +82,7 @@ def talks(spark: SparkSession, sf: str) -> DataFrame:
 
 def library(spark: SparkSession, sf: str) -> DataFrame:
     """One very long recording per source, one utterance per whole document, 20 s grid."""
-    docs = table(spark, sf, "documents").select(F.col("source").alias("lecture_id"), "doc_id", "text", "lang")
+    docs = documents(spark, sf).select(F.col("source").alias("lecture_id"), "doc_id", "text", "lang")
     docs = dense_index(docs, ["lecture_id"], ["doc_id"], block_of(F.col("doc_id"), ID_BLOCK), "uid")
     return docs.select(
         "lecture_id", "uid",
@@ -107,7 +118,7 @@ def asr_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def boards(spark: SparkSession, sf: str) -> DataFrame:
     """A board every minute of each labelled document recording; read only when the label is good."""
-    docs = table(spark, sf, "documents").select("doc_id", _lecture_of_document().alias("lecture_id"), _sentences().alias("s"))
+    docs = documents(spark, sf).select("doc_id", _lecture_of_document().alias("lecture_id"), _sentences().alias("s"))
     total = F.aggregate("s", F.lit(0), lambda a, x: a + word_count(x)).cast("long")
     seconds = (total * WORD_MS + (F.size("s") - 1) * PAUSE_MS) / 1000.0
     docs = docs.where(F.size("s") > 0).select(
@@ -147,7 +158,7 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def lectures(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document recording."""
-    docs = table(spark, sf, "documents").select("doc_id", _lecture_of_document().alias("lecture_id"), "source", "lang", _sentences().alias("s"))
+    docs = documents(spark, sf).select("doc_id", _lecture_of_document().alias("lecture_id"), "source", "lang", _sentences().alias("s"))
     total = F.aggregate("s", F.lit(0), lambda a, x: a + word_count(x)).cast("long")
     seconds = F.greatest(F.lit(0.0), (total * WORD_MS + (F.size("s") - 1) * PAUSE_MS) / 1000.0)
     return docs.select(

@@ -36,7 +36,9 @@ def stream_pause_sessions(segments: DataFrame, pause: float, lateness: str = "1
 
 
 REGROUP_OUT = "lecture_id string, grp int, start_s double, end_s double, segments int"
-REGROUP_STATE = "grp int, opened double, last double, closes boolean, segments int, waiting binary"
+REGROUP_STATE = (
+    "grp int, opened double, last double, closes boolean, segments int, "
+    "seqs array<int>, starts array<double>, ends array<double>, closings array<boolean>, stamps array<bigint>")
 
 
 def stream_regroup(segments: DataFrame, p: AsrParams = AsrParams(), lateness: str = "1 hour") -> DataFrame:
@@ -45,15 +47,13 @@ def stream_regroup(segments: DataFrame, p: AsrParams = AsrParams(), lateness: st
     Rows inside the watermark may arrive out of order: they wait in state until the watermark
     has passed them and are then folded in order.
     """
-    import pickle
-
     pause, shortest, longest = p.group_pause, p.group_min_seconds, p.group_max_seconds
     marked = segments.select(
         "lecture_id", "seq", "start_s", "end_s", ends_sentence(F.col("text")).alias("closes"), "ts").withWatermark("ts", lateness)
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        grp, opened, last, closed, n, packed = state.get if state.exists else (-1, 0.0, 0.0, False, 0, pickle.dumps([]))
-        waiting = pickle.loads(packed)
+        grp, opened, last, closed, n, *held = state.get if state.exists else (-1, 0.0, 0.0, False, 0, [], [], [], [], [])
+        waiting = list(zip(*held))
         if not state.hasTimedOut:
             for pdf in batches:
                 stamps = pdf["ts"].astype("int64") // 1_000 if str(pdf["ts"].dtype).endswith("[ns]") else pdf["ts"].astype("int64")
@@ -76,7 +76,9 @@ def stream_regroup(segments: DataFrame, p: AsrParams = AsrParams(), lateness: st
                 out.append((key[0], grp, opened, last, n))
             state.remove()
         else:
-            state.update((int(grp), float(opened), float(last), bool(closed), int(n), pickle.dumps(waiting)))
+            columns = [list(c) for c in zip(*waiting)] or [[], [], [], [], []]
+            held = [[cast(v) for v in c] for cast, c in zip((int, float, float, bool, int), columns)]
+            state.update((int(grp), float(opened), float(last), bool(closed), int(n), *held))
             newest = max([w[4] for w in waiting], default=mark)
             state.setTimeoutTimestamp(int(max(newest, mark) + 1 + longest * 1000))
         yield pd.DataFrame(out, columns=["lecture_id", "grp", "start_s", "end_s", "segments"])
