@@ -15,7 +15,7 @@ MATH_PATTERNS = (
     r"(?<!\$)\$([^$]+?)\$(?!\$)",
 )
 REWRITES = (
-    ("\\left", ""), ("\\right", ""), ("\\limits", ""), ("\\!", ""), ("\\,", " "), ("\;", " "), ("\\:", " "),
+    ("\\left", ""), ("\\right", ""), ("\\limits", ""), ("\\!", ""), ("\\,", " "), ("\\;", " "), ("\\:", " "),
     ("\\quad", " "), ("\\qquad", " "), ("\\displaystyle", ""), ("\\mathbb", "\\mathbf"), ("\\hat", "\\widehat"),
     ("\\tilde", "\\widetilde"),
 )
