@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lecturelab.llm import quality_rules
+from lecturelab.llm import langid, mixing, neardup, quality_rules
 from lecturelab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,20 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 @query("op1_quality_rules", quality_rules.oracle())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+@query("op4_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op5_simhash_neardup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", neardup.fingerprint_text(found["fp"]).alias("fingerprint"), "component_id")
