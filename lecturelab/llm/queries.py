@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lecturelab.llm import langid, mixing, neardup, quality_rules
+from lecturelab.llm import decontaminate, langid, licenses, mixing, neardup, preference, quality_knn, quality_rules, url_filter, warc
 from lecturelab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +45,47 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.clusters(table(spark, sf_dir, "documents"))
     return found.select("doc_id", neardup.fingerprint_text(found["fp"]).alias("fingerprint"), "component_id")
+
+
+@query("op3_license_scans", licenses.oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_preference_formatting", preference.oracle())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring conversations are pairs: the even one is chosen, the odd one rejected."""
+    turns = table(spark, sf_dir, "conversations")
+    side = F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected")
+    return preference.format_pairs(turns, F.expr("conv_id div 2"), side)
+
+
+@query("op9_benchmark_decontamination", decontaminate.oracle())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+URL_RULES = (
+    url_filter.UrlRule("allow", "com"), url_filter.UrlRule("block", "example.com", "/en/"), url_filter.UrlRule("allow", "www.example.com", "/en/"),
+    url_filter.UrlRule("block", "net", "/es/"), url_filter.UrlRule("block", "net", "/fr/"),
+)
+
+
+@query("op6_url_filters")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document with its number: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull())
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    outcomes = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max(bad).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_knn.classify(docs, quality_knn.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_warc", warc.oracle())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
