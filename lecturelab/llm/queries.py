@@ -71,7 +71,7 @@ URL_RULES = (
 )
 
 
-@query("op6_url_filters")
+@query("op6_url_filters", url_filter.oracle(URL_RULES))
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label of the document with its number: bad if of low quality or toxic."""
     labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull())

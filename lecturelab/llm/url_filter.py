@@ -124,3 +124,47 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[UrlRule], key: st
     return slim.join(table, "host").select(
         F.col("_key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"),
         F.col("n").alias("host_labels"), F.col("n_bad").alias("host_bad"))
+
+
+def oracle(rules: Sequence[UrlRule], params: ReputationParams = ReputationParams()) -> str:
+    """The same verdicts as SQL for DuckDB; `outcomes` there are labels of low quality or toxic documents."""
+
+    def longest(what: str) -> str:
+        whens = " ".join(
+            f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{getattr(r, what)}'"
+            for r in sorted(rules, key=lambda r: (len(r.name), r.name), reverse=True))
+        return f"case {whens} end"
+
+    def tail(n: int) -> str:
+        return f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+
+    def strength(units: str, n: str, x: str, mean: str, groups: str) -> str:
+        low, high = params.min_spread, params.max_spread
+        return f"""(select case when coalesce(v, 0) = 0 or units <= one then 1 / {low} - 1
+            else 1 / least(greatest(case when n - nn / n - (units - one) > 0
+                then (s - v / n * (units - one)) / (v / n * (n - nn / n - (units - one))) else {low} end, {low}), {high}) - 1 end as k
+            from (select sum({n} * pow({x} / {n} - {mean}, 2)) as s, count(*) as units, sum({n}) as n, sum({n} * {n}) as nn,
+                sum({n} * {mean} * (1 - {mean})) as v, {groups} as one from {units} where {n} > 0))"""
+
+    long = ", ".join(f"'{x}'" for x in params.long_suffixes)
+    return f"""
+with urls as (select page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') as host,
+    regexp_extract(coalesce(url, ''), '{URL}', 2) as path from pages),
+outcomes as (select doc_id as id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where doc_id is not null group by 1),
+hosts0 as (select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as x,
+    case when {tail(2)} in ({long}) then {tail(3)} else {tail(2)} end as domain,
+    case when {tail(2)} in ({long}) then {tail(2)} else {tail(1)} end as suffix
+    from urls left join outcomes on page_id = id group by host),
+domains0 as (select domain, suffix, sum(n) as dn, sum(x) as dx from hosts0 group by all),
+suffixes0 as (select suffix, sum(dn) as sn, sum(dx) as sx from domains0 group by all),
+overall as (select (coalesce(sum(sx), 0) + 0.5::double) / (coalesce(sum(sn), 0) + 1) as m from suffixes0),
+suffixes1 as (select *, (sx + 0.5::double) / (sn + 1) as s_raw from suffixes0, overall),
+suffixes as (select *, (sx + k * m) / (sn + k) as s_rate from suffixes1, {strength('suffixes1', 'sn', 'sx', 'm', '1')}),
+domains1 as (select d.*, s_raw, s_rate, (dx + 0.5::double) / (dn + 1) as d_raw from domains0 d join suffixes using (suffix)),
+domains as (select * exclude k, (dx + k * s_rate) / (dn + k) as d_rate from domains1, {strength('domains1', 'dn', 'dx', 's_raw', 'count(distinct suffix)')}),
+hosts1 as (select h.*, d_raw, d_rate from hosts0 h join domains using (domain)),
+hosts as (select host, n, x, (x + k * d_rate) / (n + k) as mean, n + k as size from hosts1, {strength('hosts1', 'n', 'x', 'd_raw', 'count(distinct domain)')})
+select page_id, host, path, {longest('name')} as rule,
+    coalesce({longest('verdict')}, case when mean - {params.z} * sqrt(mean * (1 - mean) / (size + 1)) > {params.max_bad} then 'block' else 'allow' end) as verdict,
+    n::bigint as host_labels, x::bigint as host_bad
+from urls join hosts using (host)"""
