@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode word character, sentence end.
+# Unicode word character, Unicode white space, sentence end.
 WORD_CHAR = r"[\p{L}\p{N}_]"
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 SENTENCE_END = r"[.!?…]['\"»)\]]?\s*$"
 
 
@@ -17,7 +18,7 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """Whitespace separated words; empty for null or blank text."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"\s+")
+    parts = F.split(F.coalesce(text, F.lit("")), f"{SPACE}+")
     return F.filter(parts, lambda x: x != "")
 
 
@@ -35,11 +36,11 @@ def truncate_words(text: Column, limit: int | Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of whitespace become one space; ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def ends_sentence(text: Column) -> Column:

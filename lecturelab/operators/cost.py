@@ -98,8 +98,11 @@ def _plan_price(workload_hours: float) -> Column:
     )
 
 
-def asr_prices(rates: DataFrame, minutes: float) -> DataFrame:
-    return rates.select("key", "price_per_hour", (F.col("price_per_hour") * (minutes / 60)).alias("usd_per_lecture"))
+def asr_prices(rates: list[tuple[str, float]], sizes: DataFrame) -> DataFrame:
+    """`lecture_id, key, price_per_hour, usd_per_lecture` of each service for each recording (`lecture_id, duration` in seconds)."""
+    listed = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(float(v)).alias("price_per_hour")) for k, v in rates])
+    spread = sizes.select("lecture_id", "duration", F.inline(listed))
+    return spread.select("lecture_id", "key", "price_per_hour", (F.col("price_per_hour") * F.col("duration") / 3600).alias("usd_per_lecture"))
 
 
 def exclude_synthetic(lectures: DataFrame) -> tuple[DataFrame, DataFrame]:

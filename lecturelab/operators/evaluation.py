@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lecturelab.functions.mathtext import extract_math, term_words
+from lecturelab.functions.mathtext import WRAPPERS, extract_math, term_words
 from lecturelab.operators.intervals import with_prf
 from lecturelab.operators.ordered import BLOCK_ROWS, block_of, running, top_n
 
 
-def formulas(notes: DataFrame) -> DataFrame:
-    """Distinct `doc_id, formula` from `doc_id, text`."""
-    return notes.select("doc_id", F.explode(F.array_distinct(extract_math(F.col("text")))).alias("formula")).distinct()
+def formulas(notes: DataFrame, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
+    """Distinct `doc_id, formula` from `doc_id, text`; macros named in `wrappers` are unwrapped."""
+    return notes.select("doc_id", F.explode(F.array_distinct(extract_math(F.col("text"), wrappers))).alias("formula")).distinct()
 
 
 def terms(notes: DataFrame, min_count: int = 1) -> DataFrame:
@@ -31,9 +31,9 @@ def overlap_counts(generated: DataFrame, reference: DataFrame, item: str) -> Dat
         F.sum("r").cast("long").alias("n_ref"))
 
 
-def formula_prf(generated: DataFrame, reference: DataFrame) -> DataFrame:
+def formula_prf(generated: DataFrame, reference: DataFrame, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
     """`doc_id, matched, n_gen, n_ref, precision, recall, f1` over distinct formulas."""
-    counts = overlap_counts(formulas(generated), formulas(reference), "formula")
+    counts = overlap_counts(formulas(generated, wrappers), formulas(reference, wrappers), "formula")
     return with_prf(counts, "matched", "n_gen", "n_ref")
 
 
@@ -51,9 +51,9 @@ def missing_terms(generated: DataFrame, reference: DataFrame, top: int = 25) ->
     return top_n(lacking.select("doc_id", "term"), ["doc_id"], [F.asc("term")], top, "pos", spread=["term"])
 
 
-def ablation_delta(generated: DataFrame, baseline: DataFrame, reference: DataFrame) -> DataFrame:
+def ablation_delta(generated: DataFrame, baseline: DataFrame, reference: DataFrame, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
     """Recall of the notes, of the transcript alone, and the difference."""
-    system = lambda df, name: formula_prf(df, reference).select("doc_id", F.lit(name).alias("system"), "recall")
+    system = lambda df, name: formula_prf(df, reference, wrappers).select("doc_id", F.lit(name).alias("system"), "recall")
     both = system(generated, "pipeline").unionByName(system(baseline, "transcript"))
     wide = both.groupBy("doc_id").pivot("system", ["pipeline", "transcript"]).agg(F.max("recall"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))

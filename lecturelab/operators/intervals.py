@@ -91,12 +91,12 @@ def segment_transcript(segments: DataFrame, utterances: DataFrame) -> DataFrame:
     return said.groupBy("lecture_id", "sid").agg(joined_text(["pos"], strip(F.col("text")), " ").alias("transcript"))
 
 
-def full_text(utterances: DataFrame, part_rows: int = BLOCK_ROWS) -> DataFrame:
-    """`lecture_id, part, text`: all that was said, in order, in parts of `part_rows` utterances.
+def full_text(utterances: DataFrame, part_rows: int | None = None) -> DataFrame:
+    """`lecture_id, part, text`: all that was said, in order, as one text (`part` 0).
 
-    An ordinary recording is one part; a huge one is not forced into a single string.
+    With `part_rows`, parts of so many utterances, so that a huge recording is not forced into a single string.
     """
-    rows = utterances.withColumn("part", block_of(F.col("uid"), part_rows))
+    rows = utterances.withColumn("part", F.lit(0).cast("long") if part_rows is None else block_of(F.col("uid"), part_rows))
     return rows.groupBy("lecture_id", "part").agg(joined_text(["uid"], strip(F.col("text")), " ").alias("text"))
 
 

@@ -98,7 +98,7 @@ def searchable(chunks: DataFrame) -> DataFrame:
     return chunks.select("lecture_id", F.col("cid").alias("row_id"), F.concat_ws("\n", *parts).alias("text"))
 
 
-def sparse_scores(rows: DataFrame, questions: DataFrame, max_features: int | None = 60_000, stored: bool = True) -> DataFrame:
+def sparse_scores(rows: DataFrame, questions: DataFrame, max_features: int | None = None, stored: bool = True) -> DataFrame:
     """`lecture_id, query_id, cid, score` of passages that share a term with the question.
 
     All questions are answered in one pass: the postings meet the vocabulary and the asked
@@ -139,11 +139,11 @@ def unit(v: Column) -> Column:
 
 
 def hybrid_scores(sparse: DataFrame, dense: DataFrame, weight: float = 0.5) -> DataFrame:
-    """`(1 - w) * sparse + w * dense`; a passage without a shared term has sparse score 0."""
+    """`(1 - w) * sparse + w * dense`, unrounded; a passage without a shared term has sparse score 0."""
     both = dense.join(sparse, ["lecture_id", "query_id", "cid"], "left")
     return both.select(
         "lecture_id", "query_id", "cid",
-        F.round((1 - weight) * F.coalesce("score", F.lit(0.0)) + weight * F.col("dense"), 9).alias("score"))
+        ((1 - weight) * F.coalesce("score", F.lit(0.0)) + weight * F.col("dense")).alias("score"))
 
 
 def search_topk(

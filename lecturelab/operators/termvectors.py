@@ -60,7 +60,7 @@ def weigh(counts: DataFrame, vocab: DataFrame, keys: list[str], keep: tuple[str,
     return raw.select(*keys, "term", (F.col("raw") / norm).alias("w"), *keep)
 
 
-def fit(rows: DataFrame, max_features: int | None = 40_000, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+def fit(rows: DataFrame, max_features: int | None = None, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """(term counts, vocabulary) of `rows`. `stored` writes the counts to the shared folder first.
 
     Counts are read by the vocabulary and again by whatever weighs them, so anything that
@@ -72,5 +72,5 @@ def fit(rows: DataFrame, max_features: int | None = 40_000, stored: bool = False
     return counts, vocabulary(rows, counts, max_features)
 
 
-def tfidf(rows: DataFrame, max_features: int | None = 40_000, stored: bool = False) -> DataFrame:
+def tfidf(rows: DataFrame, max_features: int | None = None, stored: bool = False) -> DataFrame:
     return weigh(*fit(rows, max_features, stored), ["lecture_id", "row_id"])

@@ -34,7 +34,7 @@ class BoardParams:
 
 @dataclass(frozen=True)
 class SegmentParams:
-    max_features: int = 40_000
+    max_features: int | None = None
     window: int = 6
     w_visual: float = 0.6
     w_lexical: float = 0.4
@@ -48,7 +48,7 @@ class SegmentParams:
 class RetrievalParams:
     chunk_words: int = 220
     chunk_overlap: int = 40
-    max_features: int = 60_000
+    max_features: int | None = None
     top_k: int = 6
     neighbour_radius: int = 1
     max_context_chunks: int = 12

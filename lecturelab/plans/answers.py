@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lecturelab.functions.timecode import to_timecode
 from lecturelab.operators import answers as N
-from lecturelab.plans.oracle import sql, tc
+from lecturelab.plans.oracle import rounded, sql, tc
 from lecturelab.plans.prompts import CONTEXT, SAID, asked, context
 from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
@@ -114,7 +114,7 @@ def _quiz(spark, sf):
 @query("validate_quiz", sql("recordings", "select lecture_id, item, question, options, answer_index, round(ref_ts,6) as ref_ts, difficulty from quiz", **QUIZ))
 def _validate(spark, sf):
     return _quiz(spark, sf).select(
-        "lecture_id", "item", "question", F.array_join("options", "|").alias("options"), "answer_index", F.round("ref_ts", 6).alias("ref_ts"), "difficulty")
+        "lecture_id", "item", "question", F.array_join("options", "|").alias("options"), "answer_index", rounded("ref_ts", 6).alias("ref_ts"), "difficulty")
 
 
 @query("score_quiz", sql("recordings", "select lecture_id, count(*) filter (item%4=answer_index) as correct, count(*) as total from quiz group by 1", **QUIZ))
@@ -126,7 +126,7 @@ def _score(spark, sf):
 @query("difficulty_mix", sql("recordings", """select lecture_id, difficulty, count(*) as n, round(count(*)/sum(count(*)) over (partition by lecture_id),6) as share,
  round(count(*)/sum(count(*)) over (partition by lecture_id)-case difficulty when 'recall' then 1/2 when 'apply' then 1/3 else 1/6 end,6) as off_target from quiz group by 1,2""", **QUIZ))
 def _mix(spark, sf):
-    return N.difficulty_mix(_quiz(spark, sf)).withColumns({"share": F.round("share", 6), "off_target": F.round("off_target", 6)})
+    return N.difficulty_mix(_quiz(spark, sf)).withColumns({"share": rounded("share", 6), "off_target": rounded("off_target", 6)})
 
 
 @query("quiz_text", sql("recordings", f"""select lecture_id, string_agg(item||'. ['||{tc('ref_ts')}||'] ('||difficulty||') '||question||chr(10)||'   А) '||o[1]||chr(10)||'   Б) '||o[2]||chr(10)||'   В) '||o[3]||chr(10)||'   Г) '||o[4]

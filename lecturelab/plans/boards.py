@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lecturelab.operators import boards as B
 from lecturelab.params import BoardParams
-from lecturelab.plans.oracle import sql
+from lecturelab.plans.oracle import rounded, sql
 from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
 
@@ -63,14 +63,14 @@ def durations(spark, sf):
 
 @query("ink_ratio", sql("frames px", "select lecture_id, frame_idx, round(coverage,6) as ink_ratio from cov", **CUR))
 def _ratio(spark, sf):
-    return B.ink_ratio(T.masks(spark, sf)).withColumn("ink_ratio", F.round("ink_ratio", 6))
+    return B.ink_ratio(T.masks(spark, sf)).withColumn("ink_ratio", rounded("ink_ratio", 6))
 
 
 @query("ink_delta", sql("frames px", """select lecture_id, frame_idx, round(added,6) as added, round(removed,6) as removed, round(coverage,6) as coverage,
  round(added-removed,6) as net, round(added+removed,6) as churn from delta""", **CUR))
 def _delta(spark, sf):
     out = B.ink_delta(T.masks(spark, sf))
-    return out.select("lecture_id", "frame_idx", *[F.round(c, 6).alias(c) for c in ("added", "removed", "coverage", "net", "churn")])
+    return out.select("lecture_id", "frame_idx", *[rounded(c, 6).alias(c) for c in ("added", "removed", "coverage", "net", "churn")])
 
 
 @query("dilate_mask", sql("frames px", "select * from wide", wide=CUR["wide"]))
@@ -80,7 +80,7 @@ def _dilate(spark, sf):
 
 @query("sparse_delta", sql("frames px", "select lecture_id, frame_idx, round(added,6) as added, round(removed,6) as removed from wdelta", **CUR))
 def _wdelta(spark, sf):
-    return wide_delta(spark, sf).select("lecture_id", "frame_idx", F.round("added", 6).alias("added"), F.round("removed", 6).alias("removed"))
+    return wide_delta(spark, sf).select("lecture_id", "frame_idx", rounded("added", 6).alias("added"), rounded("removed", 6).alias("removed"))
 
 
 VOL = dict(
@@ -100,7 +100,7 @@ def _unstable(spark, sf):
 
 @query("volatility_map", sql("frames px", "select lecture_id, cast(pixel as int) as pixel, changes, round(v,6) as volatility from vol", **VOL))
 def _vol(spark, sf):
-    return B.volatility(T.masks(spark, sf), 32).withColumn("volatility", F.round("volatility", 6))
+    return B.volatility(T.masks(spark, sf), 32).withColumn("volatility", rounded("volatility", 6))
 
 
 @query("content_mask", sql("frames px", "select lecture_id, cast(pixel as int) as pixel from noisy", **VOL))
@@ -181,14 +181,14 @@ def _trials(spark, sf):
     recursive=True, **CUR, **CAL))
 def _calibrate(spark, sf):
     out = _trials(spark, sf)
-    return out.select("lecture_id", "trial", "tau_erase", "tau_jump", "n_pred", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return out.select("lecture_id", "trial", "tau_erase", "tau_jump", "n_pred", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("best_thresholds", sql("frames px", """select lecture_id, tr as trial, te::double as tau_erase, tj::double as tau_jump, n_pred, round(f1,6) as f1 from scored
  qualify row_number() over (partition by lecture_id order by round(f1,9) desc, tr)=1""", recursive=True, **CUR, **CAL))
 def _best(spark, sf):
-    trials = _trials(spark, sf).withColumn("f1", F.round("f1", 9))
-    return B.best_thresholds(trials).withColumn("f1", F.round("f1", 6))
+    trials = _trials(spark, sf).withColumn("f1", rounded("f1", 9))
+    return B.best_thresholds(trials).withColumn("f1", rounded("f1", 6))
 
 
 @query("board_filter", sql("boards", "select lecture_id, bid from boards where coalesce(latex,'')<>'' or coalesce(confidence,0)>=0.35"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lecturelab.operators import cost as C
-from lecturelab.plans.oracle import duration, num, sql, tc
+from lecturelab.plans.oracle import duration, num, rounded, sql, tc
 from lecturelab.plans.registry import query
 from lecturelab.sources import prices
 from lecturelab.sources import tables as T
@@ -60,7 +60,7 @@ def _usage_rows(spark, sf):
 
 @query("usage_cost", sql(NEED, "select lecture_id, stage, model, input_tokens, output_tokens, round(cost_usd,6) as cost_usd from rows_", **ROWS))
 def _usage_cost(spark, sf):
-    return _priced(spark, sf).select("lecture_id", "stage", "model", "input_tokens", "output_tokens", F.round("cost_usd", 6).alias("cost_usd"))
+    return _priced(spark, sf).select("lecture_id", "stage", "model", "input_tokens", "output_tokens", rounded("cost_usd", 6).alias("cost_usd"))
 
 
 MEASURES = ("cost_usd", "processing_seconds", "transcription_seconds", "hours", "cost_per_hour", "realtime_factor")
@@ -71,12 +71,12 @@ MEASURES = ("cost_usd", "processing_seconds", "transcription_seconds", "hours",
 def _run_cost(spark, sf):
     return _runs(spark, sf).select(
         "lecture_id", "duration", "calls", "input_tokens", "output_tokens", "tokens", "model_assumed", "models",
-        *[F.round(m, 6).alias(m) for m in MEASURES])
+        *[rounded(m, 6).alias(m) for m in MEASURES])
 
 
 @query("scale_cost", sql(NEED, "select lecture_id, duration, " + ", ".join(f"round({c}*4800/duration,4) as {c}" for c in C.SCALED) + " from runs where duration>0", **RUNS))
 def _scale(spark, sf):
-    return C.scale_cost(_runs(spark, sf), 80.0).select("lecture_id", "duration", *[F.round(c, 4).alias(c) for c in C.SCALED])
+    return C.scale_cost(_runs(spark, sf), 80.0).select("lecture_id", "duration", *[rounded(c, 4).alias(c) for c in C.SCALED])
 
 
 PLANS_SQL = "select * from (values " + ",".join(
@@ -89,7 +89,7 @@ PRICE = """case kind when 'subscription' then coalesce(price_per_month,0)/nullif
 def _analogs(spark, sf):
     sizes = T.recordings(spark, sf).select("lecture_id", (F.col("duration") / 60).alias("minutes"), "boards")
     return C.analog_prices(prices.PLANS, sizes, prices.WORKLOAD_HOURS).select(
-        "lecture_id", "key", "kind", F.round("usd_per_lecture", 6).alias("usd_per_lecture"))
+        "lecture_id", "key", "kind", rounded("usd_per_lecture", 6).alias("usd_per_lecture"))
 
 
 ASR_SQL = "select * from (values " + ",".join(f"('{k}',{v}::double)" for k, v in prices.ASR_RATES) + ") t(key,price_per_hour)"
@@ -97,19 +97,21 @@ ASR_SQL = "select * from (values " + ",".join(f"('{k}',{v}::double)" for k, v in
 
 @query("asr_prices", sql("recordings", "select lecture_id, key, round(price_per_hour*duration/3600,6) as usd_per_lecture from recordings, rates_", rates_=ASR_SQL))
 def _asr(spark, sf):
-    listed = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("price")) for k, v in prices.ASR_RATES])
-    rows = T.recordings(spark, sf).select("lecture_id", "duration", F.inline(listed))
-    return rows.select("lecture_id", "key", F.round(F.col("price") * F.col("duration") / 3600, 6).alias("usd_per_lecture"))
+    rows = C.asr_prices(prices.ASR_RATES, T.recordings(spark, sf))
+    return rows.select("lecture_id", "key", rounded("usd_per_lecture", 6).alias("usd_per_lecture"))
 
 
-@query("exclude_synthetic", sql("recordings", "select lecture_id, title from recordings where asr_model<>'fake'"))
+@query("exclude_synthetic", sql("recordings", """select lecture_id, title, null::bigint as skipped from recordings where asr_model<>'fake'
+ union all select null, null, count(*) filter (asr_model='fake') from recordings"""))
 def _real(spark, sf):
-    return C.exclude_synthetic(T.recordings(spark, sf))[0].select("lecture_id", "title")
+    """The real recordings, and one row with the number left out."""
+    real, left_out = C.exclude_synthetic(T.recordings(spark, sf))
+    return real.select("lecture_id", "title", F.lit(None).cast("long").alias("skipped")).unionByName(left_out, allowMissingColumns=True)
 
 
 @query("runs_table", sql(NEED, f"select lecture_id, substring(title,1,34) as title, {tc('duration')} as length, segments, boards, calls, input_tokens, output_tokens, {num('round(cost_usd,6)', 4)} as cost from runs", **RUNS))
 def _runs_table(spark, sf):
-    runs = _runs(spark, sf).withColumn("cost_usd", F.round("cost_usd", 6))
+    runs = _runs(spark, sf).withColumn("cost_usd", rounded("cost_usd", 6))
     rec = T.recordings(spark, sf).drop("duration").withColumn("source", F.lit("talk.mp4"))
     return C.runs_table(rec, runs)
 
@@ -121,10 +123,10 @@ WIDE = dict(RUNS, wide="select lecture_id, " + ", ".join(f"round(coalesce(sum(se
     + f""", {num('round(processing_seconds,6)', 1)} as total, {num('case when hours>0 then round(processing_seconds,6)/60/hours else 0 end', 1)} as minutes_per_hour,
  case when realtime_factor is null then '—' else '×'||cast(cast(round_even(duration/round(processing_seconds,6)*10,0)/10 as decimal(38,1)) as varchar) end as speed from runs join wide using (lecture_id)""", **WIDE))
 def _perf(spark, sf):
-    runs = _runs(spark, sf).withColumn("processing_seconds", F.round("processing_seconds", 6))
+    runs = _runs(spark, sf).withColumn("processing_seconds", rounded("processing_seconds", 6))
     runs = runs.withColumn("realtime_factor", F.nullif("duration", F.lit(0.0)) / F.nullif("processing_seconds", F.lit(0.0)))
     # hundredths of a second, so that no sum sits on a rounding edge by chance of its order
-    exact = T.stage_timings(spark, sf).groupBy("lecture_id", "stage").agg(F.round(F.sum("seconds"), 6).alias("seconds"))
+    exact = T.stage_timings(spark, sf).groupBy("lecture_id", "stage").agg(rounded(F.sum("seconds"), 6).alias("seconds"))
     return C.perf_table(exact, runs)
 
 
@@ -132,20 +134,20 @@ def _perf(spark, sf):
  {num('round(cost_usd,6)*k', 3)} as cost, {duration('processing_seconds*k')} as processing, {duration('transcription_seconds*k')} as transcription
  from (select *, 4800/duration as k from runs where duration>0 and calls>0)""", **RUNS))
 def _scaled(spark, sf):
-    return C.scaled_table(_runs(spark, sf).withColumn("cost_usd", F.round("cost_usd", 6)), 80.0)
+    return C.scaled_table(_runs(spark, sf).withColumn("cost_usd", rounded("cost_usd", 6)), 80.0)
 
 
 @query("analog_comparison", sql(NEED, f"""select key, kind, round(case when kind='pay-per-use' then own else {PRICE} end,6) as usd_per_lecture from plans,
  (select cost_usd*4800/duration as own, round_even(boards*4800/duration,0) as boards, 80.0::double as minutes from runs where calls>0 order by duration desc, lecture_id limit 1)""", plans=PLANS_SQL, **RUNS))
 def _comparison(spark, sf):
     out = C.analog_comparison(prices.PLANS, _runs(spark, sf), T.recordings(spark, sf), 80.0, prices.WORKLOAD_HOURS)
-    return out.withColumn("usd_per_lecture", F.round("usd_per_lecture", 6))
+    return out.withColumn("usd_per_lecture", rounded("usd_per_lecture", 6))
 
 
 @query("cost_by_stage", sql(NEED, """select lecture_id, stage, model, cast(sum(calls) as bigint) as calls, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens,
  round(sum(cost_usd),6) as cost_usd from rows_ group by grouping sets ((lecture_id, stage, model), (lecture_id))""", **ROWS))
 def _by_stage(spark, sf):
-    return C.cost_by_stage(_priced(spark, sf)).withColumn("cost_usd", F.round("cost_usd", 6))
+    return C.cost_by_stage(_priced(spark, sf)).withColumn("cost_usd", rounded("cost_usd", 6))
 
 
 @query("bench_table", sql("", """select event_id, round_even(value*1000/nullif(k,0)*100,0)/100 as ms_per_item, k=event_id%100 as complete from (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lecturelab.plans.oracle import sql, tc
+from lecturelab.plans.oracle import rounded, sql, tc
 from lecturelab.plans.registry import query
 from lecturelab.session import scratch_path
 from lecturelab.sources import lectures as S
@@ -26,14 +26,14 @@ def _written(spark, sf):
 def _write(spark, sf):
     d = _written(spark, sf)
     return d.select(
-        "lecture_id", "source", "title", F.round("duration", 6).alias("duration"), F.greatest(F.size("utterances"), F.lit(0)).alias("utterances"),
+        "lecture_id", "source", "title", rounded("duration", 6).alias("duration"), F.greatest(F.size("utterances"), F.lit(0)).alias("utterances"),
         F.greatest(F.size("segments"), F.lit(0)).alias("segments"), F.md5(F.array_join(F.transform("utterances", lambda u: u["text"]), "|")).alias("text_md5"))
 
 
 @query("read_lectures", sql("speech", "select lecture_id, uid, round(start_s,6) as start_s, round(end_s,6) as end_s, text from speech"))
 def _read(spark, sf):
     rows = _written(spark, sf).select("lecture_id", F.inline("utterances"))
-    return rows.select("lecture_id", "uid", F.round("span.start", 6).alias("start_s"), F.round("span.end", 6).alias("end_s"), "text")
+    return rows.select("lecture_id", "uid", rounded("span.start", 6).alias("start_s"), rounded("span.end", 6).alias("end_s"), "text")
 
 
 @query("library_listing", sql("lectures segments", """select l.lecture_id as run, case when title='' then l.doc_id::varchar else title end as title, coalesce(s.n,0)::int as segments, coalesce(s.ready,false) as ready, l.doc_id*3+1 as bytes

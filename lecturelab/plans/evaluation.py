@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lecturelab.functions.mathtext import STOP_WORDS, extract_math, normalise_math
 from lecturelab.operators import evaluation as E
-from lecturelab.plans.oracle import sql
+from lecturelab.plans.oracle import rounded, sql
 from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
 
@@ -66,14 +66,14 @@ def _terms(spark, sf):
  round(case when p+r>0 then 2*p*r/(p+r) else 0 end,6) as f1 from pr""", **PRF))
 def _prf(spark, sf):
     out = E.formula_prf(*_notes(spark, sf))
-    return out.select("doc_id", "matched", "n_gen", "n_ref", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return out.select("doc_id", "matched", "n_gen", "n_ref", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("term_coverage", sql("sent_rows", """select coalesce(g.doc_id,r.doc_id) as doc_id, count(*) filter (g.term is not null and r.term is not null) as matched, count(r.term) as n_ref,
  round(case when count(r.term)>0 then count(*) filter (g.term is not null and r.term is not null)/count(r.term) else 0 end,6) as coverage
  from gt g full join rt r on g.doc_id=r.doc_id and g.term=r.term group by 1""", **COV))
 def _coverage(spark, sf):
-    return E.term_coverage(*_notes(spark, sf)).withColumn("coverage", F.round("coverage", 6))
+    return E.term_coverage(*_notes(spark, sf)).withColumn("coverage", rounded("coverage", 6))
 
 
 @query("missing_terms", sql("sent_rows", """select doc_id, term, cast(row_number() over (partition by doc_id order by term) as int) as pos from rt
@@ -88,7 +88,7 @@ def _missing(spark, sf):
 def _ablation(spark, sf):
     gen, ref = _notes(spark, sf)
     out = E.ablation_delta(gen, _spoken(spark, sf), ref)
-    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("pipeline", "transcript", "delta")])
+    return out.select("doc_id", *[rounded(c, 6).alias(c) for c in ("pipeline", "transcript", "delta")])
 
 
 WIN = dict(
@@ -102,9 +102,9 @@ WIN = dict(
 
 @query("pk", sql("flags", "select lecture_id, length, k, round(pk,6) as pk from err", **WIN))
 def _pk(spark, sf):
-    return E.window_errors(T.boundary_flags(spark, sf)).select("lecture_id", "length", "k", F.round("pk", 6).alias("pk"))
+    return E.window_errors(T.boundary_flags(spark, sf)).select("lecture_id", "length", "k", rounded("pk", 6).alias("pk"))
 
 
 @query("window_diff", sql("flags", "select lecture_id, length, k, round(wd,6) as window_diff from err", **WIN))
 def _wd(spark, sf):
-    return E.window_errors(T.boundary_flags(spark, sf)).select("lecture_id", "length", "k", F.round("window_diff", 6).alias("window_diff"))
+    return E.window_errors(T.boundary_flags(spark, sf)).select("lecture_id", "length", "k", rounded("window_diff", 6).alias("window_diff"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from lecturelab.functions.text import SPACE
+
 CTES: dict[str, str] = {
     "sents": r"""select doc_id, 'd'||doc_id as lecture_id, source, lang,
  list_filter(list_transform(regexp_extract_all(text,'[^.!?\n]+[.!?]*'), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x<>'') as s
@@ -98,7 +103,14 @@ def sql(needs: str, body: str, recursive: bool = False, **local: str) -> str:
             done.append(name)
             parts.append(f"{name} as ({text})")
     head = "with recursive " if recursive else "with "
-    return head + ",\n".join(parts) + "\n" + body if parts else body
+    out = head + ",\n".join(parts) + "\n" + body if parts else body
+    return out.replace(r"\s+", f"{SPACE}+")
+
+
+def rounded(value: Column | str, digits: int) -> Column:
+    """Half away from zero on the scaled binary value, as DuckDB's `round`: one rounding, alike on both sides."""
+    value, scale = F.col(value) if isinstance(value, str) else value, float(10**digits)
+    return F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
 
 
 def tc(x: str) -> str:

@@ -51,13 +51,12 @@ BLOCKS = dict(
 
 
 @query("section_prompts", sql("speech segments boards", f"""select s.lecture_id, s.sid, s.sid+1 as index, count(*) over (partition by s.lecture_id) as total, {tc('s.start_s')} as start_tc, {tc('s.end_s')} as end_tc,
- {cut('t.transcript', 50)} as transcript, coalesce(b.boards,'') as boards, p.previous from segments s join said t using (lecture_id, sid) join previous p using (lecture_id, sid) left join blocks b using (lecture_id, sid)""",
+ {cut('t.transcript', 2500)} as transcript, coalesce(b.boards,'') as boards, p.previous from segments s join said t using (lecture_id, sid) join previous p using (lecture_id, sid) left join blocks b using (lecture_id, sid)""",
     said=SAID, **EARLIER, **BLOCKS))
 def _sections(spark, sf):
-    from lecturelab.params import PromptParams
     segs = T.segments(spark, sf)
     found = J.boards_in(T.boards(spark, sf), segs.select("lecture_id", "sid", F.col("start_s").alias("span_start"), F.col("end_s").alias("span_end")))
-    return P.section_prompts(segs, transcripts(spark, sf), P.section_boards(found), previous(spark, sf), PromptParams(max_transcript_words=50))
+    return P.section_prompts(segs, transcripts(spark, sf), P.section_boards(found), previous(spark, sf))
 
 
 CONTEXT = """select lecture_id, 0 as query_id, sid, start_s, case when title='' then 'Untitled' else title end as title, transcript as text, row_number() over (partition by lecture_id order by start_s, sid) as pos
@@ -84,19 +83,19 @@ def _qa(spark, sf):
 
 
 @query("quiz_groups", sql("talks", f"""select t.lecture_id, cast(t.uid//4 as int) as grp, greatest(1, cast(round_even(10.0::double/ceil(n.n/4),0) as int)) as per_group, count(*) as chunks,
- md5(string_agg('### ['||{tc('t.start_s')}||'] Turn'||chr(10)||{cut('t.text', 30)}, chr(10)||chr(10) order by t.uid)) as material_md5
+ md5(string_agg('### ['||{tc('t.start_s')}||'] Turn'||chr(10)||{cut('t.text', 400)}, chr(10)||chr(10) order by t.uid)) as material_md5
  from talks t join (select lecture_id, count(*) as n from talks group by 1) n on n.lecture_id=t.lecture_id group by 1,2,3"""))
 def _groups(spark, sf):
     chunks = T.talks(spark, sf).select("lecture_id", F.col("uid").alias("cid"), "start_s", F.lit("Turn").alias("title"), "text", F.lit(None).cast("string").alias("board"))
-    return P.quiz_groups(chunks, max_words=30).select("lecture_id", "grp", "per_group", "chunks", F.md5("material").alias("material_md5"))
+    return P.quiz_groups(chunks).select("lecture_id", "grp", "per_group", "chunks", F.md5("material").alias("material_md5"))
 
 
 @query("summary_inputs", sql("speech segments", f"""select s.lecture_id, s.sid, {tc('s.start_s')} as tc, case when s.title='' then 'Раздел' else s.title end as title,
  case when len(string_split_regex(b.txt,'\\s+'))<=b.budget then b.txt else array_to_string(string_split_regex(b.txt,'\\s+')[1:b.budget],' ')||' …' end as body
  from segments s join (select s.lecture_id, s.sid, case when trim(s.body)<>'' then s.body else t.transcript end as txt,
- greatest(200, 900//count(*) over (partition by s.lecture_id)) as budget from segments s join said t using (lecture_id, sid)) b on b.lecture_id=s.lecture_id and b.sid=s.sid""", said=SAID))
+ greatest(200, 12000//count(*) over (partition by s.lecture_id)) as budget from segments s join said t using (lecture_id, sid)) b on b.lecture_id=s.lecture_id and b.sid=s.sid""", said=SAID))
 def _summary(spark, sf):
-    return P.summary_inputs(T.segments(spark, sf), transcripts(spark, sf), 900)
+    return P.summary_inputs(T.segments(spark, sf), transcripts(spark, sf))
 
 
 @query("summary_cache", sql("lectures", "select md5(title) as key, min(title) as title from lectures where not exists (select 1 from lectures s where s.asr_model='fake' and s.title=lectures.title) group by 1"))

@@ -10,7 +10,6 @@ from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
 
 BODY = r"""case words%6 when 0 then t when 1 then t||' {' when 2 then '\begin{align} '||t when 3 then t||' \[ x' when 4 then '\begin{frame} '||t||' \end{frame}' else '\usepackage{x} '||t||' \end{proof}' end"""
-PLAIN = r"regexp_replace(text,'[^A-Za-z ]+',' ')"
 
 
 def _bodies(spark, sf):
@@ -19,30 +18,40 @@ def _bodies(spark, sf):
     return T.speech(spark, sf).withColumn("t", F.regexp_replace("text", "[^A-Za-z ]+", " ")).select("lecture_id", "uid", "words", body.alias("body"))
 
 
-ERRORS = r"""case words%6 when 0 then '' when 1 then 'unbalanced braces (1 open, 0 close)' when 2 then 'unclosed environment(s): align' when 3 then 'unbalanced display-math delimiters'
- when 4 then '' else 'fragment contains preamble-only commands; mismatched \end{proof}' end"""
+ERRORS = r"""case words%6 when 0 then '' when 1 then 'brace-count: 1/0' when 2 then 'begin-without-end: align' when 3 then 'display-math-count'
+ when 4 then '' else 'preamble-command; end-without-begin: proof' end"""
 
 
-@query("latex_quality", sql("speech", f"select lecture_id, uid, words%6 in (0,4) as ok, {ERRORS} as errors, case when words%6=4 then 'unexpected environment `frame`; unexpected environment `frame`' else '' end as warnings from speech"))
+@query("latex_quality", sql("speech", f"select lecture_id, uid, words%6 in (0,4) as ok, {ERRORS} as errors, case when words%6=4 then 'unknown-environment: frame; unknown-environment: frame' else '' end as warnings from speech"))
 def _quality(spark, sf):
     r = L.latex_quality(F.col("body"))
     return _bodies(spark, sf).select("lecture_id", "uid", r.alias("r")).select(
         "lecture_id", "uid", "r.ok", F.array_join("r.errors", "; ").alias("errors"), F.array_join("r.warnings", "; ").alias("warnings"))
 
 
-@query("latex_quality_report", sql("speech", """select lecture_id, e as error, count(*) as n from (select lecture_id, unnest(case words%6 when 1 then ['unbalanced braces'] when 2 then ['unclosed environment']
- when 3 then ['unbalanced display-math delimiters'] when 5 then ['fragment contains preamble-only commands','mismatched'] else [] end) as e from speech) group by 1,2"""))
+@query("latex_quality_report", sql("speech", """select lecture_id, e as error, count(*) as n from (select lecture_id, unnest(case words%6 when 1 then ['brace-count'] when 2 then ['begin-without-end']
+ when 3 then ['display-math-count'] when 5 then ['preamble-command','end-without-begin'] else [] end) as e from speech) group by 1,2"""))
 def _report(spark, sf):
     return L.latex_quality_report(_bodies(spark, sf).select("lecture_id", "body"))
 
 
-@query("latex_strip_noise")
+NOISE = " \\% kept % dropped\nnext \\verb|{| \\begin{verbatim}}{\\end{verbatim}"
+#: A comment may not follow a backslash; without look-behind the character before it is captured and put back.
+CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(f,'(?s)\\verb\|[^|]*\||\\begin\{verbatim\}.*?\\end\{verbatim\}',' ','g'),'(^|[^\\])%[^\n]*','\1','g'),'\\[\\{}$&#%_]',' ','g')"""
+
+
+@query("latex_strip_noise", sql("speech", f"select lecture_id, uid, {CLEAN} as clean from (select lecture_id, uid, text||'{NOISE}' as f from speech)"))
 def _strip(spark, sf):
-    noisy = F.concat("body", F.lit(" \\% kept % dropped\nnext \\verb|{| \\begin{verbatim}}{\\end{verbatim}"))
-    return _bodies(spark, sf).select("lecture_id", "uid", L.latex_strip_noise(noisy).alias("clean"))
+    """Whole sentences as they are, with every kind of noise behind them."""
+    rows = T.speech(spark, sf).select("lecture_id", "uid", F.concat("text", F.lit(NOISE)).alias("f"))
+    return rows.select("lecture_id", "uid", L.latex_strip_noise(F.col("f")).alias("clean"))
+
+
+NOTED = "replace(b,'\\usepackage','')"
+SANE = r"""'{a}\[x\]'||chr(10)||chr(10)||case when trim(N)='' then '\note' else '\begin{note}'||chr(10)||trim(N)||chr(10)||'\end{note}' end""".replace("N)", NOTED + ")")
 
 
-@query("latex_sanitise")
+@query("latex_sanitise", sql("speech", f"select lecture_id, uid, {SANE} as clean from (select lecture_id, uid, {BODY} as b from (select *, regexp_replace(text,'[^A-Za-z ]+',' ','g') as t from speech))"))
 def _sanitise(spark, sf):
     fenced = F.concat(F.lit("```latex\n\\usepackage{a}$$x$$\n\n\n\n\\note "), "body", F.lit("\n```"))
     return _bodies(spark, sf).select("lecture_id", "uid", L.latex_sanitise(fenced).alias("clean"))

@@ -8,7 +8,7 @@ from lecturelab.functions.timecode import to_timecode
 from lecturelab.operators import retrieval as R
 from lecturelab.operators.intervals import neighbour_chunks
 from lecturelab.operators.termvectors import most_frequent, term_counts, tfidf
-from lecturelab.plans.oracle import sql, tc
+from lecturelab.plans.oracle import rounded, sql, tc
 from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
 
@@ -53,7 +53,7 @@ def _tokens(spark, sf):
 @query("tfidf", sql("talks fit_rows fit_w", "select lecture_id, row_id, term, round(w,6) as w from fit_w",
                     fit_rows="select lecture_id, uid as row_id, text from talks"))
 def _tfidf(spark, sf):
-    return tfidf(T.talks(spark, sf).withColumnRenamed("uid", "row_id")).withColumn("w", F.round("w", 6))
+    return tfidf(T.talks(spark, sf).withColumnRenamed("uid", "row_id")).withColumn("w", rounded("w", 6))
 
 
 CAP = 200
@@ -71,7 +71,7 @@ def _cap(spark, sf):
 
 @query("sparse_scores", sql(NEED, "select lecture_id, query_id, cid, round(score,6) as score from scores", fit_rows=PASSAGES, **SCORES))
 def _sparse(spark, sf):
-    return R.sparse_scores(_passages(spark, sf), T.questions(spark, sf), None).withColumn("score", F.round("score", 6))
+    return R.sparse_scores(_passages(spark, sf), T.questions(spark, sf), None).withColumn("score", rounded("score", 6))
 
 
 @query("search_topk", sql(NEED, f"""select h.lecture_id, h.query_id, h.rank, h.cid, round(h.score,6) as score, {tc('l.start_s')} as tc
@@ -80,7 +80,7 @@ def search(spark, sf):
     hits = _hits(spark, sf)
     starts = T.library(spark, sf).select("lecture_id", F.col("uid").alias("cid"), "start_s")
     return hits.join(starts, ["lecture_id", "cid"]).select(
-        "lecture_id", "query_id", "rank", "cid", F.round("score", 6).alias("score"), to_timecode(F.col("start_s")).alias("tc"))
+        "lecture_id", "query_id", "rank", "cid", rounded("score", 6).alias("score"), to_timecode(F.col("start_s")).alias("tc"))
 
 
 @query("neighbour_chunks", sql("vectors", """select a.lecture_id, a.cid as hit_cid, b.cid from vectors a join vectors b
@@ -111,7 +111,7 @@ def _first_vectors(spark, sf):
 
 @query("dense_scores", sql("vectors", "select lecture_id, query_id, cid, round(dense,6) as dense from dense", firsts=FIRST, dense=DENSE))
 def _dense(spark, sf):
-    return R.dense_scores(*_first_vectors(spark, sf)).withColumn("dense", F.round("dense", 6))
+    return R.dense_scores(*_first_vectors(spark, sf)).withColumn("dense", rounded("dense", 6))
 
 
 # passages whose first component is positive also share a term with the question
@@ -123,7 +123,7 @@ def _hybrid(spark, sf):
     chunks, asked = _first_vectors(spark, sf)
     sparse = chunks.join(asked.select("lecture_id", "query_id"), "lecture_id").select(
         "lecture_id", "query_id", "cid", F.get("embedding", F.lit(0)).cast("double").alias("score")).where("score > 0")
-    return R.hybrid_scores(sparse, R.dense_scores(chunks, asked)).withColumn("score", F.round("score", 6))
+    return R.hybrid_scores(sparse, R.dense_scores(chunks, asked)).withColumn("score", rounded("score", 6))
 
 
 SEG_BOARDS = """select s.lecture_id, s.sid, b.bid, b.latex, b.caption, b.confidence, b.key_ts from segments s join boards b
@@ -176,7 +176,7 @@ CHUNKS = dict(
 def _chunks(spark, sf):
     out = R.build_chunks(T.segments(spark, sf), T.speech(spark, sf))
     return out.select(
-        "lecture_id", "cid", "sid", F.round("start_s", 3).alias("start_s"), "title", F.md5("text").alias("text_md5"), "n_utterances")
+        "lecture_id", "cid", "sid", rounded("start_s", 3).alias("start_s"), "title", F.md5("text").alias("text_md5"), "n_utterances")
 
 
 @query("transcript_filter", sql("speech", """select lecture_id, uid, cast(row_number() over (partition by lecture_id order by uid) as int) as pos

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lecturelab.functions import text as X
 from lecturelab.functions import timecode as C
-from lecturelab.plans.oracle import cut, duration, num, sql, tc, usd, words
+from lecturelab.plans.oracle import cut, duration, num, rounded, sql, tc, usd, words
 from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
 
@@ -19,7 +19,7 @@ BACK = "list_reduce(list_transform(string_split(tc,':'), lambda v: try_cast(v as
 def _timecodes(spark, sf):
     t = F.col("start_s") / 100
     rows = T.asr_segments(spark, sf).select("lecture_id", "seq", C.to_timecode(t).alias("tc"), C.to_timecode(t, True).alias("tc_hours"))
-    return rows.withColumn("seconds", F.round(C.from_timecode(F.col("tc")), 6))
+    return rows.withColumn("seconds", rounded(C.from_timecode(F.col("tc")), 6))
 
 
 SRC = """case when page_id%3=0 then 'https://www.youtube.com/watch?t=1&v=abcdef-'||lpad(cast(page_id as varchar),4,'0') when page_id%3=1 then url else '/video/'||page_id||'.mp4' end"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lecturelab.functions.spans import span_iou, span_is_valid, span_overlap
 from lecturelab.operators import intervals as J
-from lecturelab.plans.oracle import cut, sql
+from lecturelab.plans.oracle import cut, rounded, sql
 from lecturelab.plans.registry import query
 from lecturelab.plans.retrieval import segments_with_boards
 from lecturelab.sources import tables as T
@@ -32,13 +32,13 @@ def _overlap(spark, sf):
     rows = shifted(T.speech(spark, sf).select("lecture_id", "uid", "start_s", "end_s"), ["lecture_id"], "uid",
                    {"s2": ("start_s", 1), "e2": ("end_s", 1)}).where("s2 is not null")
     args = (F.col("start_s"), F.col("end_s") + 1.5, F.col("s2"), F.col("e2"))
-    return rows.select("lecture_id", "uid", F.round(span_overlap(*args), 6).alias("overlap"), F.round(span_iou(*args), 6).alias("iou"))
+    return rows.select("lecture_id", "uid", rounded(span_overlap(*args), 6).alias("overlap"), rounded(span_iou(*args), 6).alias("iou"))
 
 
 @query("merge_spans", sql("speech", "select lecture_id, round(min(start_s),6) as start_s, round(max(end_s),6) as end_s from speech group by 1"))
 def _merge(spark, sf):
     return J.merge_spans(T.speech(spark, sf), ["lecture_id"]).select(
-        "lecture_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+        "lecture_id", rounded("start_s", 6).alias("start_s"), rounded("end_s", 6).alias("end_s"))
 
 
 @query("utterances_in", sql("speech boards", """select u.lecture_id, b.bid, u.uid from speech u join boards b on u.lecture_id=b.lecture_id
@@ -101,7 +101,7 @@ MATCH = dict(
 def _match(spark, sf):
     truth, pred = marks(spark, sf)
     out = J.match_marks(truth, pred, 10.0)
-    return out.select("lecture_id", "hits", "n_true", "n_pred", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return out.select("lecture_id", "hits", "n_true", "n_pred", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("missed_marks", sql("boards segments", """select b.lecture_id, b.start_s as t from boards b where not exists

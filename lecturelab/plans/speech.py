@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lecturelab.functions.text import ends_sentence, looks_degenerate
 from lecturelab.operators import asr as A
 from lecturelab.params import AsrParams
-from lecturelab.plans.oracle import sql
+from lecturelab.plans.oracle import rounded, sql
 from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
 
@@ -73,4 +73,4 @@ def _regroup(spark, sf):
  avg(k.avg_logprob) as lp, max(k.no_speech_prob) as ns from fold f join kept k using (lecture_id, seq) group by 1,2)""", recursive=True, **FOLD))
 def _rollup(spark, sf):
     out = A.build_utterances(T.asr_segments(spark, sf), SLOW)
-    return out.select("lecture_id", "uid", "text", *[F.round(c, 6).alias(c) for c in ("start_s", "end_s", "avg_logprob", "no_speech_prob")])
+    return out.select("lecture_id", "uid", "text", *[rounded(c, 6).alias(c) for c in ("start_s", "end_s", "avg_logprob", "no_speech_prob")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lecturelab.plans.cost import LOG, RATES, log_lines
-from lecturelab.plans.oracle import sql
+from lecturelab.plans.oracle import rounded, sql
 from lecturelab.plans.registry import query
 from lecturelab.plans.speech import REASON
 from lecturelab.session import scratch_path
@@ -47,7 +47,7 @@ def _usage(spark, sf):
     out = live.run_available(live.stream_usage(_replayed(use, "usage"), prices.model_rates(spark, RATES)), "usage-hours", "update")
     # the newest row of a window is the one with the most calls
     last = out.groupBy("lecture_id", "hour").agg(F.max_by(F.struct("calls", "input_tokens", "cost_usd"), "calls").alias("r"))
-    return last.select("lecture_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "r.calls", "r.input_tokens", F.round("r.cost_usd", 6).alias("cost_usd"))
+    return last.select("lecture_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "r.calls", "r.input_tokens", rounded("r.cost_usd", 6).alias("cost_usd"))
 
 
 @query("stream_pause_sessions")

@@ -24,9 +24,12 @@ def local_session(app: str = "lecturelab", cpus: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary folder only where it is unset (tests)."""
+    """The cluster's `spark.checkpoint.dir`. Unset, it is an error where executors may run on other hosts; a session of one
+    process (`local[...]`) gets a temporary folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

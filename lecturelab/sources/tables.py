@@ -24,14 +24,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The document texts, spread over all cores when a file or two hold them all.
-
-    Taking texts apart is the costly step, and a table of few splits would do it in few
-    tasks. A table with splits for every core is left as it lies: no shuffle.
-    """
-    docs = table(spark, sf, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < 2 * cores else docs
+    """The document texts, dealt out by id: taking texts apart is the costly step, and the files say little about how evenly."""
+    return table(spark, sf, "documents").repartition("doc_id")
 
 
 def _lecture_of_document() -> F.Column:
@@ -47,12 +41,14 @@ def speech(spark: SparkSession, sf: str) -> DataFrame:
     """One recording per document, one utterance per sentence; narrow, no shuffle."""
     docs = documents(spark, sf).select(_lecture_of_document().alias("lecture_id"), _sentences().alias("s"))
     docs = docs.withColumn("w", F.transform("s", word_count))
-    before = lambda i: F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda a, x: a + x).cast("long")
+    # words before each sentence, in one pass over the counts
+    sums = F.aggregate("w", F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    docs = docs.withColumn("before", sums)
     timed = F.transform(
         "s",
         lambda x, i: F.struct(
             i.alias("uid"), x.alias("text"), F.get("w", i).alias("words"),
-            (before(i) * WORD_MS + i * PAUSE_MS).alias("start_ms"),
+            (F.get("before", i) * WORD_MS + i * PAUSE_MS).alias("start_ms"),
         ),
     )
     rows = docs.select("lecture_id", F.inline(timed))

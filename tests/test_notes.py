@@ -41,9 +41,9 @@ def test_json_replies(spark, reply, json):
 
 
 @pytest.mark.parametrize("body,errors", [
-    ("\\begin{align} a &= b \\end{align}", []), ("cost 5 $ only", ["odd number of `$` delimiters"]),
-    ("\\begin{align} x", ["unclosed environment(s): align"]), ("100\\% \\{ sure \\}", []), ("\\usepackage{x}", ["fragment contains preamble-only commands"]),
-    ("\\begin{proof} x \\end{lemma}", ["mismatched \\end{lemma}"]), ("% {\nfine", [])])
+    ("\\begin{align} a &= b \\end{align}", []), ("cost 5 $ only", ["dollar-parity"]),
+    ("\\begin{align} x", ["begin-without-end: align"]), ("100\\% \\{ sure \\}", []), ("\\usepackage{x}", ["preamble-command"]),
+    ("\\begin{proof} x \\end{lemma}", ["end-without-begin: lemma"]), ("% {\nfine", [])])
 def test_latex_checks(spark, body, errors):
     assert one(spark, lambda v: latex_quality(v)["errors"], body) == errors
 
