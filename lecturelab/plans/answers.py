@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lecturelab.functions.timecode import to_timecode
 from lecturelab.operators import answers as N
 from lecturelab.plans.oracle import rounded, sql, tc
-from lecturelab.plans.prompts import CONTEXT, SAID, asked, context
+from lecturelab.plans.prompts import FOUND, retrieved
 from lecturelab.plans.registry import query
+from lecturelab.plans.retrieval import NEED
 from lecturelab.sources import tables as T
 
 REPLY = """case k%5 when 0 then '{"kind":"slide","latex":" '||k||' ","confidence":"0.5"}' when 1 then 'Here:'||chr(10)||'```json'||chr(10)||'{"kind":"empty","caption":"x"}'||chr(10)||'```'
@@ -35,41 +36,42 @@ def _payload(spark, sf):
     return N.apply_board_payload(rows)
 
 
-ANSWER = f"' See ['||{tc('duration/2')}||'] and ['||{tc('duration+1000')}||'] or [1:02:03] or ['||{tc('duration/2')}||']. '"
+#: A reply to each question: it cites the best passage twice, a time far past it, and a fixed one.
+ANSWER = f"' See ['||{tc('l.start_s')}||'] and ['||{tc('l.start_s+100000')}||'] or [1:02:03] or ['||{tc('l.start_s')}||']. '"
 
 
-def _answers(spark, sf):
-    d = F.col("duration")
-    return T.lectures(spark, sf).select("lecture_id", F.lit(0).alias("query_id"), F.concat(
-        F.lit(" See ["), to_timecode(d / 2), F.lit("] and ["), to_timecode(d + 1000), F.lit("] or [1:02:03] or ["), to_timecode(d / 2), F.lit("]. ")).alias("text"))
-
-
-def _hits(spark, sf):
-    return context(spark, sf).where("pos <= 6").select("lecture_id", "query_id", F.col("pos").alias("rank"), "start_s", (1.0 / F.col("pos")).alias("score"))
+def _answers(hits):
+    best = hits.where("rank = 1")
+    at, later = to_timecode(F.col("start_s")), to_timecode(F.col("start_s") + 100_000)
+    return best.select("lecture_id", "query_id", F.concat(
+        F.lit(" See ["), at, F.lit("] and ["), later, F.lit("] or [1:02:03] or ["), at, F.lit("]. ")).alias("text"))
 
 
 SECS = "list_reduce(list_transform(string_split(t,':'), lambda v: cast(v as double)), lambda a,b: a*60+b)"
 CITED = dict(
-    said=SAID, ctx=CONTEXT, ans=f"select lecture_id, {ANSWER} as text from lectures",
-    cited=f"""select lecture_id, i, t, {SECS} as s from (select lecture_id, unnest(regexp_extract_all(text,'\\[(\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?)\\]',1)) as t,
+    FOUND, hit="select h.*, l.start_s from ranked h join library l on h.lecture_id=l.lecture_id and h.cid=l.uid",
+    ans=f"select l.lecture_id, l.query_id, {ANSWER} as text from hit l where rank=1",
+    cited=f"""select lecture_id, query_id, i, t, {SECS} as s from (select lecture_id, query_id, unnest(regexp_extract_all(text,'\\[(\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?)\\]',1)) as t,
  generate_subscripts(regexp_extract_all(text,'\\[(\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?)\\]',1),1) as i from ans)""",
-    judged="select c.*, exists (select 1 from ctx x where x.lecture_id=c.lecture_id and abs(x.start_s-c.s)<=180) as ok from cited c",
-    verified=f"""select a.lecture_id, trim(a.text) as text, coalesce((select string_agg(s::bigint::varchar,',' order by s) from (select distinct s from judged j where j.lecture_id=a.lecture_id and ok)),'') as citations,
- coalesce((select string_agg(t,',' order by i) from judged j where j.lecture_id=a.lecture_id and not ok),'') as unsupported,
- coalesce((select string_agg({tc('x.start_s')}||'='||cast(cast(round_even(1000.0::double/pos,0)/1000 as decimal(20,3)) as varchar),', ' order by pos) from ctx x where x.lecture_id=a.lecture_id and pos<=6),'') as sources from ans a""",
+    judged="select c.*, exists (select 1 from ctx x where x.lecture_id=c.lecture_id and x.query_id=c.query_id and abs(x.start_s-c.s)<=180) as ok from cited c",
+    verified=f"""select a.lecture_id, a.query_id, trim(a.text) as text,
+ coalesce((select string_agg(s::bigint::varchar,',' order by s) from (select distinct s from judged j where j.lecture_id=a.lecture_id and j.query_id=a.query_id and ok)),'') as citations,
+ coalesce((select string_agg(t,',' order by i) from judged j where j.lecture_id=a.lecture_id and j.query_id=a.query_id and not ok),'') as unsupported,
+ coalesce((select string_agg({tc('x.start_s')}||'='||cast(cast(round_even(1000.0::double*x.score,0)/1000 as decimal(20,3)) as varchar),', ' order by x.rank) from hit x where x.lecture_id=a.lecture_id and x.query_id=a.query_id),'') as sources from ans a""",
 )
 
 
 def _verified(spark, sf):
-    return N.verify_citations(_answers(spark, sf), context(spark, sf), _hits(spark, sf))
+    hits, near = retrieved(spark, sf)
+    return N.verify_citations(_answers(hits), near, hits.select("lecture_id", "query_id", "rank", "start_s", "score"))
 
 
-@query("verify_citations", sql("speech segments lectures", "select lecture_id, 0 as query_id, text, citations, unsupported, sources from verified", **CITED))
+@query("verify_citations", sql(NEED, "select lecture_id, query_id, text, citations, unsupported, sources from verified", **CITED))
 def _verify(spark, sf):
     return _verified(spark, sf)
 
 
-@query("qa_answer_rows", sql("speech segments lectures", """select lecture_id, 0 as query_id, text, regexp_replace(sources,'=[^,]*','','g') as sources,
+@query("qa_answer_rows", sql(NEED, """select lecture_id, query_id, text, regexp_replace(sources,'=[^,]*','','g') as sources,
  case when unsupported<>'' then 'Метки вне найденных фрагментов: '||replace(unsupported,',',', ') else '' end as warning from verified""", **CITED))
 def _rows(spark, sf):
     return N.answer_rows(_verified(spark, sf))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from lecturelab.operators import intervals as J
 from lecturelab.operators import prompts as P
+from lecturelab.operators.retrieval import expand_context
 from lecturelab.plans.oracle import cut, sql, tc
 from lecturelab.plans.registry import query
-from lecturelab.plans.retrieval import SEG_BOARDS
+from lecturelab.plans.retrieval import NEED, PASSAGES, RANKED, SCORES, SEG_BOARDS, search_hits
 from lecturelab.plans.spans import AROUND
+from lecturelab.session import materialise
 from lecturelab.sources import tables as T
 
 SAID = "select lecture_id, uid//12 as sid, string_agg(text,' ' order by uid) as transcript from speech group by 1,2"
@@ -59,27 +61,24 @@ def _sections(spark, sf):
     return P.section_prompts(segs, transcripts(spark, sf), P.section_boards(found), previous(spark, sf))
 
 
-CONTEXT = """select lecture_id, 0 as query_id, sid, start_s, case when title='' then 'Untitled' else title end as title, transcript as text, row_number() over (partition by lecture_id order by start_s, sid) as pos
- from segments join said using (lecture_id, sid) qualify pos<=12"""
+#: The passages found for each question, with their neighbours, in time order.
+CONTEXT = """select lecture_id, query_id, start_s, text, pos from (select *, row_number() over (partition by lecture_id, query_id order by start_s, cid) as pos from (
+ select distinct h.lecture_id, h.query_id, l.uid as cid, l.start_s, l.text from ranked h join library l on h.lecture_id=l.lecture_id and l.uid between h.cid-1 and h.cid+1)) where pos<=12"""
+FOUND = dict(fit_rows=PASSAGES, **SCORES, **RANKED, ctx=CONTEXT)
 
 
-def context(spark, sf):
-    """The first twelve segments of each recording are the passages for its question."""
-    from lecturelab.operators.ordered import top_n
-    rows = T.segments(spark, sf).join(transcripts(spark, sf), ["lecture_id", "sid"]).select(
-        "lecture_id", F.lit(0).alias("query_id"), "sid", "start_s", F.when(F.col("title") == "", "Untitled").otherwise(F.col("title")).alias("title"),
-        F.col("transcript").alias("text"), F.lit(None).cast("string").alias("board"))
-    return top_n(rows, ["lecture_id"], [F.asc("start_s"), F.asc("sid")], 12, "pos", spread=["sid"])
+def retrieved(spark, sf):
+    """(hits with their start, context) of every question."""
+    chunks = T.library(spark, sf).select("lecture_id", F.col("uid").alias("cid"), "start_s", "text")
+    hits = materialise(search_hits(spark, sf), "hits")
+    near = expand_context(hits, chunks).withColumns({"title": F.lit("Untitled"), "board": F.lit(None).cast("string")})
+    return hits.join(chunks.select("lecture_id", "cid", "start_s"), ["lecture_id", "cid"]), near
 
 
-def asked(spark, sf):
-    return T.lectures(spark, sf).select("lecture_id", F.lit(0).alias("query_id"), F.concat(F.lit("What is in "), F.col("source"), F.lit("?")).alias("question"))
-
-
-@query("qa_prompts", sql("speech segments lectures", f"""select l.lecture_id, 0 as query_id, string_agg('### ['||{tc('c.start_s')}||'] '||c.title||chr(10)||c.text, chr(10)||chr(10) order by c.pos)||chr(10)||chr(10)||'## Question'||chr(10)||'What is in '||min(l.source)||'?' as prompt
- from lectures l join ctx c on c.lecture_id=l.lecture_id group by 1""", said=SAID, ctx=CONTEXT))
+@query("qa_prompts", sql(NEED, f"""select q.lecture_id, q.query_id, string_agg('### ['||{tc('c.start_s')}||'] Untitled'||chr(10)||c.text, chr(10)||chr(10) order by c.pos)||chr(10)||chr(10)||'## Question'||chr(10)||min(q.question) as prompt
+ from questions q join ctx c using (lecture_id, query_id) group by 1,2""", **FOUND))
 def _qa(spark, sf):
-    return P.qa_prompts(context(spark, sf), asked(spark, sf))
+    return P.qa_prompts(retrieved(spark, sf)[1], T.questions(spark, sf))
 
 
 @query("quiz_groups", sql("talks", f"""select t.lecture_id, cast(t.uid//4 as int) as grp, greatest(1, cast(round_even(10.0::double/ceil(n.n/4),0) as int)) as per_group, count(*) as chunks,

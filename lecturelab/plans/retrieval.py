@@ -35,7 +35,7 @@ def _passages(spark, sf):
     return T.library(spark, sf).select("lecture_id", F.col("uid").alias("row_id"), "text")
 
 
-def _hits(spark, sf):
+def search_hits(spark, sf):
     rows, asked = _passages(spark, sf), T.questions(spark, sf)
     return R.search_topk(R.sparse_scores(rows, asked, None), asked, rows)
 
@@ -77,7 +77,7 @@ def _sparse(spark, sf):
 @query("search_topk", sql(NEED, f"""select h.lecture_id, h.query_id, h.rank, h.cid, round(h.score,6) as score, {tc('l.start_s')} as tc
  from ranked h join library l on h.lecture_id=l.lecture_id and h.cid=l.uid""", fit_rows=PASSAGES, **SCORES, **RANKED))
 def search(spark, sf):
-    hits = _hits(spark, sf)
+    hits = search_hits(spark, sf)
     starts = T.library(spark, sf).select("lecture_id", F.col("uid").alias("cid"), "start_s")
     return hits.join(starts, ["lecture_id", "cid"]).select(
         "lecture_id", "query_id", "rank", "cid", rounded("score", 6).alias("score"), to_timecode(F.col("start_s")).alias("tc"))
@@ -95,7 +95,7 @@ def _neighbours(spark, sf):
     fit_rows=PASSAGES, **SCORES, **RANKED))
 def _expand(spark, sf):
     chunks = T.library(spark, sf).select("lecture_id", F.col("uid").alias("cid"), "start_s")
-    return R.expand_context(_hits(spark, sf), chunks).select("lecture_id", "query_id", "cid", "pos")
+    return R.expand_context(search_hits(spark, sf), chunks).select("lecture_id", "query_id", "cid", "pos")
 
 
 # every recording's first frame is the question put to the recording

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lecturelab.operators.asr import kept_segments
 from lecturelab.plans.cost import LOG, RATES, log_lines
 from lecturelab.plans.oracle import rounded, sql
 from lecturelab.plans.registry import query
-from lecturelab.plans.speech import REASON
+from lecturelab.plans.speech import FOLD, REASON, SLOW
 from lecturelab.session import scratch_path
 from lecturelab.sources import prices
 from lecturelab.sources import tables as T
@@ -50,17 +51,28 @@ def _usage(spark, sf):
     return last.select("lecture_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "r.calls", "r.input_tokens", rounded("r.cost_usd", 6).alias("cost_usd"))
 
 
-@query("stream_pause_sessions")
+def _ended(df):
+    """With one row far in the future under an empty id, so that the watermark passes all others."""
+    known = {"lecture_id": F.lit(""), "ts": F.lit("2100-01-01 00:00:00").cast("timestamp")}
+    last = df.sparkSession.range(1).select(*[known.get(f.name, F.lit("0").cast(f.dataType)).alias(f.name) for f in df.schema])
+    return df.unionByName(last)
+
+
+@query("stream_pause_sessions", sql("asr", """select lecture_id, round(min(start_s),6) as start_s, round(max(end_s),6) as end_s, count(*) as segments from (
+ select *, sum(case when p is null or start_s-p>=43200 then 1 else 0 end) over (partition by lecture_id order by start_s, seq) as g from (
+ select *, max(greatest(start_s,end_s)) over (partition by lecture_id order by start_s, seq rows between unbounded preceding and 1 preceding) as p from asr)) group by lecture_id, g"""))
 def _sessions(spark, sf):
-    return live.run_available(live.stream_pause_sessions(_replayed(_stamped(spark, sf), "segments"), 43_200.0), "sessions")
+    stream = live.stream_pause_sessions(_replayed(_ended(_stamped(spark, sf)), "segments"), 43_200.0)
+    out = live.run_available(stream, "sessions").where("lecture_id <> ''")
+    return out.select("lecture_id", rounded("start_s", 6).alias("start_s"), rounded("end_s", 6).alias("end_s"), "segments")
 
 
-@query("stream_regroup")
+@query("stream_regroup", sql("asr", """select lecture_id, grp, round(arg_min(k.start_s,k.seq),6) as start_s, round(arg_max(k.end_s,k.seq),6) as end_s, count(*) as segments
+ from fold f join kept k using (lecture_id, seq) group by 1,2""", recursive=True, **FOLD))
 def _regroup(spark, sf):
-    from lecturelab.operators.asr import kept_segments
-    from lecturelab.plans.speech import SLOW
     kept = kept_segments(_stamped(spark, sf))
-    return live.run_available(live.stream_regroup(_replayed(kept, "kept"), SLOW), "groups")
+    out = live.run_available(live.stream_regroup(_replayed(_ended(kept), "kept"), SLOW), "groups").where("lecture_id <> ''")
+    return out.select("lecture_id", "grp", rounded("start_s", 6).alias("start_s"), rounded("end_s", 6).alias("end_s"), "segments")
 
 
 @query("stream_board_cuts", sql("frames px", "select lecture_id, frame_idx from delta where removed>0.30 or added>0.30",

@@ -37,22 +37,23 @@ def stream_pause_sessions(segments: DataFrame, pause: float, lateness: str = "1
 
 REGROUP_OUT = "lecture_id string, grp int, start_s double, end_s double, segments int"
 REGROUP_STATE = (
-    "grp int, opened double, last double, closes boolean, segments int, "
+    "grp int, opened double, last double, last_ms bigint, closes boolean, segments int, "
     "seqs array<int>, starts array<double>, ends array<double>, closings array<boolean>, stamps array<bigint>")
 
 
 def stream_regroup(segments: DataFrame, p: AsrParams = AsrParams(), lateness: str = "1 hour") -> DataFrame:
-    """Utterance groups of a stream of kept segments, closed when the next group opens or the watermark passes.
+    """Utterance groups of a stream of kept segments.
 
-    Rows inside the watermark may arrive out of order: they wait in state until the watermark
-    has passed them and are then folded in order.
+    Rows inside the watermark may arrive out of order: they wait in state until the watermark has passed them and
+    are then folded in order. A group is emitted when the next one opens, or once the watermark is so far past its
+    last row that whatever still comes must open the next one; timers wake the key for both, without another row.
     """
     pause, shortest, longest = p.group_pause, p.group_min_seconds, p.group_max_seconds
     marked = segments.select(
         "lecture_id", "seq", "start_s", "end_s", ends_sentence(F.col("text")).alias("closes"), "ts").withWatermark("ts", lateness)
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        grp, opened, last, closed, n, *held = state.get if state.exists else (-1, 0.0, 0.0, False, 0, [], [], [], [], [])
+        grp, opened, last, last_ms, closed, n, *held = state.get if state.exists else (-1, 0.0, 0.0, 0, False, 0, [], [], [], [], [])
         waiting = list(zip(*held))
         if not state.hasTimedOut:
             for pdf in batches:
@@ -60,10 +61,8 @@ def stream_regroup(segments: DataFrame, p: AsrParams = AsrParams(), lateness: st
                 waiting += list(zip(pdf["seq"], pdf["start_s"], pdf["end_s"], pdf["closes"], stamps // 1_000))
         waiting.sort()
         mark = state.getCurrentWatermarkMs()
-        ready = waiting if state.hasTimedOut else [w for w in waiting if w[4] < mark]
-        waiting = [] if state.hasTimedOut else [w for w in waiting if w[4] >= mark]
         out = []
-        for seq, start, end, closes, _ in ready:
+        for seq, start, end, closes, stamp in [w for w in waiting if w[4] < mark]:
             length = end - opened
             if grp >= 0 and (start - last >= pause or length >= longest or (closed and length >= shortest)):
                 out.append((key[0], grp, opened, last, n))
@@ -71,16 +70,20 @@ def stream_regroup(segments: DataFrame, p: AsrParams = AsrParams(), lateness: st
             if grp < 0:
                 grp, opened, n = seq, start, 0
             last, closed, n = end, closes, n + 1
-        if state.hasTimedOut:
-            if grp >= 0:
-                out.append((key[0], grp, opened, last, n))
+            last_ms = stamp + int((end - start) * 1000) + 1
+        waiting = [w for w in waiting if w[4] >= mark]
+        over = last_ms + int(pause * 1000) + 1
+        if grp >= 0 and not waiting and mark >= over:
+            out.append((key[0], grp, opened, last, n))
+            grp = -1
+        if grp < 0 and not waiting:
             state.remove()
         else:
             columns = [list(c) for c in zip(*waiting)] or [[], [], [], [], []]
             held = [[cast(v) for v in c] for cast, c in zip((int, float, float, bool, int), columns)]
-            state.update((int(grp), float(opened), float(last), bool(closed), int(n), *held))
-            newest = max([w[4] for w in waiting], default=mark)
-            state.setTimeoutTimestamp(int(max(newest, mark) + 1 + longest * 1000))
+            state.update((int(grp), float(opened), float(last), int(last_ms), bool(closed), int(n), *held))
+            wake = min(w[4] for w in waiting) + 1 if waiting else over
+            state.setTimeoutTimestamp(int(max(wake, mark + 1)))
         yield pd.DataFrame(out, columns=["lecture_id", "grp", "start_s", "end_s", "segments"])
 
     return marked.groupBy("lecture_id").applyInPandasWithState(
@@ -101,29 +104,28 @@ def stream_stage_status(lines: DataFrame) -> DataFrame:
         F.max_by("state", "line_no").alias("state"), F.max("line_no").alias("line_no"))
 
 
+BOARD_PAIRS = "lecture_id string, frame_idx int, n_px int, before array<bigint>, words array<bigint>"
+
+
 def stream_board_cuts(masks: DataFrame, p: BoardParams = BoardParams()) -> DataFrame:
-    """`lecture_id, frame_idx` where a new board state opens, from bit-packed masks that arrive in order per recording."""
-    erase, jump = p.tau_erase, p.tau_jump
-
-    def compare(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = list(state.get[0]) if state.exists else None
-        for pdf in batches:
-            cuts = []
-            for frame, n_px, words in sorted(zip(pdf["frame_idx"], pdf["n_px"], pdf["words"]), key=lambda r: r[0]):
-                words = [int(w) & (2**64 - 1) for w in words]
-                if prev is not None:
-                    old = [int(w) & (2**64 - 1) for w in prev]
-                    removed = sum((o & ~c).bit_count() for o, c in zip(old, words)) / n_px
-                    added = sum((c & ~o).bit_count() for o, c in zip(old, words)) / n_px
-                    if removed > erase or added > jump:
-                        cuts.append((key[0], int(frame)))
-                prev = [w - 2**64 if w >= 2**63 else w for w in words]
-            yield pd.DataFrame(cuts, columns=["lecture_id", "frame_idx"])
-        if prev is not None:
-            state.update((prev,))
-
-    return masks.groupBy("lecture_id").applyInPandasWithState(
-        compare, "lecture_id string, frame_idx int", "words array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    """`lecture_id, frame_idx` where a new board state opens, from bit-packed masks.
+
+    The frames of a recording may come in any order within a trigger, over any number of Arrow batches; triggers come
+    in order. State is the last mask; frames leave paired with the one before, and bits are counted by the JVM.
+    """
+
+    def pair(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = [r for pdf in batches for r in zip(pdf["frame_idx"], pdf["n_px"], pdf["words"])]
+        rows.sort(key=lambda r: r[0])
+        before = [list(state.get[0]) if state.exists else None, *[[int(w) for w in r[2]] for r in rows]]
+        state.update((before[-1],))
+        pairs = [(key[0], int(r[0]), int(r[1]), old, new) for r, old, new in zip(rows, before, before[1:]) if old is not None]
+        yield pd.DataFrame(pairs, columns=["lecture_id", "frame_idx", "n_px", "before", "words"])
+
+    pairs = masks.groupBy("lecture_id").applyInPandasWithState(pair, BOARD_PAIRS, "words array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    gone = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+    removed, added = gone("before", "words") / F.col("n_px"), gone("words", "before") / F.col("n_px")
+    return pairs.where((removed > p.tau_erase) | (added > p.tau_jump)).select("lecture_id", "frame_idx")
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
