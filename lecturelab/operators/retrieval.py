@@ -101,27 +101,24 @@ def searchable(chunks: DataFrame) -> DataFrame:
 def sparse_scores(rows: DataFrame, questions: DataFrame, max_features: int | None = None, stored: bool = True) -> DataFrame:
     """`lecture_id, query_id, cid, score` of passages that share a term with the question.
 
-    All questions are answered in one pass: the postings meet the vocabulary and the asked
-    terms on `(lecture_id, term)`, then one aggregate per passage yields its norm together
-    with its matched weights.
+    All questions are answered in one pass. Postings meet the asked terms in a join on `(lecture_id, term)` and leave it
+    as partial sums per passage and question; norms are an aggregate of their own. Nothing is collected per term, passage
+    or question, and a term that most passages hold is a skewed join key, which Spark may split.
     """
     counts, vocab = fit(rows, max_features, stored)
     asked = questions.select("lecture_id", "query_id", F.explode(uni_and_bigrams(F.col("question"))).alias("term"))
     asked = asked.groupBy("lecture_id", "query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    wanted = weigh(asked, vocab, ["lecture_id", "query_id"]).groupBy("lecture_id", "term").agg(
-        F.collect_list(F.struct("query_id", F.col("w").alias("qw"))).alias("askers"))
-    raw = counts.join(vocab.select("lecture_id", "term", "idf"), ["lecture_id", "term"]).join(
-        wanted, ["lecture_id", "term"], "left").select(
-        "lecture_id", F.col("row_id").alias("cid"), ((1.0 + F.log(F.col("tf"))) * F.col("idf")).alias("raw"), "askers")
-    per = raw.groupBy("lecture_id", "cid").agg(
-        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
-        F.collect_list(F.when(F.col("askers").isNotNull(), F.struct("raw", "askers"))).alias("found"))
-    hits = per.select("lecture_id", "cid", "norm", F.explode("found").alias("m")).select(
-        "lecture_id", "cid", "norm", F.col("m.raw").alias("raw"), F.inline("m.askers"))
+    wanted = weigh(asked, vocab, ["lecture_id", "query_id"], keep=("idf",)).select(
+        "lecture_id", "term", "query_id", (F.col("w") * F.col("idf")).alias("qw"))
+    damped = 1.0 + F.log(F.col("tf"))
+    raw = counts.join(vocab.select("lecture_id", "term", "idf"), ["lecture_id", "term"]).select(
+        "lecture_id", "row_id", (damped * F.col("idf")).alias("raw"))
+    norms = raw.groupBy("lecture_id", "row_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    shared = counts.join(wanted, ["lecture_id", "term"]).groupBy("lecture_id", "row_id", "query_id").agg(
+        F.sum(damped * F.col("qw")).alias("dot"))
     # nine digits: sums do not depend on the order of addition, ties stay ties
-    return hits.groupBy("lecture_id", "cid", "query_id").agg(
-        F.round(F.sum(F.col("raw") / F.col("norm") * F.col("qw")), 9).alias("score")
-    ).select("lecture_id", "query_id", "cid", "score")
+    return shared.join(norms, ["lecture_id", "row_id"]).select(
+        "lecture_id", "query_id", F.col("row_id").alias("cid"), F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
 
 
 def dense_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:

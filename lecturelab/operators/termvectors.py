@@ -53,7 +53,7 @@ def most_frequent(terms: DataFrame, limit: int) -> DataFrame:
 
 def weigh(counts: DataFrame, vocab: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """L2-normalised `(1 + ln tf) * idf` per row (`keys`, `term`, `w`) and the `keep` columns of the vocabulary."""
-    raw = counts.join(vocab.select("lecture_id", "term", "idf", *keep), ["lecture_id", "term"]).withColumn(
+    raw = counts.join(vocab.select(*dict.fromkeys(("lecture_id", "term", "idf", *keep))), ["lecture_id", "term"]).withColumn(
         "raw", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
     # the terms of one text: a bounded window
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
