@@ -5,10 +5,11 @@ training texts and benchmark items with equal hashes meet in a join; around each
 `PAD` places (cut to the item) are compared with the text's words at the same distance. The text holds the passage if
 at least `PERCENT` of them agree, so single replaced words do not hide it.
 
-Words are runs of letters and digits in lower case. Before the join, windows whose hash cannot be in the benchmark
-are dropped with a bit table of fixed size; it only saves rows, the join decides. A window goes through the shuffle
-alone, with the words around it, so no text and no key is gathered in one place; benchmark windows with equal
-surroundings are one row, named after the smallest item.
+Words are runs of letters and digits in lower case. All masks are made of three pairs of neighbouring words, so one
+array of pair hashes serves them all, and only hashes and places are dealt out per window, never words. Windows whose
+hash cannot be in the benchmark are dropped by a bit table of fixed size, which only saves rows; a join on the hashes
+decides. The documents with hits then meet them again by id, once, to cut the words around each. Benchmark windows with
+equal surroundings are one row, named after the smallest item.
 
 Edge cases: null or empty texts and items, and those shorter than the shortest mask, hold no window and match
 nothing; repeated rows add nothing; very long texts are streamed window by window from their word list; rows without
@@ -18,18 +19,19 @@ columns are read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lecturelab.llm.common import materialise, text_or_empty
 
-SEEDS = ("111011011", "1101100111", "11100101011")
+#: Where the second and the third pair of a mask start; the first starts at 0.
+PAIRS = ((3, 6), (2, 6), (4, 6))
+SPAN = 8
+SEEDS = tuple("".join("1" if any(k in (at, at + 1) for at in (0, *rest)) else "0" for k in range(SPAN)) for rest in PAIRS)
 PAD = 8
 PERCENT = 70
-#: 2^23 bits, 1 MB, whatever the benchmark holds.
-BIT_WORDS = 1 << 17
+#: 2^17 words of 64 bits, 1 MB, whatever the benchmark holds.
+BIT_POWER = 17
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -41,66 +43,85 @@ def _places(seed: str) -> list[int]:
     return [k for k, c in enumerate(seed) if c == "1"]
 
 
-def _hash(number: int, seed: str) -> Column:
-    """Hash of the seed's window at place `_i` of `_w`; null where it does not fit."""
-    under = [F.get(F.col("_w"), F.col("_i") + k) for k in _places(seed)]
-    return F.when(F.col("_i") + len(seed) <= F.size("_w"), F.xxhash64(F.lit(number), *under))
+def _with(hashes: Column | str, others: Column | str, ahead: int) -> Column:
+    """Each hash combined with the one `ahead` places on in `others`, as far as both go."""
+    n = F.greatest(F.least(F.size(hashes), F.size(others) - ahead), F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(others, ahead + 1, n), lambda a, b: F.xxhash64(a, b))
+
 
+def _hashes(texts: DataFrame) -> DataFrame:
+    """`texts` (`_k`, `_w`) to `_k`, `i` and the hash of every mask there, one row per place."""
+    out = texts.select("_k", F.transform("_w", lambda w: F.xxhash64(w)).alias("_p"))
+    out = out.withColumn("_p", _with("_p", "_p", 1))
+    out = out.select("_k", "_p", *[_with("_p", "_p", second).alias(f"_q{n}") for n, (second, _) in enumerate(PAIRS)])
+    out = out.select("_k", *[_with(f"_q{n}", "_p", third).alias(f"h{n}") for n, (_, third) in enumerate(PAIRS)])
+    names = [f"h{n}" for n in range(len(PAIRS))]
+    return out.select("_k", F.posexplode(F.arrays_zip(*names)).alias("i", "h")).select("_k", "i", "h.*")
 
-def _around(seed: Column) -> tuple[Column, Column]:
-    """The words within PAD places of the window, and how many of them lie before it."""
-    before = F.least(F.col("_i"), F.lit(PAD))
-    span = F.element_at(F.array(*[F.lit(len(s)) for s in SEEDS]), seed + 1)
-    return F.slice("_w", F.col("_i") - before + 1, before + span + PAD), before
 
+def _each(hashed: DataFrame, bits: Column | None = None) -> DataFrame:
+    """`_k`, `i`, `seed`, `hash`: one row per mask, those only that `bits` lets pass."""
+    passes = [F.lit(True) if bits is None else _passes(F.col(f"h{n}"), bits) for n in range(len(PAIRS))]
+    some = hashed if bits is None else hashed.where(passes[0] | passes[1] | passes[2])
+    rows = [F.when(ok, F.struct(F.lit(n).alias("seed"), F.col(f"h{n}").alias("hash"))) for n, ok in enumerate(passes)]
+    return some.select("_k", "i", F.explode(F.array_compact(F.array(*rows))).alias("s")).select("_k", "i", "s.*")
 
-def _windows(texts: DataFrame, kept: Column | None) -> DataFrame:
-    """`texts` (`_k`, `_w`) to `_k`, `seed`, `hash`, `near`, `before`: its windows, those only whose hash `kept` passes."""
-    spread = texts.where(F.size("_w") > 0).select("_k", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - 1)).alias("_i"))
-    names = [f"_h{n}" for n in range(len(SEEDS))]
-    hashed = spread.withColumns({name: _hash(n, seed) for n, (name, seed) in enumerate(zip(names, SEEDS, strict=True))})
-    passes = {name: F.col(name).isNotNull() if kept is None else _in_table(F.col(name), kept) for name in names}
-    some = hashed.where(reduce(lambda a, b: a | b, passes.values()))
-    each = F.explode(F.array_compact(F.array(*[
-        F.when(passes[name], F.struct(F.lit(n).alias("seed"), F.col(name).alias("hash"))) for n, name in enumerate(names)])))
-    rows = some.select("_k", "_w", "_i", each.alias("_s"))
-    near, before = _around(F.col("_s.seed"))
-    return rows.select("_k", F.col("_s.seed").alias("seed"), F.col("_s.hash").alias("hash"), near.alias("near"), before.alias("before"))
 
+def _around(texts: DataFrame) -> DataFrame:
+    """`texts` (`_k`, `_w`, `_hits` of i, seed, hash) to `_k`, `seed`, `hash`, `before`, `near`: the words around each hit."""
+    # cut word by word: a slice would unpack the whole text for every window
+    cut = F.transform("_hits", lambda x: F.struct(
+        x["seed"].alias("seed"), x["hash"].alias("hash"), F.least(x["i"], F.lit(PAD)).alias("before"),
+        F.transform(
+            F.sequence(F.greatest(x["i"] - PAD, F.lit(0)), F.least(x["i"] + SPAN + PAD, F.size("_w")) - 1), lambda k: F.get("_w", k)).alias("near")))
+    return texts.select("_k", cut.alias("_hits")).select("_k", F.inline("_hits"))
 
-def _in_table(value: Column, bits: Column) -> Column:
-    place = F.pmod(value, F.lit(BIT_WORDS * 64))
-    word = F.get(bits, F.shiftright(place, 6).cast("int"))
-    return F.coalesce(word.bitwiseAND(_power(place)) != 0, F.lit(False))
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """The hits of each text in one list: no more than three for each of its words."""
+    return rows.groupBy("_k").agg(F.collect_list(F.struct("i", "seed", "hash")).alias("_hits"))
 
-def _power(place: Column) -> Column:
-    """A long with the bit of `place` set."""
+
+def _bit(place: Column) -> Column:
+    """A long with one bit set, told by the last six of `place`."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def _spots(value: Column) -> list[tuple[Column, Column]]:
+    """Three (word, bit) places of a hash in the table, from different bits of it."""
+    cut = [F.shiftrightunsigned(F.shiftleft(value, BIT_POWER * k), 64 - BIT_POWER).cast("int") for k in range(3)]
+    return [(word, _bit(F.shiftright(value, 3 * k))) for k, word in enumerate(cut)]
+
+
+def _passes(value: Column, bits: Column) -> Column:
+    (a, x), (b, y), (c, z) = _spots(value)
+    return (F.get(bits, a).bitwiseAND(x) != 0) & (F.get(bits, b).bitwiseAND(y) != 0) & (F.get(bits, c).bitwiseAND(z) != 0)
+
+
 def bit_table(index: DataFrame) -> Column:
     """The bit table of the index's hashes, as a scalar that every task gets."""
-    place = F.pmod("hash", F.lit(BIT_WORDS * 64))
-    filled = index.select(F.shiftright(place, 6).alias("id"), _power(place).alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
-    whole = index.sparkSession.range(0, BIT_WORDS, 1, 8).join(filled, "id", "left")
+    spots = F.explode(F.array(*[F.struct(word.alias("id"), bit.alias("bit")) for word, bit in _spots(F.col("hash"))]))
+    filled = index.select(spots.alias("s")).groupBy(F.col("s.id").cast("long").alias("id")).agg(F.bit_or("s.bit").alias("bits"))
+    whole = index.sparkSession.range(0, 1 << BIT_POWER, 1, 8).join(filled, "id", "left")
     rows = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
     return whole.agg(F.transform(rows, lambda r: r["bits"]).alias("bits")).scalar()
 
 
 def benchmark_index(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """`seed`, `hash`, `near`, `before`, `item` (the smallest with these words around the window)."""
-    slim = items.select(F.col(key).alias("_k"), passage_words(F.col(text)).alias("_w"))
-    return _windows(slim, None).groupBy("seed", "hash", "near", "before").agg(F.min("_k").alias("item"))
+    slim = items.groupBy(passage_words(F.col(text)).alias("_w")).agg(F.min(key).alias("_k")).where(F.col("_k").isNotNull())
+    own = slim.join(_gathered(_each(_hashes(slim))), "_k")
+    return _around(own).groupBy("seed", "hash", "near", "before").agg(F.min("_k").alias("item"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, `item_id`, `matched`: documents that hold a passage of an item, with the most words that agree around a hit."""
     index = materialise(benchmark_index(items, item_key, item_text), "benchmark")
     slim = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), passage_words(F.col(text)).alias("_w"))
-    hits = _windows(slim, bit_table(index))
+    hits = _each(_hashes(slim), bit_table(index)).join(index.select("seed", "hash").distinct(), ["seed", "hash"], "left_semi")
+    found = materialise(_gathered(hits), "hits")
     theirs = index.withColumnsRenamed({"near": "item_near", "before": "item_before"})
-    met = hits.join(theirs, ["seed", "hash"])
+    met = _around(slim.join(found, "_k")).join(theirs, ["seed", "hash"])
     shift = F.col("before") - F.col("item_before")
     agree = F.aggregate(
         F.transform("item_near", lambda w, k: F.when(w == F.get(F.col("near"), k + shift), 1).otherwise(0)),
