@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("spans", "scalars", "speech", "boards", "segmentation", "retrieval", "prompts", "answers", "cost", "evaluation", "quality", "edges", "streams")
+SUBJECTS = ("spans", "scalars", "speech", "boards", "segmentation", "retrieval", "prompts", "answers", "cost", "evaluation", "quality", "edges", "streams", "product")
 
 
 def load_all() -> None:
