@@ -13,7 +13,7 @@ from lecturelab.session import local_session
 HEADLINES = (
     "search_topk", "tfidf", "cohesion", "build_chunks", "utterances_in", "speech_around_board", "visual_prior", "regroup_utterances",
     "asr_drop_report", "ink_delta", "volatility_map", "board_cuts", "run_cost", "perf_table", "cost_by_stage", "formula_prf", "term_coverage",
-    "pk", "verify_citations", "validate_quiz", "latex_quality",
+    "build_segments", "hybrid_scores", "pk", "verify_citations", "validate_quiz", "latex_quality",
 )
 
 

@@ -12,13 +12,17 @@ from lecturelab.sources import prices
 from lecturelab.sources import tables as T
 
 
-def _written(spark, sf):
-    """Documents of all recordings, written to the shared folder."""
+def _stored(spark, sf):
+    """Documents of all recordings, written to the shared folder; its path."""
     path = scratch_path(spark, "documents")
     meta = T.lectures(spark, sf).select("lecture_id", "source", "title", "duration")
     segs = T.segments(spark, sf).select("lecture_id", "sid", "start_s", "end_s", "title", "utterance_ids", "body")
-    S.write_lectures(S.lecture_documents(meta, T.speech(spark, sf).drop("words"), None, segs), path)
-    return S.read_written_lectures(spark, path)
+    S.write_lectures(S.lecture_documents(meta, T.speech(spark, sf).drop("words"), T.boards(spark, sf), segs), path)
+    return path
+
+
+def _written(spark, sf):
+    return S.read_written_lectures(spark, _stored(spark, sf))
 
 
 @query("write_lectures", sql("lectures segments speech", """select l.lecture_id, source, title, round(duration,6) as duration, coalesce(u.n,0)::int as utterances, coalesce(s.n,0)::int as segments, u.h as text_md5
@@ -30,10 +34,21 @@ def _write(spark, sf):
         F.greatest(F.size("segments"), F.lit(0)).alias("segments"), F.md5(F.array_join(F.transform("utterances", lambda u: u["text"]), "|")).alias("text_md5"))
 
 
-@query("read_lectures", sql("speech", "select lecture_id, uid, round(start_s,6) as start_s, round(end_s,6) as end_s, text from speech"))
+@query("read_lectures", sql("speech boards segments lectures", """select 'utterance' as kind, lecture_id, uid as id, round(start_s,6) as start_s, round(end_s,6) as end_s, text from speech
+ union all select 'board', lecture_id, bid, round(start_s,6), round(end_s,6), concat_ws('|', frame_path, latex, caption, cast(round(confidence*10,0) as int)) from boards
+ union all select 'segment', lecture_id, sid, round(start_s,6), round(end_s,6), concat_ws('|', title, body) from segments
+ union all select 'lecture', lecture_id, 0, 0, round(duration,6), concat_ws('|', source, title) from lectures"""))
 def _read(spark, sf):
-    rows = _written(spark, sf).select("lecture_id", F.inline("utterances"))
-    return rows.select("lecture_id", "uid", rounded("span.start", 6).alias("start_s"), rounded("span.end", 6).alias("end_s"), "text")
+    """Every child table of what was written, read back."""
+    got = S.read_lectures(spark, _stored(spark, sf), stored=True)
+    span = [rounded("start_s", 6).alias("start_s"), rounded("end_s", 6).alias("end_s")]
+    row = lambda name, kind, key, *text: got[name].select(F.lit(kind).alias("kind"), "lecture_id", F.col(key).alias("id"), *span, F.concat_ws("|", *text).alias("text"))
+    sure = rounded(F.col("confidence") * 10, 0).cast("int").cast("string")
+    lectures = got["lectures"].select(
+        F.lit("lecture").alias("kind"), "lecture_id", F.lit(0).alias("id"), F.lit(0.0).alias("start_s"), rounded("duration", 6).alias("end_s"),
+        F.concat_ws("|", "source", "title").alias("text"))
+    return row("utterances", "utterance", "uid", "text").unionByName(row("boards", "board", "bid", "frame_path", "latex", "caption", sure)).unionByName(
+        row("segments", "segment", "sid", "title", "body")).unionByName(lectures)
 
 
 @query("library_listing", sql("lectures segments", """select l.lecture_id as run, case when title='' then l.doc_id::varchar else title end as title, coalesce(s.n,0)::int as segments, coalesce(s.ready,false) as ready, l.doc_id*3+1 as bytes

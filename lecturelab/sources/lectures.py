@@ -23,9 +23,12 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     return docs.withColumn("lecture_id", F.url_decode(_run_of(F.input_file_name())))
 
 
-def read_lectures(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables of all documents under `root`: lectures, utterances, boards, segments, quiz_items, stage_timings, stage_usage."""
-    docs = read_documents(spark, root)
+def read_lectures(spark: SparkSession, root: str, stored: bool = False) -> dict[str, DataFrame]:
+    """The tables of all documents under `root`: lectures, utterances, boards, segments, quiz_items, stage_timings, stage_usage.
+
+    `root` holds one `<run>/lecture.json` per run or, with `stored`, what `write_lectures` wrote.
+    """
+    docs = read_written_lectures(spark, root) if stored else read_documents(spark, root)
 
     def child(name: str) -> DataFrame:
         rows = docs.select("lecture_id", F.posexplode(name).alias("pos", "c")).select("lecture_id", "pos", "c.*")
@@ -64,9 +67,8 @@ def lecture_documents(lectures: DataFrame, utterances: DataFrame, boards: DataFr
 
 
 def write_lectures(documents: DataFrame, root: str) -> None:
-    """JSON lines under `root/bucket=N`, one document per line, spread by the id's hash."""
-    out = documents.withColumn("bucket", F.pmod(F.xxhash64("lecture_id"), F.lit(64)))
-    out.repartition("bucket").write.mode("append").partitionBy("bucket").json(root)
+    """JSON lines under `root`, one document per line, dealt out by id over as many files as the session's shuffles have parts."""
+    documents.repartition("lecture_id").write.mode("append").json(root)
 
 
 def read_written_lectures(spark: SparkSession, root: str) -> DataFrame:

@@ -11,6 +11,7 @@ from lecturelab.operators import answers, intervals, prompts, retrieval
 from lecturelab.params import BoardParams
 from lecturelab.plans.registry import QUERIES
 from lecturelab.session import scratch_path
+from lecturelab.sources import tables as T
 from lecturelab.streaming import live
 
 
@@ -93,7 +94,7 @@ def test_recordings_are_asked_end_to_end(spark):
     plans.load_all()
     sf = "/root/testdata/sf0.001"
     got = QUERIES["ask_recordings"](spark, sf).collect()
-    said = QUERIES["build_segments"](spark, sf).select("lecture_id").distinct().count()
+    said = T.speech(spark, sf).select("lecture_id").distinct().count()
     assert len(got) == said > 100
     # the passage that holds the asked sentence is found, its citation stands, and nothing else is cited
     assert all(r["unsupported"] == "" and r["citations"] != "" for r in got)
