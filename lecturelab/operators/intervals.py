@@ -7,6 +7,10 @@ A pair is kept only in its first shared bucket, hence no duplicate removal.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,32 +116,59 @@ def neighbour_chunks(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> Dat
 def match_marks(truth: DataFrame, predicted: DataFrame, tolerance: float, keys: list[str] | None = None) -> DataFrame:
     """One-to-one greedy matching: every true mark, in time order, takes the first free prediction within `tolerance`.
 
-    Marks further apart than the tolerance cannot affect each other, so the sequential part
-    runs per cluster of marks, not per recording. Result: keys, n_true, n_pred, hits,
-    precision, recall, f1.
+    Marks further apart than the tolerance cannot affect each other, so clusters of marks are dealt out apart, and each is
+    one sorted pass that remembers the marks of two tolerances. Equal times are counted, not listed. Result: keys, n_true,
+    n_pred, hits, precision, recall, f1.
     """
     keys = keys or ["lecture_id"]
-    both = truth.select(*keys, F.col("t"), F.lit(0).alias("kind")).unionByName(
-        predicted.select(*keys, F.col("t"), F.lit(1).alias("kind")))
+    both = truth.select(*keys, F.col("t"), F.lit(1).alias("n_true"), F.lit(0).alias("n_pred")).unionByName(
+        predicted.select(*keys, F.col("t"), F.lit(0).alias("n_true"), F.lit(1).alias("n_pred")))
     clusters = _clusters(both, keys, tolerance)
-    lists = clusters.groupBy(*keys, "_cluster").agg(
-        F.sort_array(F.collect_list(F.when(F.col("kind") == 0, F.col("t")))).alias("truths"),
-        F.sort_array(F.collect_list(F.when(F.col("kind") == 1, F.col("t")))).alias("preds"),
-    )
-    free0 = F.struct(F.lit(0).alias("hits"), F.col("preds").alias("free"))
-
-    def take(state, t):
-        usable = F.transform(state["free"], lambda p: F.abs(p - t) <= tolerance)
-        at = F.array_position(usable, True).cast("int")
-        rest = F.filter(state["free"], lambda p, i: i + 1 != at)
-        return F.struct(
-            (state["hits"] + F.when(at > 0, 1).otherwise(0)).alias("hits"),
-            F.when(at > 0, rest).otherwise(state["free"]).alias("free"),
-        )
-
-    counted = lists.select(
-        *keys, F.aggregate("truths", free0, take)["hits"].alias("hits"),
-        F.size("truths").alias("n_true"), F.size("preds").alias("n_pred"))
+    ordered = clusters.repartition(*keys, "_cluster").sortWithinPartitions(*keys, "t").select(*keys, "t", "n_true", "n_pred")
+    names = [*keys, "hits", "n_true", "n_pred"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.select(*keys).schema)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, count = None, [0, 0, 0]
+        waiting, free = deque(), deque()
+
+        def settle(now: float | None) -> None:
+            """Match the true marks that nothing from `now` on can reach."""
+            while waiting and (now is None or now - waiting[0][0] > tolerance):
+                t, n = waiting.popleft()
+                while n:
+                    while free and t - free[0][0] > tolerance:
+                        free.popleft()
+                    if not free or free[0][0] - t > tolerance:
+                        break
+                    k = min(n, free[0][1])
+                    count[0], n, free[0][1] = count[0] + k, n - k, free[0][1] - k
+                    if not free[0][1]:
+                        free.popleft()
+            while free and not waiting and now is not None and now - free[0][0] > tolerance:
+                free.popleft()
+
+        for pdf in batches:
+            done = []
+            for *own, t, n_true, n_pred in pdf.itertuples(index=False, name=None):
+                if own != key:
+                    settle(None)
+                    if key is not None:
+                        done.append((*key, *count))
+                    key, count[:] = own, [0, 0, 0]
+                    free.clear()
+                settle(t)
+                if n_true:
+                    waiting.append((t, n_true))
+                if n_pred:
+                    free.append([t, n_pred])
+                count[1], count[2] = count[1] + n_true, count[2] + n_pred
+            yield pd.DataFrame(done, columns=names)
+        settle(None)
+        if key is not None:
+            yield pd.DataFrame([(*key, *count)], columns=names)
+
+    counted = ordered.mapInPandas(fold, f"{kinds}, hits long, n_true long, n_pred long")
     per = counted.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in ("hits", "n_true", "n_pred")])
     return with_prf(per, "hits", "n_pred", "n_true")
 
@@ -155,11 +186,11 @@ def with_prf(df: DataFrame, hits: str, n_pred: str, n_true: str) -> DataFrame:
 def _clusters(marks: DataFrame, keys: list[str], tolerance: float, hour: float = 3600.0) -> DataFrame:
     """`_cluster`: the first time of the run of marks that are at most `tolerance` apart."""
     block = F.floor(F.col("t") / hour).cast("long")
-    rows = marks.groupBy(*keys, "t").agg(F.collect_list("kind").alias("kinds"))
+    rows = marks.groupBy(*keys, "t").agg(F.sum("n_true").alias("n_true"), F.sum("n_pred").alias("n_pred"))
     seen = running(rows, keys, ["t"], block, {"_prev": ("prev", F.col("t"))})
     first = F.when(F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > tolerance), F.col("t"))
     starts = running(seen, keys, ["t"], block, {"_cluster": ("last", first)})
-    return starts.select(*keys, "t", "_cluster", F.explode("kinds").alias("kind"))
+    return starts.select(*keys, "t", "_cluster", "n_true", "n_pred")
 
 
 def missed_marks(truth: DataFrame, predicted: DataFrame, tolerance: float) -> DataFrame:

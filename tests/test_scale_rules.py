@@ -99,3 +99,21 @@ def test_recordings_are_asked_end_to_end(spark):
     # the passage that holds the asked sentence is found, its citation stands, and nothing else is cited
     assert all(r["unsupported"] == "" and r["citations"] != "" for r in got)
     assert sum(r["sources"].startswith(("00:00=", "00:0")) for r in got) > 0.8 * len(got)
+
+
+def test_marks_are_matched_as_the_rule_says(spark):
+    rng = random.Random(9)
+    rows = {"t": [], "p": []}
+    for key in range(30):
+        for side in rows:
+            rows[side] += [(f"k{key}", rng.choice([0.0, 1.5, 2.0, 7.0]) + rng.randrange(40)) for _ in range(rng.randrange(25))]
+    make = lambda side: spark.createDataFrame(rows[side], "lecture_id string, t double").repartition(3)
+    got = {r["lecture_id"]: (r["hits"], r["n_true"], r["n_pred"]) for r in intervals.match_marks(make("t"), make("p"), 1.5).collect()}
+    for key in got:
+        free, hits = sorted(t for k, t in rows["p"] if k == key), 0
+        for t in sorted(t for k, t in rows["t"] if k == key):
+            near = [p for p in free if abs(p - t) <= 1.5]
+            if near:
+                hits += 1
+                free.remove(near[0])
+        assert got[key] == (hits, sum(k == key for k, _ in rows["t"]), sum(k == key for k, _ in rows["p"]))
