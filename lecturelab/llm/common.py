@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lecturelab.session import materialise, scratch_path, shared_dir
 
-__all__ = ["GAP", "SPACE", "drop_path", "materialise", "n_words", "scratch_path", "shared_dir", "table", "text_or_empty", "words"]
+__all__ = ["GAP", "SPACE", "drop_path", "materialise", "n_words", "scratch_path", "shared_dir", "table", "text_or_empty", "where_computed", "words"]
 
 SPACE = " \t\n\x0b\f\r"
 GAP = r"[\x20\x09-\x0D]+"
@@ -32,6 +32,15 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """`df.where(condition)` for a costly computed condition: it stays where it is computed.
+
+    A filter is otherwise pushed below the projections that lead to it, each name replaced by its expression, and
+    what was computed once in steps is computed again at every mention. A projection that numbers rows holds it up.
+    """
+    return df.withColumn("_place", F.monotonically_increasing_id()).where(condition & (F.col("_place") >= 0)).drop("_place")
+
+
 def drop_path(spark: SparkSession, paths: Iterable[str]) -> None:
     """Remove tables this library wrote to the shared folder and no plan reads any more."""
     jvm = spark.sparkContext._jvm

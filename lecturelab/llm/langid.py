@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lecturelab.llm.common import where_computed
+
 UND = "und"
 BLOCK = 64
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -362,4 +364,4 @@ def keep(docs: DataFrame, model: Crf, text: str = "text", min_score: float = 0.5
     """Documents whose language is known with at least `min_score`, with their own columns only."""
     own = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     found = label_texts(own, model, "_text", "_found")
-    return found.where((F.col("_found.lang_pred") != UND) & (F.col("_found.score") >= min_score)).select("_row.*")
+    return where_computed(found, (F.col("_found.lang_pred") != UND) & (F.col("_found.score") >= min_score)).select("_row.*")

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lecturelab.llm.common import GAP, SPACE, text_or_empty, words
+from lecturelab.llm.common import GAP, SPACE, text_or_empty, where_computed, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8  # a power of two: window hashes are doubled up
@@ -128,7 +128,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their own columns only."""
     own = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    return judged(own, "_text", rules).where("kept").select("_row.*")
+    return where_computed(judged(own, "_text", rules), F.col("kept")).select("_row.*")
 
 
 def oracle() -> str:
