@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,6 @@ class MixParams:
     block_words: int = 8
     shards: int = 8
     seed: int = 42
-    bucket_rows: int = 2048
 
 
 def targets(sizes: Sequence[int], params: MixParams = MixParams()) -> list[float]:
@@ -126,8 +126,8 @@ def plan(sizes: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 def placed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", params: MixParams = MixParams()) -> DataFrame:
     """One row per document: key, `source`, `size`, `start` on its source's line, and its source's plan."""
     sizes = materialise(docs.select(F.col(key), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")), "sizes")
-    # about `bucket_rows` documents of one source to a bucket, at any number of documents
-    buckets = sizes.count() // params.bucket_rows + 1
+    # as many buckets as a bucket has documents, so that neither a bucket nor a source's list of buckets gets long
+    buckets = isqrt(sizes.count()) + 1
     h = F.xxhash64(F.lit(params.seed), F.col(key), F.col("size"))
     dealt = sizes.withColumns({"_h": h, "_bucket": F.pmod(h, F.lit(buckets))})
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
