@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lecturelab.llm.common import materialise
+
 #: (spelling, settled spelling), applied in order to lower-case text.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("organisation", "organization"), ("favour", "favor"),
@@ -75,15 +77,17 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+    """Stored, so that Spark knows how small it is and moves neither texts nor digests to meet it."""
     rows = docs.sparkSession.createDataFrame([*known], "licence string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("_known")).agg(F.min("licence").alias("_licence"))
+    return materialise(rows.groupBy(digest(F.col("text")).alias("_known")).agg(F.min("licence").alias("_licence")), "licences")
 
 
-def notices(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def notices(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, `notice` (the first by name), `n_notices`: documents with lines that are known texts by themselves."""
     lines = F.split(canonical_lines(F.col(text)), "\n")
-    each = docs.select(F.col(key).alias("_key"), F.explode(lines).alias("_line")).where(F.btrim("_line") != "")
-    hits = each.join(known_digests(docs, known), F.sha2(F.btrim("_line"), 256) == F.col("_known"))
+    spoken = F.filter(F.transform(lines, lambda x: F.btrim(x)), lambda x: x != "")
+    each = docs.select(F.col(key).alias("_key"), F.explode(spoken).alias("_line")).select("_key", F.sha2("_line", 256).alias("_digest"))
+    hits = each.join(known, F.col("_digest") == F.col("_known"))
     return hits.groupBy(F.col("_key").alias(key)).agg(F.min("_licence").alias("notice"), F.count("*").alias("n_notices"))
 
 
@@ -92,9 +96,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Sequen
 
     Rows that repeat an id share its notices.
     """
+    table = known_digests(docs, known)
     whole = docs.select(F.col(key).alias("_key"), digest(F.col(text)).alias("digest"))
-    named = whole.join(known_digests(docs, known), F.col("digest") == F.col("_known"), "left")
-    found = notices(docs, key, text, known).withColumnRenamed(key, "_id")
+    named = whole.join(table, F.col("digest") == F.col("_known"), "left")
+    found = notices(docs, table, key, text).withColumnRenamed(key, "_id")
     return named.join(found, F.col("_key").eqNullSafe(F.col("_id")), "left").select(
         F.col("_key").alias(key), "digest", F.col("_licence").alias("licence"), "notice", F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"))
 
