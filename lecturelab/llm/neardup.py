@@ -113,7 +113,8 @@ def links(values: DataFrame, column: str = "fp", distance: int = DISTANCE, parts
         viable = differ.bitwiseAND(F.lit(_signed(bits))).isin([_signed(c) for c in changes])
         earlier = earlier | ((F.col("start") > s) & viable)
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance)
-    return looked.join(stored, ["start", "chain"]).where(near & ~earlier).select("a", "b")
+    # Spark judges both sides by the table they come from, not by the rows they turn into, and would broadcast a small one
+    return looked.hint("merge").join(stored, ["start", "chain"]).where(near & ~earlier).select("a", "b")
 
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
