@@ -15,6 +15,14 @@ Edge cases: a text without a word (or null) has fingerprint zero and is linked l
 one shingle; texts are taken whole, shingle counts are kept for blocks of a text; a null id stays null and does not
 name a component unless its whole component has none; repeated rows appear as often as given; an empty table gives an
 empty result.
+
+Similar texts (`similar_clusters`, `similar_only_once`) are those whose sets of five-word shingles overlap by `SIMILAR`
+percent or more; two bits of a SimHash find few of them and a wide distance finds too many strangers, so candidates come
+from min-wise hashes: `BANDS` bands of `BAND` minima each, which a pair of similarity 0.8 misses altogether once in
+20 000 times, and a pair of higher similarity less often. Every candidate is confirmed on the sets themselves. A band's
+texts first meet one of them, another one in each band; then those that are still in different components meet each
+other, all of them, so a group of copies costs its size and not its square, and no candidate of the bands is left out.
+Equal words in a row are one text. A text without a word is like other such texts only.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from lecturelab.llm.common import materialise
 from lecturelab.llm.components import connected_components
@@ -38,24 +46,38 @@ SEGMENTS = 3
 CHAIN = 2
 BITS = 64
 _BLOCK = 1 << 16
+#: Words in a shingle of similar texts, and the percentage of all shingles of two texts that both must have.
+SIMILAR_SHINGLE = 5
+SIMILAR = 80
+BANDS = 25
+BAND = 5
+_MIN_BLOCK = 1 << 10
 
 
-def simhash(text: str | None) -> int:
-    """The fingerprint as a signed 64-bit number."""
-    from xxhash import xxh64_intdigest
-
+def _spans(text: str | None, shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one space between, and where each shingle starts and ends."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space parts
-    if not tokens:
-        return 0
     joined, lengths = b" ".join(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    width = min(SHINGLE, len(tokens))
-    starts, ends = starts[: len(tokens) - width + 1], ends[width - 1:]
+    width = min(shingle, len(tokens))
+    return joined, starts[: len(tokens) - width + 1], ends[max(width - 1, 0):]
+
+
+def _span_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8")
+
+
+def simhash(text: str | None) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    joined, starts, ends = _spans(text, SHINGLE)
+    if not joined:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), _BLOCK):
-        spans = zip(starts[at: at + _BLOCK].tolist(), ends[at: at + _BLOCK].tolist(), strict=True)
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+        hashes = _span_hashes(joined, starts[at: at + _BLOCK], ends[at: at + _BLOCK])
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
 
@@ -66,6 +88,53 @@ def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([simhash(t) for t in batch], dtype="int64")
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the different five-word shingles, in order; a shorter text is one shingle."""
+    return np.unique(_span_hashes(*_spans(text, SIMILAR_SHINGLE)))
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of the min-wise hashes."""
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND, 1), dtype=np.uint64)
+    return drawn[0] | np.uint64(1), drawn[1]
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each band's minima."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    factors, summands = _factors()
+    least = np.full(BANDS * BAND, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), _MIN_BLOCK):
+        least = np.minimum(least, (hashes[None, at: at + _MIN_BLOCK] * factors + summands).min(axis=1))
+    rows = least.astype("<u8").reshape(BANDS, BAND)
+    return np.array([xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], dtype="<u8").view("<i8")
+
+
+@F.pandas_udf(LongType())
+def words_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Equal for equal words in a row."""
+    from xxhash import xxh64_intdigest
+
+    for batch in texts:
+        own = [xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), SEED) for t in batch]
+        yield pd.Series(np.array(own, dtype="<u8").view("<i8"))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def text_bands(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([bands(shingles(t)) for t in batch], dtype=object)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def text_shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([shingles(t).view("<i8") for t in batch], dtype=object)
+
+
 def fingerprint_text(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
@@ -121,7 +190,12 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
     """One row per document: `key`, `fp`, and the smallest key reachable over links as `component_id`."""
     own = materialise(docs.select(F.col(key), fingerprint(F.col(text)).alias("fp")), "fingerprints")
     values = materialise(own.groupBy("fp").agg(F.min(key).alias("_first")), "values")
-    labels = connected_components(links(values, "fp", distance))
+    return _named(own, values, links(values, "fp", distance), key)
+
+
+def _named(own: DataFrame, values: DataFrame, linked_values: DataFrame, key: str) -> DataFrame:
+    """`own` (key, `fp`) with the smallest key (`_first` in `values`) that is reachable over links."""
+    labels = connected_components(linked_values)
     linked = values.join(labels, F.col("fp") == F.col("node")).select("fp", "_first", "label")
     roots = linked.groupBy("label").agg(F.min("_first").alias("_root"))
     reached = linked.join(roots, "label").select("fp", "_root")
@@ -130,9 +204,61 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
     return own.join(named, "fp").select(key, "fp", "component_id")
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `pairs` (`a`, `b`) that are similar; `sets` has the shingles `s` of each `fp`."""
+    one, other = (sets.select(F.col("fp").alias(side), F.col("s").alias(f"s{side}")) for side in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    n, m = F.size("sa"), F.size("sb")
+    met = pairs.hint("merge").join(one, "a").hint("merge").join(other, "b")
+    # lengths first: they are read without a look at the shingles
+    return met.where((100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (100 * both >= SIMILAR * (n + m - both))).select("a", "b")
+
+
+def similar_links(docs: DataFrame, own: DataFrame, text: str = "text") -> DataFrame:
+    """`a` < `b`: similar texts, by the `fp` of `own` (`fp`, `bands`), enough of them that components are those of all pairs."""
+    members = materialise(own.select("fp", F.explode("bands").alias("band")).distinct(), "bands")
+    met = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.col("fp").bitwiseXOR(F.col("band"))).alias("_min")).where("n > 1")
+    shared = materialise(members.hint("merge").join(met, "band").select("band", "fp", "n", F.col("_min").bitwiseXOR(F.col("band")).alias("star")), "shared")
+    wanted = materialise(shared.select("fp").distinct(), "wanted")
+    texts = docs.select(words_hash(F.col(text)).alias("fp"), F.col(text).alias("_text")).hint("merge").join(wanted, "fp", "left_semi")
+    sets = materialise(texts.select("fp", text_shingles("_text").alias("s")).dropDuplicates(["fp"]), "shingles")
+    star = shared.where("fp <> star").select(F.least("fp", "star").alias("a"), F.greatest("fp", "star").alias("b")).distinct()
+    first = materialise(_confirmed(materialise(star, "stars"), sets), "similar")
+    labels = connected_components(first)
+    # bands whose texts are still in different components: all pairs across these
+    many = shared.where("n > 2").hint("merge").join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+    many = materialise(many, "labelled")
+    split = many.groupBy("band").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("band")
+    parts = materialise(many.hint("merge").join(split, "band", "left_semi"), "parts")
+    names = materialise(parts.groupBy("band", "label").count().select("band", "label"), "names")
+    low, high = names.select("band", F.col("label").alias("la")), names.select("band", F.col("label").alias("lb"))
+    across = low.hint("merge").join(high, "band").where("la < lb")
+    one = parts.select("band", F.col("label").alias("la"), F.col("fp").alias("x"))
+    other = parts.select("band", F.col("label").alias("lb"), F.col("fp").alias("y"))
+    crossed = across.hint("merge").join(one, ["band", "la"]).hint("merge").join(other, ["band", "lb"])
+    rest = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return first.union(_confirmed(materialise(rest, "crossed"), sets))
+
+
+def similar_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: `key`, `fp` (of its words in a row), and the smallest key reachable over similar texts."""
+    own = materialise(docs.select(F.col(key), words_hash(F.col(text)).alias("fp"), text_bands(F.col(text)).alias("bands")), "words")
+    values = materialise(own.groupBy("fp").agg(F.min(key).alias("_first")), "values")
+    return _named(own.select(key, "fp"), values, similar_links(docs, own, text), key)
+
+
+def similar_only_once(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As `deduplicate`, by similar texts."""
+    return _first_of_each(docs, similar_clusters(docs, key, text), key)
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The document with the smallest key of each component. Rows that repeat a key are one document and keep one row;
     rows without a key can't be named and stay."""
-    first = clusters(docs, key, text, distance).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return _first_of_each(docs, clusters(docs, key, text, distance), key)
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    first = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     kept = docs.join(first, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))
