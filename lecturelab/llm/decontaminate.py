@@ -3,9 +3,11 @@
 A seed is a fixed mask over consecutive words: the words under `1` are hashed, those under `0` may differ. Windows of
 training texts and benchmark items with equal hashes meet in a join; around each hit, the benchmark words within
 `PAD` places (cut to the item) are compared with the text's words at the same distance. The text holds the passage if
-at least `PERCENT` of them agree, so single replaced words do not hide it.
+at least `PERCENT` of them agree, so single replaced words do not hide it, or if `RUN` of them in a row agree, so that an
+excerpt counts from any place of the item, whatever stands around it. Verbatim excerpts of `RUN` words are found in
+any case: the masks match at their first word, and the comparison reaches far enough.
 
-Words are runs of letters and digits in lower case. All masks are made of three pairs of neighbouring words, so one
+Words are runs of letters and digits in lower case. All masks are made of pairs of neighbouring words, so one
 array of pair hashes serves them all, and only hashes and places are dealt out per window, never words. Windows whose
 hash cannot be in the benchmark are dropped by a bit table of fixed size, which only saves rows; a join on the hashes
 decides. The documents with hits then meet them again by id, once, to cut the words around each. Benchmark windows with
@@ -19,6 +21,9 @@ columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +33,13 @@ from lecturelab.llm.common import materialise, text_or_empty
 PAIRS = ((3, 6), (2, 6), (4, 6))
 SPAN = 8
 SEEDS = tuple("".join("1" if any(k in (at, at + 1) for at in (0, *rest)) else "0" for k in range(SPAN)) for rest in PAIRS)
+#: One more mask, of four pairs, whose gaps are four places apart: 1110111. The SQL does not have it.
+FOURTH = (1, 4, 5)
+MASKS = len(PAIRS) + 1
 PAD = 8
 PERCENT = 70
+#: Agreeing words in a row that are a passage by themselves.
+RUN = 13
 #: 2^17 words of 64 bits, 1 MB, whatever the benchmark holds.
 BIT_POWER = 17
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -53,16 +63,18 @@ def _hashes(texts: DataFrame) -> DataFrame:
     """`texts` (`_k`, `_w`) to `_k`, `i` and the hash of every mask there, one row per place."""
     out = texts.select("_k", F.transform("_w", lambda w: F.xxhash64(w)).alias("_p"))
     out = out.withColumn("_p", _with("_p", "_p", 1))
-    out = out.select("_k", "_p", *[_with("_p", "_p", second).alias(f"_q{n}") for n, (second, _) in enumerate(PAIRS)])
-    out = out.select("_k", *[_with(f"_q{n}", "_p", third).alias(f"h{n}") for n, (_, third) in enumerate(PAIRS)])
-    names = [f"h{n}" for n in range(len(PAIRS))]
+    out = out.select("_k", "_p", *[_with("_p", "_p", second).alias(f"_q{n}") for n, second in enumerate((*[second for second, _ in PAIRS], FOURTH[0]))])
+    last = _with(_with(f"_q{MASKS - 1}", "_p", FOURTH[1]), "_p", FOURTH[2])
+    out = out.select("_k", *[_with(f"_q{n}", "_p", third).alias(f"h{n}") for n, (_, third) in enumerate(PAIRS)], last.alias(f"h{MASKS - 1}"))
+    names = [f"h{n}" for n in range(MASKS)]
     return out.select("_k", F.posexplode(F.arrays_zip(*names)).alias("i", "h")).select("_k", "i", "h.*")
 
 
 def _each(hashed: DataFrame, bits: Column | None = None) -> DataFrame:
     """`_k`, `i`, `seed`, `hash`: one row per mask, those only that `bits` lets pass."""
-    passes = [F.lit(True) if bits is None else _passes(F.col(f"h{n}"), bits) for n in range(len(PAIRS))]
-    some = hashed if bits is None else hashed.where(passes[0] | passes[1] | passes[2])
+    passes = [F.lit(True) if bits is None else _passes(F.col(f"h{n}"), bits) for n in range(MASKS)]
+    whole = hashed.where("h0 is not null")  # the fourth mask is shorter and would go one window further
+    some = whole if bits is None else whole.where(reduce(or_, passes))
     rows = [F.when(ok, F.struct(F.lit(n).alias("seed"), F.col(f"h{n}").alias("hash"))) for n, ok in enumerate(passes)]
     return some.select("_k", "i", F.explode(F.array_compact(F.array(*rows))).alias("s")).select("_k", "i", "s.*")
 
@@ -78,7 +90,7 @@ def _around(texts: DataFrame) -> DataFrame:
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
-    """The hits of each text in one list: no more than three for each of its words."""
+    """The hits of each text in one list: no more than four for each of its words."""
     return rows.groupBy("_k").agg(F.collect_list(F.struct("i", "seed", "hash")).alias("_hits"))
 
 
@@ -123,10 +135,14 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     theirs = index.withColumnsRenamed({"near": "item_near", "before": "item_before"})
     met = _around(slim.join(found, "_k")).join(theirs, ["seed", "hash"])
     shift = F.col("before") - F.col("item_before")
-    agree = F.aggregate(
-        F.transform("item_near", lambda w, k: F.when(w == F.get(F.col("near"), k + shift), 1).otherwise(0)),
-        F.lit(0), lambda a, x: a + x)
-    checked = met.withColumn("matched", agree.cast("long")).where(100 * F.col("matched") >= PERCENT * F.size("item_near"))
+    same = F.transform("item_near", lambda w, k: F.coalesce(w == F.get(F.col("near"), k + shift), F.lit(False)))
+    none = F.struct(F.lit(0).alias("all"), F.lit(0).alias("now"), F.lit(0).alias("run"))
+    agree = F.aggregate(same, none, lambda a, x: F.struct(
+        (a["all"] + x.cast("int")).alias("all"), F.when(x, a["now"] + 1).otherwise(0).alias("now"),
+        F.greatest(a["run"], F.when(x, a["now"] + 1).otherwise(0)).alias("run")))
+    counted = met.select("_k", "item", F.size("item_near").alias("compared"), agree.alias("agree"))
+    checked = counted.select("_k", "item", "compared", F.col("agree.all").cast("long").alias("matched"), F.col("agree.run").alias("run")).where(
+        (100 * F.col("matched") >= PERCENT * F.col("compared")) | (F.col("run") >= RUN))
     return checked.groupBy(F.col("_k").alias(key), F.col("item").alias("item_id")).agg(F.max("matched").alias("matched"))
 
 
