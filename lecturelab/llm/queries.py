@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lecturelab.llm import decontaminate, langid, licenses, mixing, neardup, preference, quality_knn, quality_rules, url_filter, warc
+from lecturelab.llm import (
+    bpe, decontaminate, importance, langid, licenses, mixing, neardup, negatives, preference, quality_knn, quality_rules, url_filter, warc)
 from lecturelab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +90,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_warc", warc.oracle())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op11_hard_negatives", negatives.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchor = F.col("id") % negatives.ANCHORS == 0
+    return negatives.mine(table(spark, sf_dir, "embeddings"), anchor, label=negatives.relabelled())
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    own = bpe.tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(table(spark, sf_dir, "documents"), own)
+
+
+@query("op13_importance_resampling", importance.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
