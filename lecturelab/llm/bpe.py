@@ -29,10 +29,12 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
@@ -52,17 +54,26 @@ _SHORT = 128
 _NONE = 1 << 62
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, np.int32)
+
+
 class _Words(dict):
-    """Ids of a match, remembered while there is room."""
+    """Ids of a match, packed, remembered while there is room."""
 
-    def __init__(self, encode: Callable[[str], tuple[int, ...]]) -> None:
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.encode(word)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word) or self.encode(word)
         if len(word) <= MEMORY_CHARS:
-            if len(self) >= MEMORY:
+            if len(self) >= MEMORY:  # words that come back soon stay
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -70,14 +81,14 @@ class _Words(dict):
 
 @dataclass
 class Piece:
-    """Text from `start` to `stop`, encoded: all ids, the first matches and the last `LOOK` with their ids."""
+    """Text from `start` to `stop`, encoded: all ids, the first matches and the last `LOOK` with their ids (packed, four bytes each)."""
 
     start: int
     stop: int
-    ids: array
+    ids: bytes
     n: int
-    first: list[tuple[str, tuple[int, ...]]]
-    last: list[tuple[str, tuple[int, ...]]]
+    first: list[tuple[str, bytes]]
+    last: list[tuple[str, bytes]]
 
 
 class Vocabulary:
@@ -89,7 +100,10 @@ class Vocabulary:
         missing = [k for k in range(256) if bytes([k]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes, {missing[0]} first")
-        self.ranks, self.names = ranks, {k: b for b, k in ranks.items()}
+        self.ranks = ranks
+        self.names: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for data, k in ranks.items():
+            self.names[k] = data
         self.pattern = regex.compile(pattern)
         self.words = _Words(self.word)
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -170,26 +184,26 @@ class Vocabulary:
 
     # matches and texts
 
-    def word(self, match: str) -> tuple[int, ...]:
+    def word(self, match: str) -> bytes:
         data = match.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else tuple(self.merged_tree(data))
+        return _packed([whole] if whole is not None else self.merged_tree(data))
 
-    def word_across(self, left: tuple[str, tuple[int, ...]], right: tuple[str, tuple[int, ...]]) -> tuple[int, ...]:
+    def word_across(self, left: tuple[str, bytes], right: tuple[str, bytes]) -> bytes:
         """The ids of a match that the cut parted, from those of its parts."""
         data = [part.encode("utf-8", "surrogatepass") for part, _ in (left, right)]
         whole = self.ranks.get(data[0] + data[1])
         if whole is not None:
-            return (whole,)
+            return _packed([whole])
         # a single id may stand for the whole part without any merge leading to it
-        own = [list(ids) if len(ids) > 1 else self.merged(part) for part, (_, ids) in zip(data, (left, right), strict=True)]
-        return tuple(self.joined(*own))
+        own = [unpacked(ids).tolist() if len(ids) > 4 else self.merged(part) for part, (_, ids) in zip(data, (left, right), strict=True)]
+        return _packed(self.joined(*own))
 
     def leaf(self, text: str, start: int, stop: int) -> Piece:
         matches = self.pattern.findall(text, start, stop)
         ids = list(map(self.words.__getitem__, matches))
         pairs = [list(zip(matches[cut], ids[cut], strict=True)) for cut in (slice(HEAD), slice(-LOOK, None))]
-        return Piece(start, stop, array("i", chain.from_iterable(ids)), len(matches), *pairs)
+        return Piece(start, stop, b"".join(ids), len(matches), *pairs)
 
     def join(self, text: str, left: Piece, right: Piece) -> Piece:
         if not left.n or not right.n:
@@ -199,7 +213,7 @@ class Vocabulary:
             back += 1
             begin -= len(left.last[-back][0])
         parted = (left.stop - len(left.last[-1][0]), right.start + len(right.first[0][0])) if right.first else None
-        new: list[tuple[str, tuple[int, ...]]] = []
+        new: list[tuple[str, bytes]] = []
         taken, at, agreed = 0, right.start, False
         for found in self.pattern.finditer(text, begin, right.stop):
             while at < found.end() and taken < len(right.first):
@@ -212,10 +226,8 @@ class Vocabulary:
         if not agreed:  # not within the leading matches: all of the right side is matched again
             new, taken = [(m, self.words[m]) for m in self.pattern.findall(text, begin, right.stop)], right.n
         kept = len(left.ids) - sum(len(own) for _, own in left.last[len(left.last) - back:])
-        ids = left.ids[:kept]
-        ids.extend(chain.from_iterable(own for _, own in new))
-        if agreed:
-            ids += right.ids[sum(len(own) for _, own in right.first[:taken]):]
+        used = sum(len(own) for _, own in right.first[:taken]) if agreed else len(right.ids)
+        ids = b"".join([left.ids[:kept], *(own for _, own in new), right.ids[used:]])
         rest = right.n - taken
         first = left.first[:left.n - back]
         if left.n - back < HEAD:
@@ -229,11 +241,13 @@ class Vocabulary:
         half = (start + stop) // 2
         return self.join(text, self._tree(text, start, half), self._tree(text, half, stop))
 
-    def encode(self, text: str | None) -> array:
-        return self._tree(text or "", 0, len(text or "")).ids
+    def encode(self, text: str | None) -> np.ndarray:
+        return unpacked(self._tree(text or "", 0, len(text or "")).ids)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         name, ids = self.names.__getitem__, list(ids)
+        if ids and min(ids) < 0:
+            raise ValueError(f"{min(ids)} is no id")
         level = [b"".join(map(name, ids[at:at + BLOCK_IDS])) for at in range(0, len(ids), BLOCK_IDS)]
         while len(level) > 1:
             level = [b"".join(level[k:k + 2]) for k in range(0, len(level), 2)]
@@ -273,7 +287,7 @@ def encoded(text: Column, own: Tokenizer) -> Column:
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = own.vocabulary
         for batch in texts:
-            yield pd.Series([np.frombuffer(vocabulary.encode(t), np.int32) for t in batch], dtype=object)
+            yield pd.Series([vocabulary.encode(t) for t in batch], dtype=object)
 
     return ids(text.cast("string"))
 
@@ -299,9 +313,24 @@ def decode(docs: DataFrame, own: Tokenizer, tokens: str = "tokens", to: str = "d
 
 
 def digests(docs: DataFrame, own: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: its key, the number of ids, the SHA-256 of the ids in decimal joined by commas, and that of the decoded bytes."""
-    rows = encode(docs.select(F.col(key), F.col(text).alias("_text")), own, "_text", "_ids").select(key, "_ids")
-    rows = decode(rows, own, "_ids", "_bytes")
-    ids = F.array_join(F.col("_ids").cast("array<string>"), ",")
-    return rows.select(
-        key, F.size("_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("_bytes"), 256).alias("decoded_sha256"))
+    """Per document: its key, the number of ids, the SHA-256 of the ids in decimal joined by commas, and that of the decoded bytes.
+
+    Ids and decoded bytes are made text by text and only their digests leave the task.
+    """
+    rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    key_type = rows.schema[0].dataType.simpleString()
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = own.vocabulary
+        for batch in batches:
+            counts, of_ids, of_bytes = [], [], []
+            for cell in batch.column(1):
+                ids = vocabulary.encode(cell.as_py()).tolist()
+                counts.append(len(ids))
+                of_ids.append(sha256(",".join(map(str, ids)).encode()).hexdigest())
+                of_bytes.append(sha256(vocabulary.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(digested, f"`{key}` {key_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
