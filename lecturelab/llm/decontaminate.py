@@ -13,10 +13,11 @@ hash cannot be in the benchmark are dropped by a bit table of fixed size, which
 decides. The documents with hits then meet them again by id, once, to cut the words around each. Benchmark windows with
 equal surroundings are one row, named after the smallest item.
 
-Edge cases: null or empty texts and items, and those shorter than the shortest mask, hold no window and match
-nothing; repeated rows add nothing; very long texts are streamed window by window from their word list; rows without
-an id can't be named and are not reported; an empty benchmark or table gives an empty result. Only the id and text
-columns are read.
+Edge cases: null or empty texts and items, and those of fewer than `SPAN` words, hold no window and match nothing (the
+fourth mask has seven places, but is laid where eight words are left); repeated rows add nothing; very long texts are
+streamed window by window from their word list; rows without an id can't be named and are not reported by `leaks`, while
+`remove` decides by the text of the row, whatever its id; an empty benchmark or table gives an empty result. Only the id
+and text columns are read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from lecturelab.llm.common import materialise, text_or_empty
 PAIRS = ((3, 6), (2, 6), (4, 6))
 SPAN = 8
 SEEDS = tuple("".join("1" if any(k in (at, at + 1) for at in (0, *rest)) else "0" for k in range(SPAN)) for rest in PAIRS)
-#: One more mask, of four pairs, whose gaps are four places apart: 1110111. The SQL does not have it.
+#: One more mask, of four pairs, whose gaps are four places apart: 1110111.
 FOURTH = (1, 4, 5)
+FOURTH_SEED = "".join("1" if any(k in (at, at + 1) for at in (0, *FOURTH)) else "0" for k in range(FOURTH[-1] + 2))
 MASKS = len(PAIRS) + 1
 PAD = 8
 PERCENT = 70
@@ -90,8 +92,8 @@ def _around(texts: DataFrame) -> DataFrame:
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
-    """The hits of each text in one list: no more than four for each of its words."""
-    return rows.groupBy("_k").agg(F.collect_list(F.struct("i", "seed", "hash")).alias("_hits"))
+    """The hits of each text in one list: no more than four for each of its words, however often the text is given."""
+    return rows.groupBy("_k").agg(F.collect_set(F.struct("i", "seed", "hash")).alias("_hits"))
 
 
 def _bit(place: Column) -> Column:
@@ -146,10 +148,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     return checked.groupBy(F.col("_k").alias(key), F.col("item").alias("item_id")).agg(F.max("matched").alias("matched"))
 
 
-def remove(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without those that hold a benchmark passage."""
-    found = leaks(docs, items, key, text).select(key).distinct()
-    return docs.join(found, key, "left_anti")
+def remove(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` without the rows whose text holds a benchmark passage."""
+    named = docs.withColumn("_own", F.md5(text_or_empty(F.col(text))))
+    found = leaks(named.select("_own", F.col(text).alias("_text")), items, "_own", "_text").select("_own").distinct()
+    return named.join(found, "_own", "left_anti").drop("_own")
 
 
 def oracle() -> str:
@@ -158,23 +161,25 @@ def oracle() -> str:
     def side(table: str, key: str) -> str:
         words = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{NOT_WORD}'), lambda x: x <> '')"
         parts = []
-        for n, seed in enumerate(SEEDS):
+        for n, seed in enumerate((*SEEDS, FOURTH_SEED)):
             shown = ", ' ', ".join(f"w[i + {k + 1}]" for k in _places(seed))
-            spots = f"range(0, len(w) - {len(seed)} + 1)"
+            spots = f"range(0, len(w) - {SPAN} + 1)"
             parts.append(
-                f"select rid, {n} as seed, {len(seed)} as span, unnest({spots}) as i, "
-                f"unnest(list_transform({spots}, lambda i: concat({shown}))) as words from {table}_w where len(w) >= {len(seed)}")
+                f"select rid, {n} as seed, unnest({spots}) as i, "
+                f"unnest(list_transform({spots}, lambda i: concat({shown}))) as words from {table}_w where len(w) >= {SPAN}")
         return (f"{table}_w as (select row_number() over () as rid, {key} as id, {words} as w from {table}),\n"
                 f"{table}_s as ({' union all '.join(parts)})")
 
     return f"""
 with {side('documents', 'doc_id')},
 {side('benchmark', 'item_id')},
-items as (select s.seed, s.words, s.span, least(s.i, {PAD}) as item_before,
-        w.w[s.i - least(s.i, {PAD}) + 1 : s.i + s.span + {PAD}] as item_near, min(w.id) as item_id
+items as (select s.seed, s.words, least(s.i, {PAD}) as item_before,
+        w.w[s.i - least(s.i, {PAD}) + 1 : s.i + {SPAN + PAD}] as item_near, min(w.id) as item_id
     from benchmark_s s join benchmark_w w using (rid) group by all),
 met as (select d.rid, d.i, x.* from documents_s d join items x using (seed, words)),
-checked as (select w.id as doc_id, item_id, len(item_near) as compared,
-        len(list_filter(range(0, len(item_near)), lambda k: i - item_before + k >= 0 and w.w[i - item_before + k + 1] = item_near[k + 1])) as matched
-    from met join documents_w w using (rid) where w.id is not null)
-select doc_id, item_id, max(matched)::bigint as matched from checked where 100 * matched >= {PERCENT} * compared group by all"""
+checked as (select w.id as doc_id, item_id, array_to_string(list_transform(range(0, len(item_near)),
+        lambda k: case when i - item_before + k >= 0 and w.w[i - item_before + k + 1] = item_near[k + 1] then '1' else '0' end), '') as agree
+    from met join documents_w w using (rid) where w.id is not null),
+counted as (select doc_id, item_id, agree, length(replace(agree, '0', '')) as matched from checked)
+select doc_id, item_id, max(matched)::bigint as matched from counted
+where 100 * matched >= {PERCENT} * length(agree) or contains(agree, '{'1' * RUN}') group by all"""

@@ -19,10 +19,18 @@ empty result.
 Similar texts (`similar_clusters`, `similar_only_once`) are those whose sets of five-word shingles overlap by `SIMILAR`
 percent or more; two bits of a SimHash find few of them and a wide distance finds too many strangers, so candidates come
 from min-wise hashes: `BANDS` bands of `BAND` minima each, which a pair of similarity 0.8 misses altogether once in
-20 000 times, and a pair of higher similarity less often. Every candidate is confirmed on the sets themselves. A band's
-texts first meet one of them, another one in each band; then those that are still in different components meet each
-other, all of them, so a group of copies costs its size and not its square, and no candidate of the bands is left out.
-Equal words in a row are one text. A text without a word is like other such texts only.
+20 000 times, and a pair of higher similarity less often. Every candidate is confirmed on the sets themselves.
+
+A band's texts first meet one of them, another one in each band. Where that leaves several components in a band, each of
+them sends `ROUNDS` members, drawn anew each round, and these meet the members of two components of the band: one drawn
+by the round and the largest. So the number of pairs grows with the number of texts, in a group of templates that are
+alike but not similar as well as in a group of copies. A link between two components of a band can be missed if none
+of the drawn members show it; `exact=True` compares all texts of different components of a band instead, which costs
+the square of a group of templates. README has the measured share that is found.
+
+Equal words in a row are one text. A text without a word is like other such texts only. What is kept of a component is
+decided by row, not by id alone: the row with the smallest id (rows without one come last), and among those with
+the smallest hash; of rows with that id and equal words one stays.
 """
 
 from __future__ import annotations
@@ -52,6 +60,10 @@ SIMILAR = 80
 BANDS = 25
 BAND = 5
 _MIN_BLOCK = 1 << 10
+#: Members that each component of a band sends to meet others.
+ROUNDS = 3
+#: Parts that the rows of a band are dealt into where they meet what the band has once.
+PARTS = 16
 
 
 def _spans(text: str | None, shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -190,12 +202,11 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
     """One row per document: `key`, `fp`, and the smallest key reachable over links as `component_id`."""
     own = materialise(docs.select(F.col(key), fingerprint(F.col(text)).alias("fp")), "fingerprints")
     values = materialise(own.groupBy("fp").agg(F.min(key).alias("_first")), "values")
-    return _named(own, values, links(values, "fp", distance), key)
+    return _named(own, values, connected_components(links(values, "fp", distance)), key)
 
 
-def _named(own: DataFrame, values: DataFrame, linked_values: DataFrame, key: str) -> DataFrame:
-    """`own` (key, `fp`) with the smallest key (`_first` in `values`) that is reachable over links."""
-    labels = connected_components(linked_values)
+def _named(own: DataFrame, values: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """`own` (key, `fp`) with the smallest key (`_first` in `values`) of the component that `labels` tells."""
     linked = values.join(labels, F.col("fp") == F.col("node")).select("fp", "_first", "label")
     roots = linked.groupBy("label").agg(F.min("_first").alias("_root"))
     reached = linked.join(roots, "label").select("fp", "_root")
@@ -214,51 +225,90 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where((100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (100 * both >= SIMILAR * (n + m - both))).select("a", "b")
 
 
-def similar_links(docs: DataFrame, own: DataFrame, text: str = "text") -> DataFrame:
-    """`a` < `b`: similar texts, by the `fp` of `own` (`fp`, `bands`), enough of them that components are those of all pairs."""
-    members = materialise(own.select("fp", F.explode("bands").alias("band")).distinct(), "bands")
-    met = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.col("fp").bitwiseXOR(F.col("band"))).alias("_min")).where("n > 1")
-    shared = materialise(members.hint("merge").join(met, "band").select("band", "fp", "n", F.col("_min").bitwiseXOR(F.col("band")).alias("star")), "shared")
-    wanted = materialise(shared.select("fp").distinct(), "wanted")
-    texts = docs.select(words_hash(F.col(text)).alias("fp"), F.col(text).alias("_text")).hint("merge").join(wanted, "fp", "left_semi")
-    sets = materialise(texts.select("fp", text_shingles("_text").alias("s")).dropDuplicates(["fp"]), "shingles")
-    star = shared.where("fp <> star").select(F.least("fp", "star").alias("a"), F.greatest("fp", "star").alias("b")).distinct()
-    first = materialise(_confirmed(materialise(star, "stars"), sets), "similar")
-    labels = connected_components(first)
-    # bands whose texts are still in different components: all pairs across these
-    many = shared.where("n > 2").hint("merge").join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
-    many = materialise(many, "labelled")
-    split = many.groupBy("band").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("band")
-    parts = materialise(many.hint("merge").join(split, "band", "left_semi"), "parts")
-    names = materialise(parts.groupBy("band", "label").count().select("band", "label"), "names")
+def _told(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """`rows` with what `bands` (one row a band) says of their band; the rows of a hot band are dealt into parts."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int"))
+    return dealt.hint("merge").join(bands.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["band", "_part"]).drop("_part")
+
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _sent(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """`a` < `b`: pairs of drawn members of different components of a band."""
+    many = shared.join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+    drawn = [F.min_by("fp", F.xxhash64("fp", "band", F.lit(r))).alias(f"m{r}") for r in range(ROUNDS)]
+    parts = materialise(many.groupBy("band", "label").agg(F.count("*").alias("n"), *drawn), "parts")
+    stars = [F.min_by(f"m{r}", F.xxhash64("label", "band", F.lit(r))).alias(f"s{r}") for r in range(ROUNDS)]
+    largest = [F.max_by(f"m{r}", F.struct("n", "label")).alias(f"g{r}") for r in range(ROUNDS)]
+    split = parts.groupBy("band").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), *stars, *largest).where("_l < _h")
+    met = _told(parts.withColumnRenamed("label", "fp"), split)
+    pairs = F.array(*[_pair(F.col(f"m{r}"), F.col(f"{kind}{r}")) for r in range(ROUNDS) for kind in "sg"])
+    return met.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.*").where("a < b").distinct()
+
+
+def _crossed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """`a` < `b`: all pairs of members of different components of a band."""
+    many = shared.join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+    parts = materialise(many, "labelled")
+    names = parts.select("band", "label").distinct()
     low, high = names.select("band", F.col("label").alias("la")), names.select("band", F.col("label").alias("lb"))
     across = low.hint("merge").join(high, "band").where("la < lb")
     one = parts.select("band", F.col("label").alias("la"), F.col("fp").alias("x"))
     other = parts.select("band", F.col("label").alias("lb"), F.col("fp").alias("y"))
     crossed = across.hint("merge").join(one, ["band", "la"]).hint("merge").join(other, ["band", "lb"])
-    rest = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return first.union(_confirmed(materialise(rest, "crossed"), sets))
+    return crossed.select(_pair(F.col("x"), F.col("y")).alias("p")).select("p.*").distinct()
+
+
+def similar_labels(docs: DataFrame, own: DataFrame, text: str = "text", exact: bool = False) -> DataFrame:
+    """`node`, `label`: the component of each `fp` of `own` (`fp`, `bands`) that has a similar text."""
+    members = own.select("fp", F.explode("bands").alias("band")).distinct()
+    met = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.col("fp").bitwiseXOR(F.col("band"))).alias("_min")).where("n > 1").drop("n")
+    shared = materialise(_told(members, met).select("band", "fp", F.col("_min").bitwiseXOR(F.col("band")).alias("star")), "shared")
+    texts = docs.select(words_hash(F.col(text)).alias("fp"), F.col(text).alias("_text")).hint("merge").join(shared.select("fp").distinct(), "fp", "left_semi")
+    sets = materialise(texts.dropDuplicates(["fp"]).select("fp", text_shingles("_text").alias("s")), "shingles")
+    star = shared.where("fp <> star").select(_pair(F.col("fp"), F.col("star")).alias("p")).select("p.*").distinct()
+    labels = connected_components(_confirmed(star, sets))
+    rest = _confirmed((_crossed if exact else _sent)(shared, labels), sets)
+    # links between components, each named by its label
+    before = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    named = rest.join(before, F.col("a") == F.col("_n"), "left").select(F.coalesce("_l", "a").alias("a"), "b")
+    named = named.join(before, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_l", "b").alias("b")).distinct()
+    joined = connected_components(named).select(F.col("node").alias("_n"), F.col("label").alias("_to"))
+    both = labels.unionByName(joined.select(F.col("_n").alias("node"), F.col("_n").alias("label")))
+    return both.join(joined, F.col("label") == F.col("_n"), "left").groupBy("node").agg(F.min(F.coalesce("_to", "label")).alias("label"))
+
+
+def _similar(docs: DataFrame, key: str, text: str, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    own = materialise(docs.select(F.col(key), words_hash(F.col(text)).alias("fp"), text_bands(F.col(text)).alias("bands")), "words")
+    values = materialise(own.groupBy("fp").agg(F.min(key).alias("_first")), "values")
+    return own.select(key, "fp"), values, similar_labels(docs, own, text, exact)
 
 
-def similar_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """One row per document: `key`, `fp` (of its words in a row), and the smallest key reachable over similar texts."""
-    own = materialise(docs.select(F.col(key), words_hash(F.col(text)).alias("fp"), text_bands(F.col(text)).alias("bands")), "words")
-    values = materialise(own.groupBy("fp").agg(F.min(key).alias("_first")), "values")
-    return _named(own.select(key, "fp"), values, similar_links(docs, own, text), key)
+    return _named(*_similar(docs, key, text, exact), key)
 
 
-def similar_only_once(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_only_once(docs: DataFrame, key: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """As `deduplicate`, by similar texts."""
-    return _first_of_each(docs, similar_clusters(docs, key, text), key)
+    _, values, labels = _similar(docs, key, text, exact)
+    return _first_of_each(docs, words_hash(F.col(text)), values, labels, key)
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The document with the smallest key of each component. Rows that repeat a key are one document and keep one row;
-    rows without a key can't be named and stay."""
-    return _first_of_each(docs, clusters(docs, key, text, distance), key)
+    """One document of each component, as said above; an id that several texts share decides for none of them."""
+    own = docs.select(F.col(key), fingerprint(F.col(text)).alias("fp"))
+    values = materialise(own.groupBy("fp").agg(F.min(key).alias("_first")), "values")
+    return _first_of_each(docs, fingerprint(F.col(text)), values, connected_components(links(values, "fp", distance)), key)
 
 
-def _first_of_each(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    first = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.join(first, key, "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+def _first_of_each(docs: DataFrame, fp: Column, values: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The rows of `docs` whose `fp` and key are the first of their component."""
+    named = values.join(labels, F.col("fp") == F.col("node"), "left")
+    first = named.groupBy(F.coalesce("label", "fp").alias("_label")).agg(F.min(F.struct(F.col("_first").isNull().alias("none"), "_first", "fp")).alias("_r"))
+    chosen = materialise(first.select(F.col("_r.fp").alias("_chosen"), F.col("_r._first").alias("_first")), "chosen")
+    hashed = docs.withColumn("_fp", fp)
+    same = (F.col("_fp") == F.col("_chosen")) & F.col(key).eqNullSafe(F.col("_first"))
+    return hashed.hint("merge").join(chosen, same, "left_semi").dropDuplicates(["_fp", key]).drop("_fp")

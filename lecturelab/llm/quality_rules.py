@@ -120,9 +120,9 @@ FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: its key, the figures and the verdict."""
+    """One row per document: its key, the figures and the verdict. A filter or join on a figure finds it computed."""
     slim = docs.select(F.col(key), F.col(text).alias("_text"))
-    return judged(slim, "_text", rules).select(key, *FIGURES)
+    return where_computed(judged(slim, "_text", rules), F.lit(True)).select(key, *FIGURES)
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

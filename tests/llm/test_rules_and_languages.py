@@ -53,6 +53,16 @@ def test_rules_keep_rows_whole(spark):
     assert quality_rules.score(df.limit(0)).count() == 0
 
 
+def test_scores_can_be_filtered_and_joined(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scores = quality_rules.score(docs)
+    rows = scores.collect()
+    assert scores.where("kept").count() == sum(r["kept"] for r in rows)
+    assert scores.where("n_words > 100 and kept").count() == sum(r["kept"] and r["n_words"] > 100 for r in rows)
+    sizes = spark.createDataFrame([(n,) for n in {r["n_words"] for r in rows}], "n_words long")
+    assert scores.join(sizes, "n_words").count() == len(rows)
+
+
 def test_forward_backward_matches_enumeration(monkeypatch):
     rng = np.random.default_rng(0)
     lengths = np.array([5, 1, 7, 2])
