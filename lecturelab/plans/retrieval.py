@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lecturelab.functions.timecode import to_timecode
 from lecturelab.operators import retrieval as R
+from lecturelab.operators import searchindex as X
 from lecturelab.operators.intervals import neighbour_chunks
 from lecturelab.operators.termvectors import most_frequent, term_counts, tfidf
 from lecturelab.plans.oracle import rounded, sql, tc
@@ -114,16 +115,55 @@ def _dense(spark, sf):
     return R.dense_scores(*_first_vectors(spark, sf)).withColumn("dense", rounded("dense", 6))
 
 
-# passages whose first component is positive also share a term with the question
-HYB = """select d.lecture_id, query_id, d.cid, round(0.5*greatest(v.embedding[1]::double,0)+0.5*dense,6) as score from dense d join vectors v on v.lecture_id=d.lecture_id and v.cid=d.cid"""
+# real words and real vectors: each passage has the vector of its document's number, if any, each question that of its own
+MIXED = dict(
+    **SCORES,
+    lib_vec="""select l.lecture_id, l.row_id, e.embedding from (select source as lecture_id, doc_id, cast(row_number() over (partition by source order by doc_id)-1 as int) as row_id
+ from documents) l join embeddings e on e.vec_id=l.doc_id""",
+    q_vec="select lecture_id, query_id, e.embedding as q from questions join embeddings e on e.vec_id=query_id",
+    pairs="""select lecture_id, query_id, row_id as cid, round(list_cosine_similarity(v.embedding::double[], f.q::double[]),9) as dense from lib_vec v join q_vec f using (lecture_id)""",
+)
 
 
-@query("hybrid_scores", sql("vectors", HYB, firsts=FIRST, dense=DENSE))
+@query("hybrid_scores", sql(NEED, """select lecture_id, query_id, cid, round(0.5*coalesce(score,0)+0.5*dense,6) as score from pairs left join scores using (lecture_id, query_id, cid)""",
+                            fit_rows=PASSAGES, **MIXED))
 def _hybrid(spark, sf):
+    """Every passage with a vector against every question put to its recording; `hybrid_search` finds the best without that."""
+    vectors = T.passage_vectors(spark, sf).withColumnRenamed("row_id", "cid")
+    sparse = R.sparse_scores(_passages(spark, sf), T.questions(spark, sf))
+    return R.hybrid_scores(sparse, R.dense_scores(vectors, T.question_vectors(spark, sf))).withColumn("score", rounded("score", 6))
+
+
+BEST = """select lecture_id, query_id, cast(r as int) as rank, cid, round(score,6) as score from (
+ select *, row_number() over (partition by lecture_id, query_id order by score desc, cid) as r from {}) where r<=6 and (score>0.05 or r=1)"""
+
+
+@query("search_index", sql(NEED, "select lecture_id, query_id, cast(rank as int) as rank, cid, round(score,6) as score from ranked", fit_rows=PASSAGES, **SCORES, **RANKED))
+def _indexed(spark, sf):
+    """The index is built once and opened by its path for two batches of questions."""
+    path = X.build_index(_passages(spark, sf)).path
+    asked = T.questions(spark, sf)
+    first, second = (X.search_index(X.open_index(spark, path), asked.where(F.col("query_id") % 2 == odd)) for odd in (0, 1))
+    return first.unionByName(second).withColumn("score", rounded("score", 6))
+
+
+@query("hybrid_search", sql(NEED, BEST.format("mixed"), fit_rows=PASSAGES, **MIXED, mixed="""
+ select q.lecture_id, q.query_id, p.row_id as cid, round(0.5*coalesce(s.score,0)+0.5*coalesce(d.dense,0),9) as score from questions q join fit_rows p on p.lecture_id=q.lecture_id
+ left join scores s on s.lecture_id=q.lecture_id and s.query_id=q.query_id and s.cid=p.row_id
+ left join pairs d on d.lecture_id=q.lecture_id and d.query_id=q.query_id and d.cid=p.row_id"""))
+def _hybrid_search(spark, sf):
+    index = X.build_index(_passages(spark, sf), vectors=T.passage_vectors(spark, sf))
+    found = X.search_index(index, T.questions(spark, sf), vectors=T.question_vectors(spark, sf))
+    return found.withColumn("score", rounded("score", 6))
+
+
+@query("dense_search", sql("vectors", BEST.format("(select lecture_id, query_id, cid, dense as score from dense)"), firsts=FIRST, dense=DENSE))
+def _dense_search(spark, sf):
+    """By vectors alone: passages and questions without words."""
     chunks, asked = _first_vectors(spark, sf)
-    sparse = chunks.join(asked.select("lecture_id", "query_id"), "lecture_id").select(
-        "lecture_id", "query_id", "cid", F.get("embedding", F.lit(0)).cast("double").alias("score")).where("score > 0")
-    return R.hybrid_scores(sparse, R.dense_scores(chunks, asked)).withColumn("score", rounded("score", 6))
+    index = X.build_index(chunks.select("lecture_id", F.col("cid").alias("row_id"), F.lit("").alias("text")), vectors=chunks.withColumnRenamed("cid", "row_id"))
+    questions = asked.select("lecture_id", "query_id", F.lit("").alias("question"))
+    return X.search_index(index, questions, vectors=asked, weight=1.0).withColumn("score", rounded("score", 6))
 
 
 SEG_BOARDS = """select s.lecture_id, s.sid, b.bid, b.latex, b.caption, b.confidence, b.key_ts from segments s join boards b

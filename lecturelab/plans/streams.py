@@ -82,5 +82,5 @@ def _regroup(spark, sf):
  from frames f left join both_ using (lecture_id, frame_idx) where f.frame_idx>0 group by 1,2"""))
 def _cuts(spark, sf):
     from lecturelab.params import BoardParams
-    masks = T.masks(spark, sf).select("lecture_id", "frame_idx", "n_px", "words")
+    masks = T.masks(spark, sf).select("lecture_id", "frame_idx", "n_px", "words", "ts")
     return live.run_available(live.stream_board_cuts(_replayed(masks, "masks"), BoardParams(tau_erase=0.30, tau_jump=0.30)), "cuts")

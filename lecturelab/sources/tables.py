@@ -87,6 +87,20 @@ def library(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def passage_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of the passages of `library`: a document has that of its own number, if there is one."""
+    docs = table(spark, sf, "documents").select(F.col("source").alias("lecture_id"), "doc_id")
+    docs = dense_index(docs, ["lecture_id"], ["doc_id"], block_of(F.col("doc_id"), ID_BLOCK), "row_id")
+    own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return docs.join(own, "doc_id").select("lecture_id", "row_id", "embedding")
+
+
+def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The vector with the question's number."""
+    own = table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("query_id"), "embedding")
+    return questions(spark, sf).select("lecture_id", "query_id").join(own, "query_id").select("lecture_id", "query_id", "embedding")
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """Each benchmark text is a question put to one source."""
     return table(spark, sf, "benchmark").select(

@@ -104,32 +104,40 @@ def stream_stage_status(lines: DataFrame) -> DataFrame:
         F.max_by("state", "line_no").alias("state"), F.max("line_no").alias("line_no"))
 
 
-BOARD_PAIRS = "lecture_id string, frame_idx int, n_px int, before array<bigint>, words array<bigint>"
-
-
-def stream_board_cuts(masks: DataFrame, p: BoardParams = BoardParams()) -> DataFrame:
-    """`lecture_id, frame_idx` where a new board state opens, from bit-packed masks.
-
-    The frames of a recording may come in any order within a trigger, over any number of Arrow batches; triggers come
-    in order. State is the last mask; frames leave paired with the one before, and bits are counted by the JVM.
+def stream_board_cuts(masks: DataFrame, p: BoardParams = BoardParams(), lateness: str = "1 hour", apart: str = "1 hour") -> DataFrame:
+    """`lecture_id, frame_idx` where a new board state opens, from bit-packed masks (`ts`: seconds, `frame_idx`: dense).
+
+    A frame meets the one before it in a join of the stream with itself on `(lecture_id, frame_idx)`, so frames may come in
+    any order, over any number of triggers, as long as none is later than `lateness`; a long recording is spread
+    over all tasks. Both sides are forgotten once the watermark is past whatever they could still meet: the state holds
+    the frames of `lateness` and `apart` together, however long the recording. Frames more than `apart` after the one
+    before are not compared with it.
     """
-
-    def pair(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [r for pdf in batches for r in zip(pdf["frame_idx"], pdf["n_px"], pdf["words"])]
-        rows.sort(key=lambda r: r[0])
-        before = [list(state.get[0]) if state.exists else None, *[[int(w) for w in r[2]] for r in rows]]
-        state.update((before[-1],))
-        pairs = [(key[0], int(r[0]), int(r[1]), old, new) for r, old, new in zip(rows, before, before[1:]) if old is not None]
-        yield pd.DataFrame(pairs, columns=["lecture_id", "frame_idx", "n_px", "before", "words"])
-
-    pairs = masks.groupBy("lecture_id").applyInPandasWithState(pair, BOARD_PAIRS, "words array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    # a day on: the first watermark is the epoch, and a frame at second 0 would be late for it
+    at = F.timestamp_micros(F.rint((F.col("ts") + 86_400) * 1e6).cast("long"))
+    stamped = masks.select("lecture_id", "frame_idx", "n_px", "words", at.alias("at"))
+    now = stamped.withWatermark("at", lateness)
+    earlier = stamped.select(
+        F.col("lecture_id").alias("_lecture"), (F.col("frame_idx") + 1).alias("_next"), F.col("words").alias("before"), F.col("at").alias("_at")).withWatermark("_at", lateness)
+    in_time = F.expr(f"at >= _at and at <= _at + interval {apart}")
+    pairs = now.join(earlier, (F.col("lecture_id") == F.col("_lecture")) & (F.col("frame_idx") == F.col("_next")) & in_time)
     gone = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
     removed, added = gone("before", "words") / F.col("n_px"), gone("words", "before") / F.col("n_px")
     return pairs.where((removed > p.tau_erase) | (added > p.tau_jump)).select("lecture_id", "frame_idx")
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run the stream over everything there is, and return what it wrote.
+def late_rows(progress: list) -> int:
+    """Rows that the watermark had passed when they came, over all triggers in `progress`."""
+    return sum(op["numRowsDroppedByWatermark"] for trigger in progress for op in trigger["stateOperators"])
+
+
+def state_rows(progress: list) -> int:
+    """The most rows that were held at the end of a trigger."""
+    return max((sum(op["numRowsTotal"] for op in trigger["stateOperators"]) for trigger in progress), default=0)
+
+
+def run_available(stream: DataFrame, label: str, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Run the stream over everything there is, and return what it wrote; `progress` gets the reports of its triggers.
 
     Files in the shared folder for append mode. In update mode every batch is written as it
     comes and the reader keeps the newest row per key.
@@ -142,4 +150,6 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     else:
         query = writer.foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).start()
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(stream.schema).parquet(out)
