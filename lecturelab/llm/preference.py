@@ -85,16 +85,33 @@ def format_pairs(turns: DataFrame, pair: Column, side: Column, turn: str = "turn
     return out.withColumn("usable", (F.col("chosen_mask") != "") & (F.col("rejected_mask") != ""))
 
 
+def with_other_answers(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Pairs of conversations with whole-numbered `key`s: the turns of each as `_side` chosen, and as rejected the same turns
+    with the last assistant turn's text taken from the conversation with the next key. A conversation without an answer, or
+    whose neighbour has none, has no rejected side."""
+    plain = turns.where(F.col(key).isNotNull()).select(key, turn, F.coalesce(role, F.lit("")).alias(role), F.coalesce(text, F.lit("")).alias(text))
+    last = plain.where(F.col(role) == TRAINED).groupBy(key).agg(F.max(F.struct(turn, text)).alias("_a"))
+    own = last.select(key, F.col(f"_a.{turn}").alias("_last"))
+    other = last.select((F.col(key) - 1).alias(key), F.col(f"_a.{text}").alias("_other"))
+    answer = (F.col(role) == TRAINED) & F.col(turn).eqNullSafe(F.col("_last"))
+    rejected = plain.join(own.join(other, key), key).withColumn(text, F.when(answer, F.col("_other")).otherwise(F.col(text)))
+    return plain.withColumn("_side", F.lit("chosen")).unionByName(rejected.drop("_last", "_other").withColumn("_side", F.lit("rejected")))
+
+
 def oracle(t: Template = Template()) -> str:
-    """SQL for DuckDB, for pairs of neighbouring conversations (even chosen, odd rejected)."""
+    """SQL for DuckDB, for each conversation and itself with the next one's last answer."""
 
     def text(value: str) -> str:
         return "(" + " || chr(10) || ".join(f"'{part}'" for part in value.split("\n")) + ")"
 
     head, tail = f"{text(t.opening)} || role || {text(t.between)}", text(t.closing)
     return f"""
-with turns as (select distinct conv_id // 2 as pair_id, conv_id % 2 as side, turn, coalesce(role, '') as role, coalesce(text, '') as text
-    from conversations where conv_id is not null),
+with plain as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+answers as (select * from plain where role = '{TRAINED}'
+    qualify row_number() over (partition by conv_id order by turn desc nulls last, text desc) = 1),
+turns as (select conv_id as pair_id, 0 as side, turn, role, text from plain
+    union select p.conv_id, 1, p.turn, p.role, case when p.role = '{TRAINED}' and p.turn is not distinct from a.turn then o.text else p.text end
+    from plain p join answers a on a.conv_id = p.conv_id join answers o on o.conv_id = p.conv_id + 1),
 placed as (select *, row_number() over (partition by pair_id, side order by turn, role, text) - 1 as k from turns),
 sizes as (select pair_id, count(*) filter (side = 0) as nc, count(*) filter (side = 1) as nr from placed group by 1),
 same as (select a.pair_id, min(case when b.k is null then a.k end) as k from (select * from placed where side = 0) a

@@ -55,10 +55,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_preference_formatting", preference.oracle())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring conversations are pairs: the even one is chosen, the odd one rejected."""
-    turns = table(spark, sf_dir, "conversations")
-    side = F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected")
-    return preference.format_pairs(turns, F.expr("conv_id div 2"), side)
+    """Every conversation is chosen; rejected is the same with its last answer taken from the next conversation."""
+    return preference.format_pairs(preference.with_other_answers(table(spark, sf_dir, "conversations")), F.col("conv_id"), F.col("_side"))
 
 
 @query("op9_benchmark_decontamination", decontaminate.oracle())

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lecturelab.llm import decontaminate, licenses, preference, url_filter
-from lecturelab.llm.queries import URL_RULES
+from lecturelab.llm.queries import QUERIES, URL_RULES
 
 DOC = "doc_id long, text string, lang string, source string"
 
@@ -103,6 +103,19 @@ def test_longest_common_prefix_is_the_prompt(spark):
     assert pairs(spark, []) == {}
 
 
+def test_pairs_share_all_but_the_last_answer(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "b"), (1, 4, "user", "thanks")]
+    rows += [(2, 0, "user", "x"), (2, 1, "assistant", None), (2, 0, "user", "x"), (3, 0, "user", "alone"), (4, 0, "user", "y"), (4, 1, "assistant", "z"), (None, 0, "user", "w")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("_other", F.lit(1))
+    got = {r["pair_id"]: r for r in preference.format_pairs(preference.with_other_answers(df), F.col("conv_id"), F.col("_side")).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert got[1]["n_shared"] == 3 and got[1]["usable"] and "thanks" in got[1]["chosen"] and "thanks" in got[1]["rejected"]
+    assert got[1]["rejected"].startswith("<|assistant|>\n\n") and not any(got[k]["usable"] for k in (2, 3, 4))
+    assert preference.format_pairs(preference.with_other_answers(df.limit(0)), F.col("conv_id"), F.col("_side")).count() == 0
+    sample = QUERIES["op8_preference_formatting"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r["n_shared"] > 0 and r["usable"] for r in sample) > 0.5 * len(sample)
+
+
 def passages(spark, docs, items):
     d = spark.createDataFrame([(i, t, "en", "s", "x") for i, t in docs], DOC + ", item_id string")
     b = spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string")
@@ -127,5 +140,5 @@ def test_passages_with_replaced_words(spark):
     assert got == [(1, 0), (1, 2), (2, 1), (3, 0), (7, 3), (10, 1)]
     kept = decontaminate.remove(d, b)
     assert sorted(kept.columns) == sorted(d.columns)
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 4, 5, 6, 8, 9]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [4, 5, 6, 8, 9]  # a row without an id that holds a passage goes as well
     assert decontaminate.leaks(d, b.limit(0)).count() == 0 and decontaminate.leaks(d.limit(0), b).count() == 0
