@@ -66,11 +66,11 @@ def test_board_stream_equals_batch_over_many_arrow_batches(spark):
     for _ in range(399):
         old = words[-1]
         words.append([w & ~(rng.getrandbits(63) if rng.random() < 0.2 else 0) | (1 << rng.randrange(60)) for w in old])
-    rows = [("x", k, 128, w) for k, w in enumerate(words)]
+    rows = [("x", k, 128, w, float(k)) for k, w in enumerate(words)]
     want = {k for k in range(1, 400) if max(
         sum((a & ~b).bit_count() for a, b in zip(words[k - 1], words[k], strict=True)), sum((b & ~a).bit_count() for a, b in zip(words[k - 1], words[k], strict=True))) / 128 > 0.05}
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "lecture_id string, frame_idx int, n_px int, words array<bigint>").repartition(5)
+    df = spark.createDataFrame(rows, "lecture_id string, frame_idx int, n_px int, words array<bigint>, ts double").repartition(5)
     path = scratch_path(spark, "masks")
     df.write.parquet(path)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
