@@ -72,6 +72,28 @@ def _ledger(spark, sf):
     return S.parse_ledger(lines).withColumnRenamed("lecture_id", "event_id")
 
 
+@query("rejected_usage", sql("", """select event_id, case when k%9=0 then 'blank' else 'not-json' end as reason
+ from (select event_id, cast(json_extract_string(props,'$.k') as bigint) as k from events) where k%9<2"""))
+def _rejected_lines(spark, sf):
+    rows = T.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    lines = rows.select("event_id", F.expr(LINE.replace("||k", "||cast(k as string)")).alias("value"))
+    return S.rejected_lines(lines).select("event_id", "reason")
+
+
+@query("rejected_documents", sql("lectures", """select lecture_id, case when doc_id%5=0 then 'not-json' when doc_id%5=1 then 'unexpected-type' else 'kept' end as state from lectures"""))
+def _rejected_documents(spark, sf):
+    """Of the stored documents, every fifth is cut off and another fifth has a wrong type; kept and rejected are all of them."""
+    good = F.to_json(F.struct("lecture_id", "source", "title", "duration"))
+    bad = F.concat(F.lit('{"lecture_id":"'), "lecture_id", F.lit('","utterances":"none"}'))
+    line = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('{"lecture_id":"'), "lecture_id", F.lit('","source":'))).when(F.col("doc_id") % 5 == 1, bad).otherwise(good)
+    path = scratch_path(spark, "mixed")
+    T.lectures(spark, sf).select(line.alias("value")).write.text(path)
+    lost = S.rejected_documents(spark, path, stored=True)
+    lost = lost.select(F.regexp_extract("raw", '"lecture_id":"([^"]*)"', 1).alias("lecture_id"), F.col("reason").alias("state"))
+    kept = S.read_written_lectures(spark, path).select("lecture_id", F.lit("kept").alias("state")).join(lost, "lecture_id", "left_anti")
+    return kept.unionByName(lost)
+
+
 @query("append_usage", sql("usage", "select stage, model, count(*) as n, cast(sum(calls) as bigint) as calls, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens from usage group by 1,2"))
 def _append(spark, sf):
     path = scratch_path(spark, "ledger")

@@ -94,6 +94,27 @@ def parse_ledger(lines: DataFrame) -> DataFrame:
         zero("calls"), zero("input_tokens"), zero("output_tokens"))
 
 
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """The lines that `parse_ledger` skips, with `reason`: `blank`, `not-json` or `not-an-object`."""
+    text = F.trim(F.coalesce("value", F.lit("")))
+    reason = F.when(text == "", F.lit("blank")).when(F.try_parse_json(text).isNull(), F.lit("not-json")).when(~text.startswith("{"), F.lit("not-an-object"))
+    return lines.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def rejected_documents(spark: SparkSession, root: str, stored: bool = False) -> DataFrame:
+    """`path, reason, raw` of every document under `root` that the schema cannot read.
+
+    All columns are asked for: a reader of a few columns does not look at the rest, and keeps a document whose fault lies there.
+    """
+    schema = f"{'lecture_id string, ' if stored else ''}{LECTURE_DOCUMENT}, _raw string"
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").option("multiLine", not stored)
+    docs = reader.json(root if stored else f"{root}/*/lecture.json")
+    parsed = F.length(F.to_json(F.struct(*[c for c in docs.columns if c != "_raw"]))) >= 0
+    rows = docs.select(F.input_file_name().alias("path"), F.col("_raw").alias("raw"), parsed.alias("_parsed")).where("raw is not null and _parsed")
+    reason = F.when(F.try_parse_json("raw").isNull(), F.lit("not-json")).otherwise(F.lit("unexpected-type"))
+    return rows.select("path", reason.alias("reason"), "raw")
+
+
 def append_usage(records: DataFrame, path: str) -> None:
     """Append usage records (`kind, model, calls, input_tokens, output_tokens`) to a JSON-lines ledger."""
     records.write.mode("append").json(path)
