@@ -4,38 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lecturelab.functions.mathtext import STOP_WORDS, extract_math, normalise_math
+from lecturelab.functions.mathtext import MATH_PATTERNS, REWRITES, STOP_WORDS, WRAPPERS, extract_math, normalise_math
 from lecturelab.operators import evaluation as E
 from lecturelab.plans.oracle import rounded, sql
 from lecturelab.plans.registry import query
 from lecturelab.sources import tables as T
 
-# notes made of the documents: every sentence is a formula, spelled differently on the two sides;
-# dollar signs are taken out, as the SQL dialect has no look-behind to tell `$` from `$$`
-CLEAN = "replace(text,'$','')"
-GEN = rf"select doc_id, '\['||replace(replace({CLEAN},'the','\mathbb{{t}}'),'tion','sion')||'\]' as text from sent_rows"
-REF = rf"select doc_id, '\['||replace({CLEAN},'the','\mathbf {{t}}')||'\]' as text from sent_rows"
+#: Notes made of the recordings: every sentence is a formula, whole, in one of the four forms and spelled differently on the two sides.
+FORMS = (("$$", "$$"), ("\\[", "\\]"), ("\\begin{align*}", "\\end{align*}"), ("$", "$"))
 
 
-def _spoken(spark, sf):
-    rows = T.speech(spark, sf)
-    return rows.select(F.substring("lecture_id", 2, 30).cast("long").alias("doc_id"), F.replace("text", F.lit("$"), F.lit("")).alias("text"))
+def _in_form(text: str, turn: int) -> str:
+    whens = " ".join(f"when {i} then '{start}'||{text}||'{end}'" for i, (start, end) in enumerate(FORMS))
+    return f"case (words+{turn})%4 {whens} end"
+
+
+MADE = r"replace(replace(text,'the','\mathbb{t}'),'tion','sion')"
+GIVEN = r"replace(text,'the','\mathbf {t}')"
+SIDES = dict(gen=_in_form(MADE, 0), ref_=_in_form(GIVEN, 1), heard=f"case when words%3=0 then {_in_form(GIVEN, 2)} else text end")
+
+
+def _side(spark, sf, name):
+    """`doc_id, text` of one side; the transcript (`heard`) has every third sentence as a formula."""
+    doc = F.substring("lecture_id", 2, 30).cast("long")
+    return T.speech(spark, sf).select(doc.alias("doc_id"), F.expr(SIDES[name].replace("\\", "\\\\")).alias("text"))
 
 
 def _notes(spark, sf):
-    rows = _spoken(spark, sf)
-    wrap = lambda t: F.concat(F.lit("\\["), t, F.lit("\\]")).alias("text")
-    put = lambda new: F.replace("text", F.lit("the"), F.lit(new))
-    return (rows.select("doc_id", wrap(F.replace(put("\\mathbb{t}"), F.lit("tion"), F.lit("sion")))),
-            rows.select("doc_id", wrap(put("\\mathbf {t}"))))
+    return _side(spark, sf, "gen"), _side(spark, sf, "ref_")
+
+
+def _normal(f: str) -> str:
+    for old, new in REWRITES:
+        f = f"replace({f},'{old}','{new}')"
+    return rf"regexp_replace(regexp_replace({f},'\\(?:{'|'.join(WRAPPERS)})\{{([^}}]*)\}}','\1','g'),'[{{}}\s]+','','g')"
 
 
-NORM = r"regexp_replace(regexp_replace(replace(replace(replace(f,'\mathbb','\mathbf'),'\hat','\widehat'),'\tilde','\widetilde'),'\\(?:label|tag|text|mathrm)\{([^}]*)\}','\1','g'),'[{}\s]+','','g')"
-FORM = lambda name: f"select distinct doc_id, {NORM} as formula from (select doc_id, unnest(regexp_extract_all(text,'(?s)\\\\\\[(.+?)\\\\\\]',1)) as f from {name}) where length({NORM})>=3"
+def _found(source: str) -> str:
+    """`doc_id, f`: formulas of `source (doc_id, text)`, repeats kept.
+
+    Single dollars need what is around them, which the dialect's patterns cannot ask for: text is split at runs of dollars,
+    and in a row of runs of one dollar each the first opens, the second closes, and so on.
+    """
+    own = ", ".join(f"regexp_extract_all(text,'{pattern}',1)" for pattern in MATH_PATTERNS[:3])
+    turn = "i-coalesce(list_max(list_filter(range(1,i+1), lambda j: length(runs[j])<>1)),0)"
+    single = f"list_transform(list_filter(range(1,len(runs)), lambda i: length(runs[i])=1 and length(runs[i+1])=1 and ({turn})%2=1), lambda i: pieces[i+1])"
+    parts = rf"select doc_id, text, regexp_extract_all(text,'\$+') as runs, regexp_split_to_array(text,'\$+') as pieces from {source}"
+    return f"select doc_id, unnest(flatten([{own}, {single}])) as f from ({parts})"
+
+
+NORM = _normal("f")
+FORM = lambda name: f"select distinct doc_id, {NORM} as formula from ({_found(name)}) where length({NORM})>=3"
 TERM = r"[А-Яа-яЁёA-Za-z][А-Яа-яЁёA-Za-z\-]{4,}"
 STOPS = ",".join(f"'{w}'" for w in STOP_WORDS)
 TERMS = lambda src, n: f"select doc_id, term, count(*) as n from (select doc_id, lower(unnest(regexp_extract_all(text,'{TERM}'))) as term from {src}) where term not in ({STOPS}) group by 1,2 having count(*)>={n}"
-SETS = dict(gen=GEN, ref_=REF)
+SETS = {name: f"select doc_id, {text} as text from sent_rows" for name, text in SIDES.items()}
 PRF = dict(
     SETS, gf=FORM("gen"), rf=FORM("ref_"),
     sides="""select coalesce(g.doc_id,r.doc_id) as doc_id, count(*) filter (g.formula is not null and r.formula is not null) as matched, count(g.formula) as n_gen, count(r.formula) as n_ref
@@ -45,7 +68,7 @@ PRF = dict(
 COV = dict(SETS, gt=TERMS("gen", 1), rt=TERMS("ref_", 2))
 
 
-@query("extract_math")
+@query("extract_math", sql("", f"select doc_id, formula from (select doc_id, {NORM} as formula from ({_found('documents')})) where length(formula)>=3"))
 def _math(spark, sf):
     docs = T.table(spark, sf, "documents")
     return docs.select("doc_id", F.explode(extract_math(F.col("text"))).alias("formula"))
@@ -82,12 +105,15 @@ def _missing(spark, sf):
     return E.missing_terms(*_notes(spark, sf))
 
 
-@query("ablation_delta", sql("sent_rows", """select doc_id, round(p,6) as pipeline, round(t,6) as transcript, round(p-t,6) as delta from (
- select coalesce(r.doc_id, g.doc_id) as doc_id, coalesce(a.r,0)::double as p, 0::double as t from (select distinct doc_id from rf) r full join (select distinct doc_id from gf) g on r.doc_id=g.doc_id
- left join pr a on a.doc_id=coalesce(r.doc_id,g.doc_id))""", **PRF))
+RECALL = lambda g: f"""select coalesce(g.doc_id,r.doc_id) as doc_id, case when count(r.formula)>0 then count(*) filter (g.formula is not null and r.formula is not null)/count(r.formula) else 0 end as r
+ from {g} g full join rf r on g.doc_id=r.doc_id and g.formula=r.formula group by 1"""
+
+
+@query("ablation_delta", sql("sent_rows", """select doc_id, round(coalesce(a.r,0),6) as pipeline, round(coalesce(b.r,0),6) as transcript, round(coalesce(a.r,0)-coalesce(b.r,0),6) as delta
+ from ra a full join rb b using (doc_id)""", **dict(SETS, gf=FORM("gen"), rf=FORM("ref_"), hf=FORM("heard"), ra=RECALL("gf"), rb=RECALL("hf"))))
 def _ablation(spark, sf):
     gen, ref = _notes(spark, sf)
-    out = E.ablation_delta(gen, _spoken(spark, sf), ref)
+    out = E.ablation_delta(gen, _side(spark, sf, "heard"), ref)
     return out.select("doc_id", *[rounded(c, 6).alias(c) for c in ("pipeline", "transcript", "delta")])
 
 
