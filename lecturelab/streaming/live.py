@@ -1,4 +1,4 @@
-"""The same rules on streams. State per key is a few numbers; late rows fall to the watermark."""
+"""The same rules on streams. State per key is a few numbers and the rows of the lateness; later rows fall to the watermark."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lecturelab.functions.text import ends_sentence
 from lecturelab.operators.asr import with_reason
@@ -36,58 +36,90 @@ def stream_pause_sessions(segments: DataFrame, pause: float, lateness: str = "1
 
 
 REGROUP_OUT = "lecture_id string, grp int, start_s double, end_s double, segments int"
-REGROUP_STATE = (
-    "grp int, opened double, last double, last_ms bigint, closes boolean, segments int, "
-    "seqs array<int>, starts array<double>, ends array<double>, closings array<boolean>, stamps array<bigint>")
+OPEN_GROUP = "grp int, opened double, last double, last_ms bigint, closes boolean, segments int"
+WAITING = "seqs array<int>, starts array<double>, ends array<double>, closings array<boolean>, stamps array<bigint>"
+BUCKET_MS = 60_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_regroup(segments: DataFrame, p: AsrParams = AsrParams(), lateness: str = "1 hour") -> DataFrame:
-    """Utterance groups of a stream of kept segments.
+class RegroupProcessor(StatefulProcessor):
+    """One recording: the open group in a few numbers, and the rows that wait for the watermark in buckets of a minute.
 
-    Rows inside the watermark may arrive out of order: they wait in state until the watermark has passed them and
-    are then folded in order. A group is emitted when the next one opens, or once the watermark is so far past its
-    last row that whatever still comes must open the next one; timers wake the key for both, without another row.
+    A row is added to its own bucket only, and a bucket is read once more when the watermark has passed its end, so a
+    trigger costs its new rows and what it folds, however many rows wait.
     """
-    pause, shortest, longest = p.group_pause, p.group_min_seconds, p.group_max_seconds
-    marked = segments.select(
-        "lecture_id", "seq", "start_s", "end_s", ends_sentence(F.col("text")).alias("closes"), "ts").withWatermark("ts", lateness)
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        grp, opened, last, last_ms, closed, n, *held = state.get if state.exists else (-1, 0.0, 0.0, 0, False, 0, [], [], [], [], [])
-        waiting = list(zip(*held))
-        if not state.hasTimedOut:
-            for pdf in batches:
-                stamps = pdf["ts"].astype("int64") // 1_000 if str(pdf["ts"].dtype).endswith("[ns]") else pdf["ts"].astype("int64")
-                waiting += list(zip(pdf["seq"], pdf["start_s"], pdf["end_s"], pdf["closes"], stamps // 1_000))
-        waiting.sort()
-        mark = state.getCurrentWatermarkMs()
-        out = []
-        for seq, start, end, closes, stamp in [w for w in waiting if w[4] < mark]:
-            length = end - opened
-            if grp >= 0 and (start - last >= pause or length >= longest or (closed and length >= shortest)):
+    def __init__(self, p: AsrParams) -> None:
+        self.pause, self.shortest, self.longest = p.group_pause, p.group_min_seconds, p.group_max_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.group = handle.getValueState("group", OPEN_GROUP)
+        self.waiting = handle.getMapState("waiting", "bucket bigint", WAITING)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[tuple]] = {}
+        for pdf in rows:
+            stamps = pdf["ts"].astype("datetime64[us]").astype("int64") // 1_000
+            for seq, start, end, closes, stamp in zip(pdf["seq"], pdf["start_s"], pdf["end_s"], pdf["closes"], stamps):
+                new.setdefault(int(stamp) // BUCKET_MS, []).append((int(seq), float(start), float(end), bool(closes), int(stamp)))
+        for bucket, come in new.items():
+            if self.waiting.containsKey((bucket,)):
+                come = [*zip(*self.waiting.getValue((bucket,))), *come]
+            else:
+                self.handle.registerTimer((bucket + 1) * BUCKET_MS)
+            self.waiting.updateValue((bucket,), tuple([cast(v) for v in column] for cast, column in zip((int, float, float, bool, int), zip(*come))))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # the watermark, not this timer's time: a timer set now for a time that is past would wait for another trigger
+        until, out = timerValues.getCurrentWatermarkInMs(), []
+        grp, opened, last, last_ms, closed, n = self.group.get() if self.group.exists() else (-1, 0.0, 0.0, 0, False, 0)
+        buckets = sorted(k[0] for k in self.waiting.keys())
+        due = [k for k in buckets if (k + 1) * BUCKET_MS <= until]
+        for bucket in due:
+            for seq, start, end, closes, stamp in sorted(zip(*self.waiting.getValue((bucket,)))):
+                length = end - opened
+                if grp >= 0 and (start - last >= self.pause or length >= self.longest or (closed and length >= self.shortest)):
+                    out.append((key[0], grp, opened, last, n))
+                    grp = -1
+                if grp < 0:
+                    grp, opened, n = seq, start, 0
+                last, closed, n = end, closes, n + 1
+                last_ms = stamp + int((end - start) * 1000) + 1
+            self.waiting.removeKey((bucket,))
+        over = last_ms + int(self.pause * 1000) + 1
+        if grp >= 0 and len(due) == len(buckets):
+            if until >= over:  # whatever still comes opens the next group
                 out.append((key[0], grp, opened, last, n))
                 grp = -1
-            if grp < 0:
-                grp, opened, n = seq, start, 0
-            last, closed, n = end, closes, n + 1
-            last_ms = stamp + int((end - start) * 1000) + 1
-        waiting = [w for w in waiting if w[4] >= mark]
-        over = last_ms + int(pause * 1000) + 1
-        if grp >= 0 and not waiting and mark >= over:
-            out.append((key[0], grp, opened, last, n))
-            grp = -1
-        if grp < 0 and not waiting:
-            state.remove()
+            else:
+                self.handle.registerTimer(over)
+        if grp < 0:
+            self.group.clear()
         else:
-            columns = [list(c) for c in zip(*waiting)] or [[], [], [], [], []]
-            held = [[cast(v) for v in c] for cast, c in zip((int, float, float, bool, int), columns)]
-            state.update((int(grp), float(opened), float(last), int(last_ms), bool(closed), int(n), *held))
-            wake = min(w[4] for w in waiting) + 1 if waiting else over
-            state.setTimeoutTimestamp(int(max(wake, mark + 1)))
-        yield pd.DataFrame(out, columns=["lecture_id", "grp", "start_s", "end_s", "segments"])
-
-    return marked.groupBy("lecture_id").applyInPandasWithState(
-        fold, REGROUP_OUT, REGROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            self.group.update((int(grp), float(opened), float(last), int(last_ms), bool(closed), int(n)))
+        if out:
+            yield pd.DataFrame(out, columns=["lecture_id", "grp", "start_s", "end_s", "segments"])
+
+
+def stream_regroup(segments: DataFrame, p: AsrParams = AsrParams(), lateness: str = "1 hour") -> DataFrame:
+    """Utterance groups of a stream of kept segments.
+
+    Rows inside the watermark may arrive out of order: they wait in state, by minutes, until the watermark has passed their
+    minute and are then folded in order. A group is emitted when the next one opens, or once the watermark is so far past
+    its last row that whatever still comes must open the next one; timers wake the key for both, without another row.
+    Rows later than the watermark are dropped and counted (`late_rows`). Sets the session's state store to RocksDB, which
+    keyed state of this kind needs.
+    """
+    segments.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    marked = segments.select(
+        "lecture_id", "seq", "start_s", "end_s", ends_sentence(F.col("text")).alias("closes"), "ts").withWatermark("ts", lateness)
+    return marked.groupBy("lecture_id").transformWithStateInPandas(
+        statefulProcessor=RegroupProcessor(p), outputStructType=REGROUP_OUT, outputMode="append", timeMode="eventTime")
 
 
 def stream_usage(usage: DataFrame, rates: DataFrame, lateness: str = "1 hour", width: str = "1 hour") -> DataFrame:
