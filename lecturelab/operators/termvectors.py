@@ -51,10 +51,15 @@ def most_frequent(terms: DataFrame, limit: int) -> DataFrame:
     return whole.unionByName(cut.where(F.col("_rank") <= F.col("_room")).drop("_same", "_room", "_rank"))
 
 
+def raw_weights(counts: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The counts with `raw`, `(1 + ln tf) * idf`, and the `keep` columns of the vocabulary."""
+    known = vocab.select(*dict.fromkeys(("lecture_id", "term", "idf", *keep)))
+    return counts.join(known, ["lecture_id", "term"]).withColumn("raw", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
+
+
 def weigh(counts: DataFrame, vocab: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """L2-normalised `(1 + ln tf) * idf` per row (`keys`, `term`, `w`) and the `keep` columns of the vocabulary."""
-    raw = counts.join(vocab.select(*dict.fromkeys(("lecture_id", "term", "idf", *keep))), ["lecture_id", "term"]).withColumn(
-        "raw", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
+    raw = raw_weights(counts, vocab, keep)
     # the terms of one text: a bounded window
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
     return raw.select(*keys, "term", (F.col("raw") / norm).alias("w"), *keep)
