@@ -6,6 +6,8 @@ sparse pixels `(lecture_id, frame_idx, y, x)`. `frame_idx` is dense.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +84,7 @@ def unstable_pixels(vol: DataFrame, dims: DataFrame, quantile: float = 0.985) ->
     """Pixels outside the content mask: volatility above the recording's quantile (at least 1e-6).
 
     The quantile runs over all `n_px` pixels; the never-changing ones enter as one counted
-    value, so no pixel grid is built. Unlike an image library this neither blurs the map
-    nor opens the mask.
+    value, so no pixel grid is built. `content_mask` blurs the map before and opens the mask after.
     """
     hist = vol.groupBy("lecture_id", "volatility").agg(F.count(F.lit(1)).alias("px"))
     moved = hist.groupBy("lecture_id").agg(F.sum("px").alias("moved"))
@@ -94,6 +95,64 @@ def unstable_pixels(vol: DataFrame, dims: DataFrame, quantile: float = 0.985) ->
     return vol.join(limit, "lecture_id").where(F.col("volatility") > F.col("limit")).select("lecture_id", "pixel", "volatility", "limit")
 
 
+def smooth_volatility(vol: DataFrame, height: int, width: int, size: int = 9) -> DataFrame:
+    """The map after a Gaussian blur of `size` by `size`, lines mirrored about the outermost pixel.
+
+    One axis after the other; only pixels that changed, and those they reach, have rows. The kernel's
+    width follows from its size, `0.3 * (size / 2 - 1.5) + 0.8`; an even size counts as the next odd
+    one, and 1 leaves the map as it is. Both sides of a frame must be longer than half the kernel.
+    """
+    r = size // 2
+    if min(height, width) <= r:
+        raise ValueError(f"a frame of {height} x {width} is too small for a blur of {size}")
+    if r == 0:
+        return vol.select("lecture_id", "pixel", "volatility")
+    cells = vol.select("lecture_id", *_yx(width), F.col("volatility").alias("v"))
+    cells = _blurred(_blurred(cells, "y", "x", height, r), "x", "y", width, r)
+    return cells.select("lecture_id", (F.col("y") * width + F.col("x")).alias("pixel"), F.round("v", 9).alias("volatility")).where("volatility > 0")
+
+
+def _yx(width: int) -> list[Column]:
+    return [F.floor(F.col("pixel") / width).cast("int").alias("y"), (F.col("pixel") % width).cast("int").alias("x")]
+
+
+def _blurred(cells: DataFrame, axis: str, other: str, length: int, r: int) -> DataFrame:
+    """Every pixel, and its mirror images beyond the edges, adds to the pixels at most `r` away along `axis`."""
+    sigma = 0.3 * (r - 1) + 0.8
+    bell = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
+    kernel = F.array(*[F.lit(b / sum(bell)) for b in bell])
+    images = F.array_distinct(F.array(F.col(axis), -F.col(axis), 2 * (length - 1) - F.col(axis)))
+    seen = cells.select("lecture_id", other, "v", F.explode(images).alias("p")).where(F.col("p").between(-r, length - 1 + r))
+    to = F.sequence(F.greatest(F.col("p") - r, F.lit(0)), F.least(F.col("p") + r, F.lit(length - 1)))
+    spread = seen.select("lecture_id", other, "v", "p", F.explode(to).alias(axis))
+    return spread.groupBy("lecture_id", axis, other).agg(F.sum(F.col("v") * F.get(kernel, F.col(axis) - F.col("p") + r)).alias("v"))
+
+
+def open_mask(unstable: DataFrame, height: int, width: int, size: int = 7) -> DataFrame:
+    """`lecture_id, pixel` outside the mask once specks of it narrower than `size` are gone.
+
+    Opening what is kept is closing what is not: grown by `size // 2`, then only pixels whose whole
+    square is grown stay. A square is counted line by line, and ends at the edge of the frame.
+    """
+    r = size // 2
+    cells = unstable.select("lecture_id", F.lit(0).alias("frame_idx"), *_yx(width))
+    grown = dilate(cells, height, width, r).drop("frame_idx")
+    for axis, other, length in (("y", "x", height), ("x", "y", width)):
+        line = Window.partitionBy("lecture_id", other).orderBy(axis).rangeBetween(-r, r)
+        full = F.least(F.col(axis) + r, F.lit(length - 1)) - F.greatest(F.col(axis) - r, F.lit(0)) + 1
+        grown = grown.withColumn("_n", F.count(F.lit(1)).over(line)).where(F.col("_n") == full).drop("_n")
+    return grown.select("lecture_id", (F.col("y") * width + F.col("x")).alias("pixel"))
+
+
+def content_mask(
+    masks: DataFrame, height: int, width: int, bits: int = 64, quantile: float = 0.985, smooth: int = 9, opening: int = 7
+) -> DataFrame:
+    """`lecture_id, pixel` of what moves: the blurred volatility above its quantile, the rest opened. No rows where nothing ever changed."""
+    vol = smooth_volatility(volatility(masks, bits), height, width, smooth)
+    dims = masks.select("lecture_id").distinct().withColumn("n_px", F.lit(height * width))
+    return open_mask(unstable_pixels(vol, dims, quantile), height, width, opening)
+
+
 def board_roi(
     px: DataFrame, height: int, width: int, unstable: DataFrame | None = None, p: BoardParams = BoardParams()
 ) -> DataFrame:

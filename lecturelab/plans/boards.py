@@ -108,6 +108,25 @@ def _content(spark, sf):
     return _unstable(spark, sf).select("lecture_id", "pixel")
 
 
+SMOOTH, OPENING = 5, 3  # the sample frames are 8 by 8
+SMOOTHED = dict(
+    VOL,
+    kern="select d, e/sum(e) over () as g from (select d, exp(-0.5*pow(d/1.1,2)) as e from range(-2,3) t(d))",
+    grid="select lecture_id, pixel//8 as y, pixel%8 as x, v from allv",
+    blur="""select o.lecture_id, o.y, o.x, round(sum(a.g*b.g*i.v),9) as v from grid o, kern a, kern b, grid i where i.lecture_id=o.lecture_id
+ and i.y=case when o.y+a.d>7 then 14-o.y-a.d else abs(o.y+a.d) end and i.x=case when o.x+b.d>7 then 14-o.x-b.d else abs(o.x+b.d) end group by 1,2,3""",
+    still="select b.lecture_id, y, x, v<=q as keep from blur b join (select lecture_id, greatest(quantile_cont(v,0.9),1e-6) as q from blur group by 1) using (lecture_id)",
+    eroded="select o.lecture_id, o.y, o.x, bool_and(i.keep) as keep from still o join still i on i.lecture_id=o.lecture_id and abs(i.y-o.y)<=1 and abs(i.x-o.x)<=1 group by 1,2,3",
+    opened="select o.lecture_id, o.y, o.x, bool_or(i.keep) as keep from eroded o join eroded i on i.lecture_id=o.lecture_id and abs(i.y-o.y)<=1 and abs(i.x-o.x)<=1 group by 1,2,3",
+)
+
+
+@query("smooth_content_mask", sql("frames px", "select lecture_id, cast(y*8+x as int) as pixel from opened where not keep", **SMOOTHED))
+def _smooth(spark, sf):
+    """The mask from the blurred map, opened."""
+    return B.content_mask(T.masks(spark, sf), SIDE, SIDE, 32, QUANTILE, SMOOTH, OPENING)
+
+
 def _axis(a, lim):
     return f"""select lecture_id, case when hi-lo<8 then 0 else lo end as {a}0, case when hi-lo<8 then {lim} else hi end as {a}1 from (
  select lecture_id, greatest(min({a}) filter (c>=0.15)-1,0) as lo, least(coalesce(min({a}) filter (c>=0.85),{lim})+1+1,{lim}) as hi from (
