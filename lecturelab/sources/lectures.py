@@ -15,12 +15,21 @@ def _run_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
-def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """One row per `<run>/lecture.json` under `root`; unreadable documents are skipped."""
+def read_documents(spark: SparkSession, root: str, files: str = "*/lecture.json") -> DataFrame:
+    """One row per `<run>/lecture.json` under `root`; unreadable documents are skipped.
+
+    `files` names the documents otherwise; its first part stands for the run. Folders called
+    `run=<name>`, as a partitioned write leaves them, count as `<name>`.
+    """
     docs = (
         spark.read.schema(LECTURE_DOCUMENT).option("multiLine", True).option("mode", "DROPMALFORMED")
-        .json(f"{root}/*/lecture.json"))
-    return docs.withColumn("lecture_id", F.url_decode(_run_of(F.input_file_name())))
+        .json(f"{root.rstrip('/')}/{files}"))
+    folder = F.element_at(F.split(F.input_file_name(), "/"), -1 - files.count("/"))
+    return docs.withColumn("lecture_id", _run_name(F.url_decode(folder)))
+
+
+def _run_name(folder: Column) -> Column:
+    return F.regexp_replace(folder, "^run=", "")
 
 
 def read_lectures(spark: SparkSession, root: str, stored: bool = False) -> dict[str, DataFrame]:
@@ -128,20 +137,21 @@ def read_report_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def library_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
+def library_listing(spark: SparkSession, roots: list[str], documents: str = "*/lecture.json") -> DataFrame:
     """`run, title, duration, segments, ready, bytes, mtime` of every run under the roots, newest first.
 
-    File contents are not read for the sizes: only path, length and time of the listing.
+    File contents are not read for the sizes: only path, length and time of the listing. `documents`
+    names the documents as in `read_documents`; all other files of a run count in `bytes` only.
     """
     files = None
     for root in roots:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-        found = found.withColumn("run", F.element_at(F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/"), 1))
+        found = found.withColumn("run", _run_name(F.element_at(F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/"), 1)))
         files = found if files is None else files.unionByName(found)
     sizes = files.groupBy("run").agg(F.sum("length").alias("bytes"), F.max("modificationTime").alias("mtime"))
     docs = None
     for root in roots:
-        found = read_documents(spark, root)
+        found = read_documents(spark, root, documents)
         docs = found if docs is None else docs.unionByName(found)
     return listing(docs, sizes)
 
