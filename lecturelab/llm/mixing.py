@@ -6,7 +6,8 @@ shard's integer quotas. A source's blocks are dealt from a seeded block on, arou
 exceeds its blocks, so documents stay whole except at the ends, and no block comes more than `max_repeats` times.
 
 The driver sees one row per source (as many rows as the mixture has weights). A source may hold most rows: places on
-its line come from sums of hash buckets, never from a window over the source.
+its line come from sums of hash buckets, never from a window over the source. A document's place among the others of
+its source depends on their hashes only, not on how many rows or buckets there are.
 
 Edge cases: a null text has no words and is never taken; a null source is a source of its own, last in order; a null id
 is hashed like any other; repeated rows are separate documents; sources without words have target 0; an empty table
@@ -18,7 +19,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,10 +126,11 @@ def plan(sizes: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 def placed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", params: MixParams = MixParams()) -> DataFrame:
     """One row per document: key, `source`, `size`, `start` on its source's line, and its source's plan."""
     sizes = materialise(docs.select(F.col(key), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")), "sizes")
-    # as many buckets as a bucket has documents, so that neither a bucket nor a source's list of buckets gets long
-    buckets = isqrt(sizes.count()) + 1
+    # the order is that of the hash read as unsigned; its leading bits are the bucket, so how many there are changes no place.
+    # about as many buckets as a bucket has documents: neither a bucket nor a source's list of buckets gets long
+    bits = max(1, (sizes.count().bit_length() + 1) // 2)
     h = F.xxhash64(F.lit(params.seed), F.col(key), F.col("size"))
-    dealt = sizes.withColumns({"_h": h, "_bucket": F.pmod(h, F.lit(buckets))})
+    dealt = sizes.withColumns({"_h": h, "_bucket": F.shiftrightunsigned(h, 64 - bits)})
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("source", "_bucket").agg(F.sum("size").alias("_n")).select(
         F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

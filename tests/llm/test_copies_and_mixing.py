@@ -195,3 +195,10 @@ def test_mix_hot_source_in_small_buckets(spark):
         assert r["start"] == ends.get(r["source"], 0)
         ends[r["source"]] = r["start"] + r["size"]
     assert len(rows) == 3000 and sum(ends.values()) > 0
+
+
+def test_the_line_of_a_source_does_not_depend_on_other_rows(spark):
+    few = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("own").alias("source"))
+    many = spark.range(100, 9000).select(F.col("id").alias("doc_id"), F.lit("d").alias("text"), F.lit("other").alias("source"))
+    line = lambda df: [r["doc_id"] for r in mixing.placed(df).where("source = 'own'").orderBy("start").collect()]
+    assert line(few) == line(few.unionByName(many)) != sorted(line(few))
