@@ -37,13 +37,26 @@ def _sentences() -> F.Column:
     return F.filter(F.transform(found, strip), lambda x: x != "")
 
 
+def sums_before(numbers: str, slice_rows: int = 256) -> F.Column:
+    """For each element of an array column the sum of those before it, then the sum of all.
+
+    Slices are summed first, then each slice on its own: appending copies an array, so one long
+    array would cost the square of its length.
+    """
+    grow = lambda of, start: F.aggregate(of, F.array(start), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    total = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + x)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(slice_rows))
+    slices = F.transform(starts, lambda at: F.slice(numbers, at, F.lit(slice_rows)))
+    offsets = grow(F.transform(slices, total), F.lit(0).cast("long"))
+    inside = F.zip_with(F.slice(offsets, F.lit(1), F.size(starts)), slices, lambda start, of: F.slice(grow(of, start), F.lit(1), F.size(of)))
+    return F.array_append(F.flatten(inside), F.element_at(offsets, -1))
+
+
 def speech(spark: SparkSession, sf: str) -> DataFrame:
     """One recording per document, one utterance per sentence; narrow, no shuffle."""
     docs = documents(spark, sf).select(_lecture_of_document().alias("lecture_id"), _sentences().alias("s"))
     docs = docs.withColumn("w", F.transform("s", word_count))
-    # words before each sentence, in one pass over the counts
-    sums = F.aggregate("w", F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    docs = docs.withColumn("before", sums)
+    docs = docs.withColumn("before", sums_before("w"))
     timed = F.transform(
         "s",
         lambda x, i: F.struct(

@@ -1,6 +1,7 @@
 """Rules that must hold whatever the size: whole input, no silent folder, no order of files, odd values."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,16 @@ def test_marks_are_matched_as_the_rule_says(spark):
                 hits += 1
                 free.remove(near[0])
         assert got[key] == (hits, sum(k == key for k, _ in rows["t"]), sum(k == key for k, _ in rows["p"]))
+
+
+def test_sums_of_a_long_array_are_not_its_square(spark):
+    for n in (0, 1, 2, 3, 4, 5, 9, 1000):
+        row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda x: (x % 7).cast("int")).alias("w"))
+        row = row.select(F.slice("w", F.lit(1), F.lit(n)).alias("w"))
+        for size in (1, 3, 256):
+            got = row.select(T.sums_before("w", size).alias("b")).first()["b"]
+            assert got == [sum((x + 1) % 7 for x in range(k)) for k in range(n + 1)]
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda x: F.lit(1)).alias("w"))
+    start = time.monotonic()
+    assert long.select(F.element_at(T.sums_before("w"), -1).alias("n")).first()["n"] == 200_000
+    assert time.monotonic() - start < 30
