@@ -297,6 +297,26 @@ def similar_only_once(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return _first_of_each(docs, words_hash(F.col(text)), values, labels, key)
 
 
+def near_only_once(docs: DataFrame, key: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
+    """As `deduplicate`, by links of fingerprints and by similar texts together: a component holds both kinds of links.
+
+    Each text is read once for its fingerprint, its words and its bands. Texts whose fingerprints are of one component are
+    linked to the smallest of them, so no group of copies is paired up.
+    """
+    own = materialise(docs.select(
+        F.col(key), words_hash(F.col(text)).alias("fp"), text_bands(F.col(text)).alias("bands"), fingerprint(F.col(text)).alias("sim")), "words")
+    # equal words have equal fingerprints
+    values = materialise(own.groupBy("fp").agg(F.min(key).alias("_first"), F.min("sim").alias("sim")), "values")
+    near = connected_components(links(materialise(values.select("sim").distinct(), "fingerprints"), "sim"))
+    classes = values.join(near, F.col("sim") == F.col("node"), "left").select("fp", F.coalesce("label", "sim").alias("class"))
+    classes = materialise(classes, "classes")
+    hubs = classes.groupBy("class").agg(F.min("fp").alias("b"), F.max("fp").alias("_most")).where("b < _most").drop("_most")
+    by_fingerprint = classes.join(hubs, "class").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    by_words = similar_labels(docs, own, text, exact).select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = connected_components(by_fingerprint.unionByName(by_words))
+    return _first_of_each(docs, words_hash(F.col(text)), values, labels, key)
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One document of each component, as said above; an id that several texts share decides for none of them."""
     own = docs.select(F.col(key), fingerprint(F.col(text)).alias("fp"))

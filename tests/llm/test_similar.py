@@ -113,3 +113,15 @@ def test_pairs_grow_with_the_texts(spark):
         made.append((neardup._sent(members, none).count(), neardup._crossed(members, none).count()))
     (drawn, crossed), (drawn_2, crossed_2) = made
     assert drawn_2 < 2.7 * drawn and crossed_2 > 3.2 * crossed
+
+
+def test_the_pipeline_s_stage_links_by_fingerprints_too(spark):
+    """Texts of one repeated phrase have one fingerprint, whatever their ends; their five-word sets differ."""
+    import corpus_pipeline
+
+    ends = [" ".join(f"end{k}x{n}" for n in range(12)) for k in range(3)]
+    rows = [(k, "one two three " * 100 + end) for k, end in enumerate(ends)] + [(7, "an own text of some other words that nobody repeats here"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({neardup.simhash(t) for _, t in rows[:3]}) == 1
+    assert {r.doc_id for r in neardup.similar_only_once(docs).collect()} == {0, 1, 2, 7, 8}
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {0, 7, 8}
