@@ -9,7 +9,7 @@ from lecturelab.functions.text import let, strip, uni_and_bigrams
 from lecturelab.functions.timecode import to_timecode
 from lecturelab.operators.intervals import neighbour_chunks
 from lecturelab.operators.ordered import BLOCK_ROWS, block_of, dense_index, joined_text, running, top_n
-from lecturelab.operators.termvectors import fit, hashed_counts, weigh
+from lecturelab.operators.termvectors import fit, hashed_words, lecture_sizes, squared_lengths, weigh, word_postings
 from lecturelab.params import RetrievalParams
 from lecturelab.session import materialise
 
@@ -102,33 +102,31 @@ def searchable(chunks: DataFrame) -> DataFrame:
 def sparse_scores(rows: DataFrame, questions: DataFrame, max_features: int | None = None, stored: bool = True) -> DataFrame:
     """`lecture_id, query_id, cid, score` of passages that share a term with the question.
 
-    All questions are answered in one pass. The postings, terms as 64-bit hashes, are shuffled once, to learn how many passages
-    of the recording hold a term: that is what the lengths of the passages need. What the questions ask for is taken out before
-    that, by a join with the asked terms, which Spark broadcasts if they are few. A term is one row of each passage that holds it, so
-    the rows of a frequent term are no more than the passages of the recording. `stored` writes the passages to the shared
-    folder, as they are read twice. A capped vocabulary takes the way over tables of terms.
+    All questions are answered in one pass. Texts are taken apart once, into 64-bit hashes of their words, which `stored` writes to
+    the shared folder, as they are read twice. The postings are shuffled once, packed into arrays (`squared_lengths`), to learn how
+    many passages of the recording hold a term: that is what the lengths of the passages need. What the questions ask for is taken
+    out by a join with the asked terms, which Spark broadcasts if they are few. A capped vocabulary takes the way over tables of terms.
     """
     if max_features is not None:
         return _capped_scores(rows, questions, max_features, stored)
+    words = hashed_words(rows)
     if stored:
-        rows = materialise(rows.select("lecture_id", "row_id", "text"), "passages")
-    sizes = rows.groupBy("lecture_id").agg(F.count(F.lit(1)).alias("n"))
+        words = materialise(words, "words")
+    sizes = materialise(lecture_sizes(words), "sizes")  # stored, so that Spark knows how few they are
     idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
     damped = 1.0 + F.log(F.col("tf"))
-    counts = hashed_counts(rows)
 
-    asked = questions.select("lecture_id", "query_id", F.explode(uni_and_bigrams(F.col("question"))).alias("term"))
-    asked = asked.groupBy("lecture_id", "query_id", F.xxhash64("term").alias("h")).agg(F.count(F.lit(1)).alias("tf"))
+    own = questions.select("lecture_id", F.col("query_id").alias("row_id"), F.col("question").alias("text"))
+    asked = word_postings(hashed_words(own)).groupBy("lecture_id", F.col("row_id").alias("query_id"), "h").agg(F.sum("tf").alias("tf"))
     asked = materialise(asked, "asked")
-    met = materialise(counts.join(asked.select("lecture_id", "h").distinct(), ["lecture_id", "h"]), "met")
+    met = materialise(word_postings(words).join(asked.select("lecture_id", "h").distinct(), ["lecture_id", "h"]), "met")
     known = met.groupBy("lecture_id", "h").agg(F.count(F.lit(1)).alias("df")).join(sizes, "lecture_id").select("lecture_id", "h", idf.alias("idf"))
     raw = asked.join(known, ["lecture_id", "h"]).withColumn("raw", damped * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("lecture_id", "query_id")))
     wanted = materialise(raw.select("lecture_id", "h", "query_id", (F.col("raw") / length * F.col("idf")).alias("qw")), "wanted")
     shared = met.join(wanted, ["lecture_id", "h"]).groupBy("lecture_id", "row_id", "query_id").agg(F.sum(damped * F.col("qw")).alias("dot"))
 
-    held = counts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("lecture_id", "h"))).join(sizes, "lecture_id")
-    norms = held.groupBy("lecture_id", "row_id").agg(F.sqrt(F.sum(F.pow(damped * idf, F.lit(2.0)))).alias("norm"))
+    norms = squared_lengths(words, sizes).groupBy("lecture_id", "row_id").agg(F.sqrt(F.sum("sq")).alias("norm"))
     # nine digits: sums do not depend on the order of addition, ties stay ties
     return shared.join(norms, ["lecture_id", "row_id"]).select(
         "lecture_id", "query_id", F.col("row_id").alias("cid"), F.round(F.col("dot") / F.col("norm"), 9).alias("score"))

@@ -51,3 +51,24 @@ def test_scores_match_plain_loops(spark):
     # one window over the postings, no table of counts
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert not any("term-counts" in path for path in found.inputFiles())
+
+
+def test_postings_packed_by_part(spark, monkeypatch):
+    """A recording's terms dealt into many parts: lengths of passages are the same, and a part's postings are one row per task's batch."""
+    rng = random.Random(8)
+    rows = [("a", k, " ".join(f"w{rng.randrange(30)}" for _ in range(20))) for k in range(50)] + [("b", 0, None), ("b", 1, "w1 w2 w1")]
+    r = spark.createDataFrame(rows, "lecture_id string, row_id int, text string").coalesce(1)
+    words = termvectors.hashed_words(r)
+    monkeypatch.setattr(termvectors, "WORDS_OF_PART", 100)
+    sizes = termvectors.lecture_sizes(words)
+    assert {s.lecture_id: (s.n, s.parts) for s in sizes.collect()} == {"a": (50, 10), "b": (2, 1)}
+    assert termvectors._packed(words, sizes).count() <= 11
+    got = {}
+    for s in termvectors.squared_lengths(words, sizes).collect():
+        got[s.lecture_id, s.row_id] = got.get((s.lecture_id, s.row_id), 0.0) + s.sq
+    for lec in "ab":
+        own = {k: grams(t) for x, k, t in rows if x == lec}
+        df = Counter(t for c in own.values() for t in c)
+        for k, c in own.items():
+            want = sum(((1 + math.log(n)) * (math.log((1 + len(own)) / (1 + df[t])) + 1)) ** 2 for t, n in c.items())
+            assert got.get((lec, k), 0.0) == pytest.approx(want)
