@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -100,3 +101,18 @@ def test_no_question_and_no_passage(spark):
     assert [tuple(r) for r in searchindex.search_index(index, q).collect()] == [("a", 1, 1, 0, 0.0)]
     assert searchindex.search_index(index, q.limit(0)).count() == 0
     assert searchindex.search_index(searchindex.build_index(rows.limit(0)), q).count() == 0
+
+
+def test_index_moves_postings_once(spark):
+    """No table of terms and no table of block weights: what is stored is little more than the postings; a cap is still a cap."""
+    rows = [("a", k, f"only{k} filler{k % 3} filler{k % 3} rare") for k in range(40)]
+    r = spark.createDataFrame(rows, "lecture_id string, row_id int, text string")
+    q = spark.createDataFrame([("a", 1, "only7 filler0")], "lecture_id string, query_id int, question string")
+    index = searchindex.build_index(r)
+    stored = {p.name for p in Path(index.path).iterdir()}
+    assert stored == {"postings", "rows", "blocks"} and "term" not in index.table("postings").columns
+    assert index.table("postings").count() == sum(len(terms(t)) for _, _, t in rows)
+    capped = searchindex.build_index(r, max_features=2)
+    # "rare" and "filler0" are the most frequent terms
+    assert capped.table("postings").count() == 40 + sum(k % 3 == 0 for k in range(40))
+    assert {h["cid"] for h in searchindex.best_passages(capped, q).collect()} == {0, 3, 6, 9, 12, 15}
