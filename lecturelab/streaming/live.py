@@ -39,14 +39,20 @@ REGROUP_OUT = "lecture_id string, grp int, start_s double, end_s double, segment
 OPEN_GROUP = "grp int, opened double, last double, last_ms bigint, closes boolean, segments int"
 WAITING = "seqs array<int>, starts array<double>, ends array<double>, closings array<boolean>, stamps array<bigint>"
 BUCKET_MS = 60_000
+CHUNK_ROWS = 4096
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _by_minute(row: tuple) -> tuple[int, tuple]:
+    return row[4] // BUCKET_MS, row
+
+
 class RegroupProcessor(StatefulProcessor):
-    """One recording: the open group in a few numbers, and the rows that wait for the watermark in buckets of a minute.
+    """One recording: the open group in a few numbers, and the rows that wait for the watermark in chunks.
 
-    A row is added to its own bucket only, and a bucket is read once more when the watermark has passed its end, so a
-    trigger costs its new rows and what it folds, however many rows wait.
+    A trigger adds its rows as new chunks in the order of time, whose keys tell the first and the last minute. Rows are due by
+    minutes: a chunk is read when the watermark has passed its first minute, and what is not due is put back as a chunk. So
+    a trigger costs its new rows and the chunks it folds, and a few calls of the state for each chunk, not for each row.
     """
 
     def __init__(self, p: AsrParams) -> None:
@@ -55,44 +61,57 @@ class RegroupProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.group = handle.getValueState("group", OPEN_GROUP)
-        self.waiting = handle.getMapState("waiting", "bucket bigint", WAITING)
+        self.waiting = handle.getMapState("waiting", "opens bigint, ends bigint, seq int", WAITING)
 
     def close(self) -> None:
         pass
 
+    def _wait(self, rows: list[tuple]) -> None:
+        """Keep `rows`, sorted by minute, as one chunk, and wake up when its first minute is over."""
+        opens, ends = rows[0][4] // BUCKET_MS, rows[-1][4] // BUCKET_MS
+        key = (opens, ends, rows[0][0])
+        if self.waiting.containsKey(key):  # the first row came twice
+            rows = sorted([*zip(*self.waiting.getValue(key)), *rows], key=_by_minute)
+        self.waiting.updateValue(key, tuple(list(column) for column in zip(*rows)))
+        self.handle.registerTimer((opens + 1) * BUCKET_MS)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list[tuple]] = {}
+        come: list[tuple] = []
         for pdf in rows:
             stamps = pdf["ts"].astype("datetime64[us]").astype("int64") // 1_000
-            for seq, start, end, closes, stamp in zip(pdf["seq"], pdf["start_s"], pdf["end_s"], pdf["closes"], stamps):
-                new.setdefault(int(stamp) // BUCKET_MS, []).append((int(seq), float(start), float(end), bool(closes), int(stamp)))
-        for bucket, come in new.items():
-            if self.waiting.containsKey((bucket,)):
-                come = [*zip(*self.waiting.getValue((bucket,))), *come]
-            else:
-                self.handle.registerTimer((bucket + 1) * BUCKET_MS)
-            self.waiting.updateValue((bucket,), tuple([cast(v) for v in column] for cast, column in zip((int, float, float, bool, int), zip(*come))))
+            come += zip(*(c.tolist() for c in (pdf["seq"], pdf["start_s"], pdf["end_s"], pdf["closes"], stamps)))
+        come.sort(key=_by_minute)
+        for at in range(0, len(come), CHUNK_ROWS):
+            self._wait(come[at: at + CHUNK_ROWS])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # the watermark, not this timer's time: a timer set now for a time that is past would wait for another trigger
         until, out = timerValues.getCurrentWatermarkInMs(), []
         grp, opened, last, last_ms, closed, n = self.group.get() if self.group.exists() else (-1, 0.0, 0.0, 0, False, 0)
-        buckets = sorted(k[0] for k in self.waiting.keys())
-        due = [k for k in buckets if (k + 1) * BUCKET_MS <= until]
-        for bucket in due:
-            for seq, start, end, closes, stamp in sorted(zip(*self.waiting.getValue((bucket,)))):
-                length = end - opened
-                if grp >= 0 and (start - last >= self.pause or length >= self.longest or (closed and length >= self.shortest)):
-                    out.append((key[0], grp, opened, last, n))
-                    grp = -1
-                if grp < 0:
-                    grp, opened, n = seq, start, 0
-                last, closed, n = end, closes, n + 1
-                last_ms = stamp + int((end - start) * 1000) + 1
-            self.waiting.removeKey((bucket,))
+        chunks = list(self.waiting.keys())
+        reached = [k for k in chunks if (k[0] + 1) * BUCKET_MS <= until]
+        left, due = len(chunks) - len(reached), []
+        for k in reached:
+            rows = [*zip(*self.waiting.getValue(k))]
+            self.waiting.removeKey(k)
+            if (k[1] + 1) * BUCKET_MS <= until:
+                due += rows
+            else:
+                due += (r for r in rows if (r[4] // BUCKET_MS + 1) * BUCKET_MS <= until)
+                self._wait([r for r in rows if (r[4] // BUCKET_MS + 1) * BUCKET_MS > until])
+                left += 1
+        for seq, start, end, closes, stamp in sorted(due, key=_by_minute):
+            length = end - opened
+            if grp >= 0 and (start - last >= self.pause or length >= self.longest or (closed and length >= self.shortest)):
+                out.append((key[0], grp, opened, last, n))
+                grp = -1
+            if grp < 0:
+                grp, opened, n = seq, start, 0
+            last, closed, n = end, closes, n + 1
+            last_ms = stamp + int((end - start) * 1000) + 1
         over = last_ms + int(self.pause * 1000) + 1
-        if grp >= 0 and len(due) == len(buckets):
+        if grp >= 0 and not left:
             if until >= over:  # whatever still comes opens the next group
                 out.append((key[0], grp, opened, last, n))
                 grp = -1
@@ -109,7 +128,7 @@ class RegroupProcessor(StatefulProcessor):
 def stream_regroup(segments: DataFrame, p: AsrParams = AsrParams(), lateness: str = "1 hour") -> DataFrame:
     """Utterance groups of a stream of kept segments.
 
-    Rows inside the watermark may arrive out of order: they wait in state, by minutes, until the watermark has passed their
+    Rows inside the watermark may arrive out of order: they wait in state, in chunks, until the watermark has passed their
     minute and are then folded in order. A group is emitted when the next one opens, or once the watermark is so far past
     its last row that whatever still comes must open the next one; timers wake the key for both, without another row.
     Rows later than the watermark are dropped and counted (`late_rows`). Sets the session's state store to RocksDB, which
