@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lecturelab.functions import text
 from lecturelab.functions.text import SPACE, squeeze, strip, word_count
 
 PYTHON_SPACE = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), SPACE.replace(r"\s", r" \t\n\f\r"))
@@ -24,3 +25,11 @@ def test_a_word_is_not_looked_at_through_a_chain_of_classes(spark):
 
     plan = tables.speech(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_words_at_the_edges_of_the_quick_split(spark):
+    """Texts of plain characters are split by the space alone; a character next to those that are plain is still looked at."""
+    known = {"\x1f": True, " ": True, "~": False, "\x7f": False, "\x85": True, "\xa0": True, "\xa1": False, "ᙿ": False, " ": True, "　": True}
+    rows = [(c, f" é{c}b  {c}") for c in known]
+    got = {r["c"]: r["w"] for r in spark.createDataFrame(rows, "c string, t string").select("c", text.words_of(F.col("t")).alias("w")).collect()}
+    assert got == {c: (["é", "b"] if gap else [f"é{c}b", c]) for c, gap in known.items()}
