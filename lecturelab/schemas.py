@@ -19,4 +19,6 @@ LECTURE_DOCUMENT = f"""
 
 LEDGER = "kind string, model string, calls bigint, input_tokens bigint, output_tokens bigint"
 
+PACKED_FILE = "run string, name string, content string, length bigint, modified timestamp"
+
 ASR_SEGMENTS = "lecture_id string, seq int, start_s double, end_s double, text string, avg_logprob double, no_speech_prob double"

@@ -94,3 +94,27 @@ def test_stream_sessions_break_at_the_exact_pause(spark):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = live.run_available(live.stream_pause_sessions(stream, 1.2, "1 second"), "sessions").where("lecture_id = 'x'")
     assert sorted((r.start_s, r.segments) for r in got.collect()) == [(0.0, 2), (4.2, 1), (6.3, 1)]
+
+
+def test_packed_library_lists_as_folders_do(spark, tmp_path):
+    good = json.dumps({"source": "a.mp4", "title": "T", "segments": [{"sid": 0, "title": "é", "body": "x"}]}, ensure_ascii=False)
+    files = [("r1", "lecture.json", good), ("r1", "notes.txt", "notes"), ("r2", "lecture.json", "{not json"), ("r3", "lecture.json", '{"segments": "none"}'),
+             ("r4", "lecture.json", '{"source": "b.mp4", "title": ""}'), ("r4", "empty.txt", "")]
+    for run, name, content in files:
+        (tmp_path / "folders" / run).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "folders" / run / name).write_text(content)
+    S.pack_library(spark.createDataFrame(files, "run string, name string, content string"), str(tmp_path / "packed"))
+    cols = ["run", "title", "segments", "ready", "bytes"]
+    want = S.library_listing(spark, [str(tmp_path / "folders")]).select(*cols).collect()
+    got = S.packed_listing(spark, [str(tmp_path / "packed")]).select(*cols).collect()
+    assert sorted(got) == sorted(want) and {r.run for r in got} == {"r1", "r4"}
+
+
+def test_library_files_writes_no_file_for_each_run(spark, monkeypatch):
+    from lecturelab.plans import edges
+
+    roots = []
+    monkeypatch.setattr(edges, "scratch_path", lambda s, label: roots.append(scratch_path(s, label)) or roots[-1])
+    runs = entry.queries()["library_files"](spark, SF).count()
+    files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots[0]).select("path").collect()]
+    assert runs == T.lectures(spark, SF).count() and len(files) < runs
