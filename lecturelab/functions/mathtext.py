@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,11 +16,15 @@ MATH_PATTERNS = (
     r"(?s)\\begin\{(?:equation\*?|align\*?|gather\*?)\}(.+?)\\end\{[^}]+\}",
     r"(?<!\$)\$([^$]+?)\$(?!\$)",
 )
+# What a text must hold for the pattern of that place to match.
+MATH_OPENINGS = ("$$", "\\[", "\\begin{", "$")
 REWRITES = (
     ("\\left", ""), ("\\right", ""), ("\\limits", ""), ("\\!", ""), ("\\,", " "), ("\\;", " "), ("\\:", " "),
     ("\\quad", " "), ("\\qquad", " "), ("\\displaystyle", ""), ("\\mathbb", "\\mathbf"), ("\\hat", "\\widehat"),
     ("\\tilde", "\\widetilde"),
 )
+COMMON = ("\\mathbb", "\\mathbf")
+RARE = "|".join(re.escape(old) for old, _ in REWRITES if old != COMMON[0])
 WRAPPERS = ("label", "tag", "text", "mathrm")
 TERM = r"[А-Яа-яЁёA-Za-z][А-Яа-яЁёA-Za-z\-]{4,}"
 STOP_WORDS = (
@@ -29,15 +35,26 @@ STOP_WORDS = (
 
 def normalise_math(expr: Column, wrappers: tuple[str, ...] = WRAPPERS) -> Column:
     """One spelling per formula: rewrites in order, wrappers unwrapped, braces and spaces dropped."""
-    for old, new in REWRITES:
-        expr = F.replace(expr, F.lit(old), F.lit(new))
-    expr = F.regexp_replace(expr, r"\\(?:" + "|".join(wrappers) + r")\{([^}]*)\}", "$1")
-    return F.regexp_replace(expr, r"[{}\s]+", "")
+    # One look tells whether a text needs more than the commonest rewrite, which makes none of the others possible.
+    def rewritten(f: Column) -> Column:
+        every = f
+        for old, new in REWRITES:
+            every = F.replace(every, F.lit(old), F.lit(new))
+        return F.when(f.rlike(RARE), every).otherwise(F.replace(f, F.lit(COMMON[0]), F.lit(COMMON[1])))
+
+    def unwrapped(f: Column) -> Column:
+        return F.regexp_replace(let(f, rewritten), r"\\(?:" + "|".join(wrappers) + r")\{([^}]*)\}", "$1")
+
+    # all rewrites and wrappers start with a backslash, and most spaces are plain ones: patterns meet few texts
+    one = let(expr, lambda f: F.when(f.contains("\\"), unwrapped(f)).otherwise(f))
+    return F.regexp_replace(F.replace(one, F.lit(" "), F.lit("")), r"[{}\s]+", "")
 
 
 def extract_math(tex: Column, wrappers: tuple[str, ...] = WRAPPERS) -> Column:
     """Normalised formulas of at least three characters, by kind of delimiter, repeats kept."""
-    found = lambda t: F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in MATH_PATTERNS]))
+    none = F.array().cast("array<string>")
+    every = lambda t, opening, p: F.when(~t.contains(opening), none).otherwise(F.regexp_extract_all(t, F.lit(p), F.lit(1)))
+    found = lambda t: F.flatten(F.array(*[every(t, *kind) for kind in zip(MATH_OPENINGS, MATH_PATTERNS, strict=True)]))
     formulas = let(tex, lambda t: F.transform(found(t), lambda f: normalise_math(f, wrappers)))
     return F.filter(formulas, lambda f: F.length(f) >= 3)
 

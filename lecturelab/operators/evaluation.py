@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lecturelab.functions.mathtext import WRAPPERS, extract_math, term_words
@@ -25,6 +25,11 @@ def overlap_counts(generated: DataFrame, reference: DataFrame, item: str) -> Dat
     """`doc_id, matched, n_gen, n_ref` of two distinct item tables, counted side by side in one shuffle."""
     tagged = generated.select("doc_id", item, F.lit(1).alias("g"), F.lit(0).alias("r")).unionByName(
         reference.select("doc_id", item, F.lit(0).alias("g"), F.lit(1).alias("r")))
+    return _overlaps(tagged, item)
+
+
+def _overlaps(tagged: DataFrame, item: str) -> DataFrame:
+    """Counts of `doc_id, item, g, r` (1 where that side has the item, repeats allowed)."""
     per = tagged.groupBy("doc_id", item).agg(F.max("g").alias("g"), F.max("r").alias("r"))
     return per.groupBy("doc_id").agg(
         F.sum(F.col("g") * F.col("r")).cast("long").alias("matched"), F.sum("g").cast("long").alias("n_gen"),
@@ -37,6 +42,17 @@ def formula_prf(generated: DataFrame, reference: DataFrame, wrappers: tuple[str,
     return with_prf(counts, "matched", "n_gen", "n_ref")
 
 
+def formula_prf_by_row(notes: DataFrame, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
+    """`formula_prf` of notes that have both sides in a row (`doc_id, generated, reference`): they are read once, and
+    notes that are dealt out by `doc_id` are not shuffled."""
+    def side(text: str, g: int) -> Column:
+        found = F.array_distinct(extract_math(F.col(text), wrappers))
+        return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda f: F.struct(f.alias("formula"), F.lit(g).alias("g"), F.lit(1 - g).alias("r")))
+
+    tagged = notes.select("doc_id", F.inline(F.concat(side("generated", 1), side("reference", 0))))
+    return with_prf(_overlaps(tagged, "formula"), "matched", "n_gen", "n_ref")
+
+
 def term_coverage(generated: DataFrame, reference: DataFrame) -> DataFrame:
     """Share of the reference's terms (used twice or more) that the generated notes use at all."""
     counts = overlap_counts(terms(generated, 1), terms(reference, 2), "term")
