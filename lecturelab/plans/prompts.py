@@ -26,8 +26,8 @@ def transcripts(spark, sf):
 @query("board_prompts", sql("speech boards", f"""select a.lecture_id, a.bid, 'Frame at '||{tc('key_ts')}||case when said<>'' then chr(10)||'Speech around the frame:'||chr(10)||{cut('said', 220)} else '' end as prompt
  from around a join boards b using (lecture_id, bid)""", around=AROUND))
 def _boards(spark, sf):
-    boards = T.boards(spark, sf)
-    return P.board_prompts(boards, J.speech_around_board(boards, T.speech(spark, sf)))
+    boards = materialise(T.boards(spark, sf), "boards")
+    return P.board_prompts(boards, J.speech_around_board(boards, T.speech(spark, sf, with_boards=True)))
 
 
 EARLIER = dict(
@@ -37,14 +37,14 @@ EARLIER = dict(
 )
 
 
-def previous(spark, sf):
-    titles = T.segments(spark, sf).select("lecture_id", "sid", "title", (F.col("title") != "").alias("ok"))
+def previous(segments):
+    titles = segments.select("lecture_id", "sid", "title", (F.col("title") != "").alias("ok"))
     return P.earlier_titles(titles)
 
 
 @query("earlier_titles", sql("segments", "select * from previous", **EARLIER))
 def _earlier(spark, sf):
-    return previous(spark, sf)
+    return previous(materialise(T.segments(spark, sf), "segments"))
 
 
 BLOCKS = dict(
@@ -58,9 +58,10 @@ BLOCKS = dict(
  {cut('t.transcript', 2500)} as transcript, coalesce(b.boards,'') as boards, p.previous from segments s join said t using (lecture_id, sid) join previous p using (lecture_id, sid) left join blocks b using (lecture_id, sid)""",
     said=SAID, **EARLIER, **BLOCKS))
 def _sections(spark, sf):
-    segs = T.segments(spark, sf)
+    segs = materialise(T.segments(spark, sf), "segments")
     found = J.boards_in(T.boards(spark, sf), segs.select("lecture_id", "sid", F.col("start_s").alias("span_start"), F.col("end_s").alias("span_end")))
-    return P.section_prompts(segs, transcripts(spark, sf), P.section_boards(found), previous(spark, sf))
+    said = J.segment_transcript(segs, T.speech(spark, sf))
+    return P.section_prompts(segs, said, P.section_boards(found), previous(segs))
 
 
 #: The passages found for each question, with their neighbours, in time order.
