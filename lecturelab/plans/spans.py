@@ -45,7 +45,7 @@ def _merge(spark, sf):
  where u.end_s>u.start_s and greatest(0, least(u.end_s,b.end_s)-greatest(u.start_s,b.start_s))/(u.end_s-u.start_s)>=0.5"""))
 def _utterances_in(spark, sf):
     spans = T.boards(spark, sf).select("lecture_id", "bid", F.col("start_s").alias("span_start"), F.col("end_s").alias("span_end"))
-    return J.utterances_in(T.speech(spark, sf).drop("text"), spans).select("lecture_id", "bid", "uid")
+    return J.utterances_in(T.speech(spark, sf, with_boards=True).drop("text"), spans).select("lecture_id", "bid", "uid")
 
 
 @query("boards_in", sql("segments boards", """select s.lecture_id, s.sid, b.bid from segments s join boards b on s.lecture_id=b.lecture_id
@@ -62,7 +62,7 @@ AROUND = """select b.lecture_id, b.bid, coalesce(string_agg(u.text,' ' order by
 
 @query("speech_around_board", sql("speech boards", f"select lecture_id, bid, {cut('said', 220)} as context from around", around=AROUND))
 def _around(spark, sf):
-    return J.speech_around_board(T.boards(spark, sf), T.speech(spark, sf))
+    return J.speech_around_board(T.boards(spark, sf), T.speech(spark, sf, with_boards=True))
 
 
 @query("segment_transcript", sql("speech", "select lecture_id, uid//12 as sid, string_agg(text,' ' order by uid) as transcript from speech group by 1,2"))
