@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lecturelab.functions.spans import span_is_valid, span_overlap
 from lecturelab.functions.text import strip, truncate_words
 from lecturelab.operators.ordered import BLOCK_ROWS, block_of, joined_text, running
+from lecturelab.session import materialise
 
 BUCKET_SECONDS = 60.0
 
@@ -186,7 +187,8 @@ def with_prf(df: DataFrame, hits: str, n_pred: str, n_true: str) -> DataFrame:
 def _clusters(marks: DataFrame, keys: list[str], tolerance: float, hour: float = 3600.0) -> DataFrame:
     """`_cluster`: the first time of the run of marks that are at most `tolerance` apart."""
     block = F.floor(F.col("t") / hour).cast("long")
-    rows = marks.groupBy(*keys, "t").agg(F.sum("n_true").alias("n_true"), F.sum("n_pred").alias("n_pred"))
+    # stored: the running values read it four times
+    rows = materialise(marks.groupBy(*keys, "t").agg(F.sum("n_true").alias("n_true"), F.sum("n_pred").alias("n_pred")), "marks")
     seen = running(rows, keys, ["t"], block, {"_prev": ("prev", F.col("t"))})
     first = F.when(F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > tolerance), F.col("t"))
     starts = running(seen, keys, ["t"], block, {"_cluster": ("last", first)})
