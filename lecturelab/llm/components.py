@@ -13,7 +13,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round a node takes the smallest label among its neighbours and then the label that this label had, so
     distances halve. A round is written to the shared folder and the one before it removed; only the number of
-    changed labels reaches the driver. Empty links give an empty result.
+    changed labels reaches the driver: its joins are merges, as a broadcast in every round would pass through it. Empty links give an empty result.
     """
     spark = links.sparkSession
 
@@ -28,9 +28,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels, path = stored(first, "labels")
     while True:
         before = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        near = edges.join(before, F.col("other") == F.col("_n")).groupBy("node").agg(F.min("_l").alias("_m"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "_m").alias("to"))
-        jumped = lower.join(before, F.col("to") == F.col("_n")).select("node", F.col("_l").alias("label"), (F.col("_l") != F.col("was")).alias("moved"))
+        near = edges.hint("merge").join(before, F.col("other") == F.col("_n")).groupBy("node").agg(F.min("_l").alias("_m"))
+        lower = labels.hint("merge").join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "_m").alias("to"))
+        jumped = lower.hint("merge").join(before, F.col("to") == F.col("_n")).select("node", F.col("_l").alias("label"), (F.col("_l") != F.col("was")).alias("moved"))
         labels, newer = stored(jumped, "labels")
         drop_path(spark, [path])
         path = newer

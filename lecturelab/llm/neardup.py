@@ -207,11 +207,11 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
 
 def _named(own: DataFrame, values: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """`own` (key, `fp`) with the smallest key (`_first` in `values`) of the component that `labels` tells."""
-    linked = values.join(labels, F.col("fp") == F.col("node")).select("fp", "_first", "label")
+    linked = values.hint("merge").join(labels, F.col("fp") == F.col("node")).select("fp", "_first", "label")
     roots = linked.groupBy("label").agg(F.min("_first").alias("_root"))
-    reached = linked.join(roots, "label").select("fp", "_root")
+    reached = linked.hint("merge").join(roots, "label").select("fp", "_root")
     # stored, so that both sides of the last join are plain shuffles and a hot fingerprint can be split
-    named = materialise(values.join(reached, "fp", "left").select("fp", F.coalesce("_root", "_first").alias("component_id")), "components")
+    named = materialise(values.hint("merge").join(reached, "fp", "left").select("fp", F.coalesce("_root", "_first").alias("component_id")), "components")
     return own.join(named, "fp").select(key, "fp", "component_id")
 
 
@@ -237,7 +237,7 @@ def _pair(x: Column, y: Column) -> Column:
 
 def _sent(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """`a` < `b`: pairs of drawn members of different components of a band."""
-    many = shared.join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+    many = shared.hint("merge").join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
     drawn = [F.min_by("fp", F.xxhash64("fp", "band", F.lit(r))).alias(f"m{r}") for r in range(ROUNDS)]
     parts = materialise(many.groupBy("band", "label").agg(F.count("*").alias("n"), *drawn), "parts")
     stars = [F.min_by(f"m{r}", F.xxhash64("label", "band", F.lit(r))).alias(f"s{r}") for r in range(ROUNDS)]
@@ -250,7 +250,7 @@ def _sent(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _crossed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """`a` < `b`: all pairs of members of different components of a band."""
-    many = shared.join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+    many = shared.hint("merge").join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
     parts = materialise(many, "labelled")
     names = parts.select("band", "label").distinct()
     low, high = names.select("band", F.col("label").alias("la")), names.select("band", F.col("label").alias("lb"))
@@ -273,11 +273,11 @@ def similar_labels(docs: DataFrame, own: DataFrame, text: str = "text", exact: b
     rest = _confirmed((_crossed if exact else _sent)(shared, labels), sets)
     # links between components, each named by its label
     before = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-    named = rest.join(before, F.col("a") == F.col("_n"), "left").select(F.coalesce("_l", "a").alias("a"), "b")
-    named = named.join(before, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_l", "b").alias("b")).distinct()
+    named = rest.hint("merge").join(before, F.col("a") == F.col("_n"), "left").select(F.coalesce("_l", "a").alias("a"), "b")
+    named = named.hint("merge").join(before, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_l", "b").alias("b")).distinct()
     joined = connected_components(named).select(F.col("node").alias("_n"), F.col("label").alias("_to"))
     both = labels.unionByName(joined.select(F.col("_n").alias("node"), F.col("_n").alias("label")))
-    return both.join(joined, F.col("label") == F.col("_n"), "left").groupBy("node").agg(F.min(F.coalesce("_to", "label")).alias("label"))
+    return both.hint("merge").join(joined, F.col("label") == F.col("_n"), "left").groupBy("node").agg(F.min(F.coalesce("_to", "label")).alias("label"))
 
 
 def _similar(docs: DataFrame, key: str, text: str, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -308,10 +308,10 @@ def near_only_once(docs: DataFrame, key: str = "doc_id", text: str = "text", exa
     # equal words have equal fingerprints
     values = materialise(own.groupBy("fp").agg(F.min(key).alias("_first"), F.min("sim").alias("sim")), "values")
     near = connected_components(links(materialise(values.select("sim").distinct(), "fingerprints"), "sim"))
-    classes = values.join(near, F.col("sim") == F.col("node"), "left").select("fp", F.coalesce("label", "sim").alias("class"))
+    classes = values.hint("merge").join(near, F.col("sim") == F.col("node"), "left").select("fp", F.coalesce("label", "sim").alias("class"))
     classes = materialise(classes, "classes")
     hubs = classes.groupBy("class").agg(F.min("fp").alias("b"), F.max("fp").alias("_most")).where("b < _most").drop("_most")
-    by_fingerprint = classes.join(hubs, "class").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    by_fingerprint = classes.hint("merge").join(hubs, "class").where("fp <> b").select(F.col("fp").alias("a"), "b")
     by_words = similar_labels(docs, own, text, exact).select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = connected_components(by_fingerprint.unionByName(by_words))
     return _first_of_each(docs, words_hash(F.col(text)), values, labels, key)
@@ -326,7 +326,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", distan
 
 def _first_of_each(docs: DataFrame, fp: Column, values: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """The rows of `docs` whose `fp` and key are the first of their component."""
-    named = values.join(labels, F.col("fp") == F.col("node"), "left")
+    named = values.hint("merge").join(labels, F.col("fp") == F.col("node"), "left")
     first = named.groupBy(F.coalesce("label", "fp").alias("_label")).agg(F.min(F.struct(F.col("_first").isNull().alias("none"), "_first", "fp")).alias("_r"))
     chosen = materialise(first.select(F.col("_r.fp").alias("_chosen"), F.col("_r._first").alias("_first")), "chosen")
     hashed = docs.withColumn("_fp", fp)
