@@ -28,7 +28,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lecturelab.llm.common import materialise, text_or_empty
+from lecturelab.llm.common import materialise, text_or_empty, where_computed
 
 #: Where the second and the third pair of a mask start; the first starts at 0.
 PAIRS = ((3, 6), (2, 6), (4, 6))
@@ -74,10 +74,13 @@ def _hashes(texts: DataFrame) -> DataFrame:
 
 def _each(hashed: DataFrame, bits: Column | None = None) -> DataFrame:
     """`_k`, `i`, `seed`, `hash`: one row per mask, those only that `bits` lets pass."""
-    passes = [F.lit(True) if bits is None else _passes(F.col(f"h{n}"), bits) for n in range(MASKS)]
-    whole = hashed.where("h0 is not null")  # the fourth mask is shorter and would go one window further
-    some = whole if bits is None else whole.where(reduce(or_, passes))
-    rows = [F.when(ok, F.struct(F.lit(n).alias("seed"), F.col(f"h{n}").alias("hash"))) for n, ok in enumerate(passes)]
+    names = range(MASKS)
+    some = hashed.where("h0 is not null")  # the fourth mask is shorter and would go one window further
+    if bits is not None:
+        # each mask looks at the table once: every mention of it is sent to the tasks and planned by itself
+        some = some.withColumns({f"p{n}": _passes(F.col(f"h{n}"), bits) for n in names})
+        some = where_computed(some, reduce(or_, [F.col(f"p{n}") for n in names]))
+    rows = [F.when(F.lit(True) if bits is None else F.col(f"p{n}"), F.struct(F.lit(n).alias("seed"), F.col(f"h{n}").alias("hash"))) for n in names]
     return some.select("_k", "i", F.explode(F.array_compact(F.array(*rows))).alias("s")).select("_k", "i", "s.*")
 
 
@@ -96,29 +99,24 @@ def _gathered(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_k").agg(F.collect_set(F.struct("i", "seed", "hash")).alias("_hits"))
 
 
-def _bit(place: Column) -> Column:
-    """A long with one bit set, told by the last six of `place`."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-
-
-def _spots(value: Column) -> list[tuple[Column, Column]]:
-    """Three (word, bit) places of a hash in the table, from different bits of it."""
-    cut = [F.shiftrightunsigned(F.shiftleft(value, BIT_POWER * k), 64 - BIT_POWER).cast("int") for k in range(3)]
-    return [(word, _bit(F.shiftright(value, 3 * k))) for k, word in enumerate(cut)]
+def _spot(value: Column) -> tuple[Column, Column]:
+    """Where a hash is in the table: its word, told by the first bits, and three bits of that word, told by the last ones."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(value, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(3)]
+    return F.shiftrightunsigned(value, 64 - BIT_POWER).cast("int"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
 def _passes(value: Column, bits: Column) -> Column:
-    (a, x), (b, y), (c, z) = _spots(value)
-    return (F.get(bits, a).bitwiseAND(x) != 0) & (F.get(bits, b).bitwiseAND(y) != 0) & (F.get(bits, c).bitwiseAND(z) != 0)
+    word, own = _spot(value)
+    return F.get(bits, word).bitwiseAND(own) == own
 
 
 def bit_table(index: DataFrame) -> Column:
-    """The bit table of the index's hashes, as a scalar that every task gets."""
-    spots = F.explode(F.array(*[F.struct(word.alias("id"), bit.alias("bit")) for word, bit in _spots(F.col("hash"))]))
-    filled = index.select(spots.alias("s")).groupBy(F.col("s.id").cast("long").alias("id")).agg(F.bit_or("s.bit").alias("bits"))
+    """The bit table of the index's hashes, as a scalar that every task gets. It is stored, so that a mention of it plans a read only."""
+    word, own = _spot(F.col("hash"))
+    filled = index.groupBy(word.cast("long").alias("id")).agg(F.bit_or(own).alias("bits"))
     whole = index.sparkSession.range(0, 1 << BIT_POWER, 1, 8).join(filled, "id", "left")
     rows = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return whole.agg(F.transform(rows, lambda r: r["bits"]).alias("bits")).scalar()
+    return materialise(whole.agg(F.transform(rows, lambda r: r["bits"]).alias("bits")), "bits").scalar()
 
 
 def benchmark_index(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
