@@ -23,10 +23,13 @@ from min-wise hashes: `BANDS` bands of `BAND` minima each, which a pair of simil
 
 A band's texts first meet one of them, another one in each band. Where that leaves several components in a band, each of
 them sends `ROUNDS` members, drawn anew each round, and these meet the members of two components of the band: one drawn
-by the round and the largest. So the number of pairs grows with the number of texts, in a group of templates that are
-alike but not similar as well as in a group of copies. A link between two components of a band can be missed if none
-of the drawn members show it; `exact=True` compares all texts of different components of a band instead, which costs
-the square of a group of templates. README has the measured share that is found.
+by the round and the largest. That joins most of what belongs together with pairs in proportion to the texts. Then all texts
+of different components of a band meet by their sketches, so no link of a band is left out. A sketch has a few bits for each
+shingle, each telling whether an odd number of shingles falls on it; two sketches differ in no more bits than the sets in
+shingles, so a pair whose sketches differ in too many is not similar, and the others are confirmed on the sets. Sketches meet
+in blocks of at most `MET_ROWS` texts and `MET_BYTES`, which bounds the memory of a task; the comparisons of sketches grow
+with the square of a group of templates, the pairs that are written do not, unless they are just about similar.
+`exact=True` writes all those pairs out instead of meeting by sketches; the result is the same.
 
 Equal words in a row are one text. A text without a word is like other such texts only. What is kept of a component is
 decided by row, not by id alone: the row with the smallest id (rows without one come last), and among those with
@@ -40,9 +43,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from lecturelab.llm.common import materialise
 from lecturelab.llm.components import connected_components
@@ -62,6 +66,11 @@ BAND = 5
 _MIN_BLOCK = 1 << 10
 #: Members that each component of a band sends to meet others.
 ROUNDS = 3
+#: Texts of a block in which sketches meet, and the bytes of their sketches.
+MET_ROWS = 1 << 12
+MET_BYTES = 1 << 22
+#: Words of sketches that are compared at once.
+_MET_WORDS = 1 << 20
 #: Parts that the rows of a band are dealt into where they meet what the band has once.
 PARTS = 16
 
@@ -154,10 +163,21 @@ def text_bands(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([bands(shingles(t)) for t in batch], dtype=object)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def text_shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each of two to four times as many places as shingles (64 at least, a power of two): whether an odd number falls there."""
+    width = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes.view(np.uint64) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+@F.pandas_udf(StructType().add("s", ArrayType(LongType())).add("n", LongType()).add("sketch", BinaryType()))
+def text_sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The shingles of each text, their number and sketch."""
     for batch in texts:
-        yield pd.Series([shingles(t).view("<i8") for t in batch], dtype=object)
+        own = [shingles(t) for t in batch]
+        yield pd.DataFrame({
+            "s": pd.Series([h.view("<i8") for h in own], dtype=object), "n": pd.Series([len(h) for h in own], dtype="int64"),
+            "sketch": pd.Series([sketch(h) for h in own], dtype=object)})
 
 
 def fingerprint_text(value: Column) -> Column:
@@ -274,23 +294,120 @@ def _crossed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return crossed.select(_pair(F.col("x"), F.col("y")).alias("p")).select("p.*").distinct()
 
 
+def _open_pairs(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...] | None) -> np.ndarray:
+    """Pairs of `fp` of different labels that sizes and sketches leave open. A side is `fp`, `label`, size, sketches; `other` None: inside `one`."""
+    fp, label, n, bits = one
+    fp_2, label_2, m, bits_2 = one if other is None else other
+    if bits_2.shape[1] > bits.shape[1]:  # places are last bits of a hash: twice as many fold by halves
+        bits_2 = bits_2[:, : bits.shape[1]] ^ bits_2[:, bits.shape[1]:]
+    found, step = [np.zeros((2, 0), np.int64)], max(1, _MET_WORDS // max(1, bits_2.size))
+    for at in range(0, len(fp), step):
+        k = slice(at, at + step)
+        both = n[k, None] + m
+        may = (label[k, None] != label_2) & (100 * np.minimum(n[k, None], m) >= SIMILAR * np.maximum(n[k, None], m))
+        if other is None:
+            may &= fp[k, None] < fp_2
+        if may.any():
+            apart = np.bitwise_count(bits[k, None] ^ bits_2).sum(axis=2, dtype=np.int64)
+            x, y = np.nonzero(may & ((100 + SIMILAR) * apart <= (100 - SIMILAR) * both))
+            found.append(np.stack([np.minimum(fp[at + x], fp_2[y]), np.maximum(fp[at + x], fp_2[y])]))
+    return np.concatenate(found, axis=1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open pairs of each meeting (`band`, `width`, `lo`, `hi`) of two blocks; rows come in the order of meetings and blocks (`at`)."""
+
+    def side(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        bits = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u8").reshape(len(rows), -1)
+        return (*(rows[c].to_numpy() for c in ("fp", "label", "n")), bits)
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        keys = np.stack([rows[c].to_numpy() for c in ("band", "width", "lo", "hi", "at")])
+        starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(rows)]
+        sides = {tuple(keys[:, a].tolist()): rows.slice(a, b - a) for a, b in zip(starts, starts[1:], strict=False)}
+        found = [np.zeros((2, 0), np.int64)]
+        for (*meeting, lo, hi, at), own in sides.items():
+            if at == lo and (lo == hi or (*meeting, lo, hi, hi) in sides):
+                found.append(_open_pairs(side(own), None if lo == hi else side(sides[*meeting, lo, hi, hi])))
+        a, b = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        keys = np.stack([rows[c].to_numpy() for c in ("band", "width", "lo", "hi")])
+        last = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0)).max(initial=-1)) + 1  # the last meeting may go on
+        if last:
+            yield pairs(rows.slice(0, last))
+        rest = rows.slice(last)
+    if rest is not None:
+        yield pairs(rest)
+
+
+def _sketched(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """`a` < `b`: pairs of members of different components of a band, all but those whose sketches say that they are not similar.
+
+    Texts of a band meet others of the same width of sketch and of twice that width; no pair of further widths is similar.
+    """
+    many = shared.hint("merge").join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+    many = materialise(many, "labelled")
+    # two texts of a band have met: one of them was the star
+    split = many.groupBy("band").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count("*").alias("_n")).where("_l < _h and _n > 2")
+    sketches = sets.select("fp", "n", F.octet_length("sketch").cast("long").alias("width"), "sketch")
+    rows = materialise(_told(many, split.select("band")).hint("merge").join(sketches, "fp"), "members")
+    rows_of = rows.groupBy("band", "width").agg(F.count("*").alias("_n"))
+    sizes = rows_of.select("band", "width", F.ceil(F.greatest(F.col("_n") / MET_ROWS, F.col("_n") * F.col("width") / MET_BYTES)).alias("_own"))
+    sizes = materialise(sizes, "blocks")
+    for name, factor in (("_wider", 2), ("_narrower", 0.5)):
+        beside = sizes.select("band", (F.col("width") / factor).cast("long").alias("width"), F.col("_own").alias(name))
+        sizes = sizes.hint("merge").join(beside, ["band", "width"], "left")
+    parts = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    own, wider, narrower = "_own", F.coalesce("_wider", F.lit(0).cast("long")), F.coalesce("_narrower", F.lit(0).cast("long"))
+    place = F.pmod(F.xxhash64("fp"), F.col(own))
+    numbers = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), n), lambda k: k < n)
+    meeting = lambda width, lo, hi, at: F.struct(
+        width.cast("long").alias("width"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), at.cast("long").alias("at"))
+    # a wider block j is block `_own` + j of the narrower width
+    met = F.concat(
+        F.transform(numbers(F.col(own)), lambda j: meeting(F.col("width"), F.least(place, j), F.greatest(place, j), place)),
+        F.transform(numbers(wider), lambda j: meeting(F.col("width"), place, F.col(own) + j, place)),
+        F.transform(numbers(narrower), lambda j: meeting(F.col("width") / 2, j, narrower + place, narrower + place)))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).hint("merge").join(parts, ["band", "width", "_part"])
+    dealt = dealt.select("band", F.explode(met).alias("_m"), "fp", "label", "n", "sketch").select("band", "_m.*", "fp", "label", "n", "sketch")
+    meetings = ["band", "width", "lo", "hi"]
+    return dealt.repartition(*meetings).sortWithinPartitions(*meetings, "at").mapInArrow(_meet, "a long, b long").distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` after `links` (`a`, `b`) between members; texts without a label are components of their own."""
+    before = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    # links between components, each named by its label
+    named = links.hint("merge").join(before, F.col("a") == F.col("_n"), "left").select(F.coalesce("_l", "a").alias("a"), "b")
+    named = named.hint("merge").join(before, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_l", "b").alias("b")).distinct()
+    joined = connected_components(named).select(F.col("node").alias("_n"), F.col("label").alias("_to"))
+    both = labels.unionByName(joined.select(F.col("_n").alias("node"), F.col("_n").alias("label")))
+    return both.hint("merge").join(joined, F.col("label") == F.col("_n"), "left").groupBy("node").agg(F.min(F.coalesce("_to", "label")).alias("label"))
+
+
 def similar_labels(docs: DataFrame, own: DataFrame, text: str = "text", exact: bool = False) -> DataFrame:
     """`node`, `label`: the component of each `fp` of `own` (`fp`, `bands`) that has a similar text."""
     members = own.select("fp", F.explode("bands").alias("band")).distinct()
     met = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.col("fp").bitwiseXOR(F.col("band"))).alias("_min")).where("n > 1").drop("n")
     shared = materialise(_told(members, met).select("band", "fp", F.col("_min").bitwiseXOR(F.col("band")).alias("star")), "shared")
     texts = docs.select(words_hash(F.col(text)).alias("fp"), F.col(text).alias("_text")).hint("merge").join(shared.select("fp").distinct(), "fp", "left_semi")
-    sets = materialise(texts.dropDuplicates(["fp"]).select("fp", text_shingles("_text").alias("s")), "shingles")
+    sets = materialise(texts.dropDuplicates(["fp"]).select("fp", text_sets("_text").alias("_s")).select("fp", "_s.*"), "shingles")
     star = shared.where("fp <> star").select(_pair(F.col("fp"), F.col("star")).alias("p")).select("p.*").distinct()
     labels = connected_components(_confirmed(star, sets))
-    rest = _confirmed((_crossed if exact else _sent)(shared, labels), sets)
-    # links between components, each named by its label
-    before = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-    named = rest.hint("merge").join(before, F.col("a") == F.col("_n"), "left").select(F.coalesce("_l", "a").alias("a"), "b")
-    named = named.hint("merge").join(before, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_l", "b").alias("b")).distinct()
-    joined = connected_components(named).select(F.col("node").alias("_n"), F.col("label").alias("_to"))
-    both = labels.unionByName(joined.select(F.col("_n").alias("node"), F.col("_n").alias("label")))
-    return both.hint("merge").join(joined, F.col("label") == F.col("_n"), "left").groupBy("node").agg(F.min(F.coalesce("_to", "label")).alias("label"))
+    if exact:
+        return _joined(labels, _confirmed(_crossed(shared, labels), sets))
+    drawn = materialise(_sent(shared, labels), "drawn")
+    labels = materialise(_joined(labels, _confirmed(drawn, sets)), "labels-drawn")
+    left = _sketched(shared, labels, sets).hint("merge").join(drawn, ["a", "b"], "left_anti").hint("merge").join(star, ["a", "b"], "left_anti")
+    rest = materialise(_confirmed(left, sets), "links-left")
+    return labels if rest.isEmpty() else _joined(labels, rest)
 
 
 def _similar(docs: DataFrame, key: str, text: str, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
