@@ -109,7 +109,8 @@ def running(
     summary = df.groupBy(*group).agg(*totals)
     offsets = summary.select(*group, *[c.alias(n) for n, c in carried.items()])
     local = df.select("*", *[c.alias(n) for n, c in inside.items()])
-    joined = local.join(offsets, group, "left")
+    # the windows have dealt out and sorted `local` already; with many short keys `offsets` is too long for the driver
+    joined = local.hint("merge").join(offsets, group, "left")
     helpers = ["_block", *inside, *carried]
     return joined.withColumns(combined).drop(*helpers)
 

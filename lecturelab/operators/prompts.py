@@ -57,7 +57,7 @@ def earlier_titles(titles: DataFrame, wave_size: int = 4, keep: int = 8) -> Data
     """`lecture_id, sid, previous`: the last `keep` titles of successful sections in earlier waves, `; ` between.
 
     `titles`: lecture_id, sid (dense), title, ok. Each wave knows how many titles came before
-    it; it then picks the few it shows by number, so nothing is collected per recording.
+    it; it then picks the few it shows by number, so nothing is collected per recording. The joins are merges, as in `section_prompts`.
     """
     rows = titles.withColumns({"wave": F.floor(F.col("sid") / wave_size), "_ok": F.col("ok").cast("long")})
     counted = running(rows, ["lecture_id"], ["sid"], block_of(F.col("sid")), {"_upto": ("sum", F.col("_ok"))})
@@ -65,8 +65,8 @@ def earlier_titles(titles: DataFrame, wave_size: int = 4, keep: int = 8) -> Data
     numbered = counted.where("ok").select("lecture_id", "title", (F.col("_upto") - 1).alias("no"))
     wanted = waves.where("_before > 0").select(
         "lecture_id", "wave", F.explode(F.sequence(F.greatest(F.col("_before") - keep, F.lit(0)), F.col("_before") - 1)).alias("no"))
-    shown = wanted.join(numbered, ["lecture_id", "no"]).groupBy("lecture_id", "wave").agg(joined_text(["no"], "title", "; ").alias("previous"))
-    return rows.select("lecture_id", "sid", "wave").join(shown, ["lecture_id", "wave"], "left").select(
+    shown = wanted.hint("merge").join(numbered, ["lecture_id", "no"]).groupBy("lecture_id", "wave").agg(joined_text(["no"], "title", "; ").alias("previous"))
+    return rows.select("lecture_id", "sid", "wave").hint("merge").join(shown, ["lecture_id", "wave"], "left").select(
         "lecture_id", "sid", F.coalesce("previous", F.lit("")).alias("previous"))
 
 
@@ -87,11 +87,15 @@ def section_boards(segment_boards: DataFrame, limit: int = 6) -> DataFrame:
 def section_prompts(
     segments: DataFrame, transcripts: DataFrame, boards: DataFrame, previous: DataFrame, p: PromptParams = PromptParams()
 ) -> DataFrame:
-    """Everything one section's prompt shows: index, total, time codes, transcript, boards, earlier titles."""
+    """Everything one section's prompt shows: index, total, time codes, transcript, boards, earlier titles.
+
+    Each side has a row for each section or recording, so the joins are merges: Spark judges a stored table by its packed size and
+    would send millions of its rows through the driver.
+    """
     totals = segments.groupBy("lecture_id").agg(F.count(F.lit(1)).alias("total"))
-    out = segments.join(totals, "lecture_id")
+    out = segments.hint("merge").join(totals, "lecture_id")
     for df in (transcripts, boards, previous):
-        out = out.join(df, ["lecture_id", "sid"], "left")
+        out = out.hint("merge").join(df, ["lecture_id", "sid"], "left")
     return out.select(
         "lecture_id", "sid", (F.col("sid") + 1).alias("index"), "total",
         to_timecode(F.col("start_s")).alias("start_tc"), to_timecode(F.col("end_s")).alias("end_tc"),

@@ -68,7 +68,8 @@ def _weighed(docs: DataFrame) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labels").select(_lecture_of_document().alias("lecture_id"), "doc_id", F.col("quality").alias("q"))
+    """Hashed where the texts have been dealt out by recording: the labels do not pass through the driver, and no text is sorted."""
+    return table(spark, sf, "labels").select(_lecture_of_document().alias("lecture_id"), "doc_id", F.col("quality").alias("q")).hint("shuffle_hash")
 
 
 def speech(spark: SparkSession, sf: str, with_boards: bool = False) -> DataFrame:
@@ -77,7 +78,7 @@ def speech(spark: SparkSession, sf: str, with_boards: bool = False) -> DataFrame
     `with_boards`: only recordings that have boards; the other texts are not taken apart.
     """
     docs = documents(spark, sf)
-    docs = _weighed(docs.join(_labelled(spark, sf).select("lecture_id"), "lecture_id", "left_semi") if with_boards else docs)
+    docs = _weighed(docs.join(_labelled(spark, sf).select("lecture_id").hint("shuffle_hash"), "lecture_id", "left_semi") if with_boards else docs)
     timed = F.transform(
         "s",
         lambda x, i: F.struct(
