@@ -1,10 +1,12 @@
 """What a chain of stored tables leaves on disk."""
 
+import os
+
 import __spark_entry__ as entry
 import pytest
 from conftest import SF
 from lecturelab.plans import segmentation
-from lecturelab.session import freeing_shuffles, materialise
+from lecturelab.session import dropping_steps, freeing_shuffles, materialise
 from lecturelab.sources import tables as T
 from pyspark.sql import functions as F
 
@@ -25,6 +27,17 @@ def test_shuffle_files_go_with_their_query(spark):
     assert spark.conf.get(key) == before
 
 
+def test_steps_go_and_their_result_stays(spark):
+    outer = materialise(spark.range(3), "outer")
+    with dropping_steps(spark):
+        step = materialise(spark.range(7), "step")
+        with dropping_steps(spark):
+            inner = materialise(materialise(step, "inner-step"), "inner")
+        result = materialise(inner.where("id > 2"), "result")
+    assert result.count() == 4 and outer.count() == 3
+    assert [os.path.exists(f.inputFiles()[0].removeprefix("file://")) for f in (step, inner, result, outer)] == [False, False, True, True]
+
+
 def test_a_chain_of_questions_leaves_only_its_last_shuffles(spark):
     kept = shuffle_files(spark)
     answers = entry.queries()["ask_recordings"](spark, SF)
@@ -36,7 +49,8 @@ def test_lengths_of_recordings_are_those_of_their_times(spark, monkeypatch):
     """Boards and durations from stored times are those from the texts; only cohesion and the speech itself read the texts."""
     times = segmentation._times(spark, SF)
     monkeypatch.setattr(segmentation, "_scores", lambda *a: spark.createDataFrame([], "lecture_id string, i int, score double"))
-    parts, boards = segmentation.segments_and_boards(spark, SF, times)
+    sized, boards = segmentation.sizes_and_boards(spark, SF, times)
+    parts = segmentation.segments_of(spark, SF, times, sized, boards)
     want = T.boards(spark, SF).select(*boards.columns)
     assert want.exceptAll(boards).count() == 0 and boards.exceptAll(want).count() == 0
     short = T.lectures(spark, SF).join(T.speech(spark, SF).groupBy("lecture_id").count().where("count < 4"), "lecture_id")
